@@ -1,0 +1,5 @@
+"""No stateful streaming operators: the work has no windows or late data.
+
+The row-level Column functions in ``wardloom.functions`` hold no state, so
+they can be used on a ``readStream`` DataFrame as they are.
+"""
