@@ -104,7 +104,7 @@ def without_stop_words(words: Column, stop_words: Collection[str]) -> Column:
 
 def unigrams_and_bigrams(words: Column) -> Column:
     """Tokens followed by the space-joined pairs of neighbours."""
-    others = F.slice(words, 2, 2_147_483_647)
+    others = F.slice(words, 2, F.size(words))
     firsts = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
     pairs = F.zip_with(firsts, others, lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(words, pairs)
