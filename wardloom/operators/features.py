@@ -91,8 +91,10 @@ class TfidfModel:
         )
         long = (
             self.transform(docs.select(key, text), text, "_vector")
-            .select(key, F.inline(F.arrays_zip(sparse["indices"].alias("term_index"),
-                                               sparse["values"].alias("weight"))))
+            # the outer form keeps the vector from being computed twice, once
+            # to test for emptiness; the join drops its null rows
+            .select(key, F.inline_outer(F.arrays_zip(sparse["indices"].alias("term_index"),
+                                                     sparse["values"].alias("weight"))))
         )
         # bounded by max_terms
         return long.join(F.broadcast(vocabulary_rows), "term_index").select(key, "term", "weight")

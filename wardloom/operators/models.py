@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -21,10 +22,20 @@ def fit_mortality(train: DataFrame, label: str = "hospital_expire_flag", feature
                   trees: int = lookups.BOOSTING_TREES, depth: int = lookups.BOOSTING_DEPTH,
                   rate: float = lookups.BOOSTING_RATE, seed: int = lookups.SEED) -> GBTClassificationModel:
     """Boosted-tree classifier for a 0/1 label."""
-    return GBTClassifier(
+    estimator = GBTClassifier(
         labelCol=label, featuresCol=features, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed,
-        cacheNodeIds=False, maxMemoryInMB=512,
-    ).fit(train.select(F.col(label).cast("double").alias(label), features))
+        maxMemoryInMB=512,
+    )
+    return _fit(estimator, train.select(F.col(label).cast("double").alias(label), features))
+
+
+def _fit(estimator, inputs: DataFrame):
+    """Fit on kept inputs: fitting passes over them several times."""
+    kept = inputs.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(kept)
+    finally:
+        kept.unpersist()
 
 
 def score_mortality(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
@@ -42,10 +53,11 @@ def fit_stay(train: DataFrame, label: str = "los_days", features: str = "feature
              rate: float = lookups.BOOSTING_RATE, seed: int = lookups.SEED) -> GBTRegressionModel:
     """Boosted-tree regressor; rows without a known value are not trained on."""
     known = train.where(F.col(label).isNotNull())
-    return GBTRegressor(
+    estimator = GBTRegressor(
         labelCol=label, featuresCol=features, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed,
         maxMemoryInMB=512,
-    ).fit(known.select(F.col(label).cast("double").alias(label), features))
+    )
+    return _fit(estimator, known.select(F.col(label).cast("double").alias(label), features))
 
 
 def score_stay(model: GBTRegressionModel, df: DataFrame, name: str = "los_pred") -> DataFrame:
@@ -58,9 +70,10 @@ def fit_vector_classifier(train: DataFrame, vector: str, label: str, classes: in
     """One-hidden-layer head on a fixed array-of-float column."""
     inputs = train.select(array_to_vector(F.col(vector)).alias("features"), F.col(label).cast("double").alias("label"))
     size = len(train.select(vector).first()[0])
-    return MultilayerPerceptronClassifier(
+    estimator = MultilayerPerceptronClassifier(
         layers=[size, width, classes], maxIter=iterations, seed=seed, blockSize=128
-    ).fit(inputs)
+    )
+    return _fit(estimator, inputs)
 
 
 def score_vectors(model, df: DataFrame, vector: str, name: str = "pred") -> DataFrame:
@@ -101,7 +114,9 @@ def staged_outputs(model: GBTClassificationModel | GBTRegressionModel, df: DataF
 
 
 def _iterations(staged: DataFrame, label: str, name: str = "staged") -> DataFrame:
-    return staged.select(label, F.posexplode(name).alias("_pos", "margin")).withColumn(
+    # the outer form keeps the optimizer from testing (and so computing) the
+    # array a second time; it is never empty
+    return staged.select(label, F.posexplode_outer(name).alias("_pos", "margin")).withColumn(
         "iteration", F.col("_pos") + 1
     )
 

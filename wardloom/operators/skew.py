@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,5 +90,12 @@ def numbered(
     )
 
 
-def sum_columns(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a small scan before heavy work per row.
+
+    Inputs with at least as many partitions as there are cores, which is all
+    large ones, are left where they are. Meant for plain scans: on other
+    plans the partition count is only known by running them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

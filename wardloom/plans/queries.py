@@ -19,6 +19,7 @@ from wardloom.functions.times import admission_features
 from wardloom.operators import cohort as co
 from wardloom.operators import diagnoses as dx
 from wardloom.operators import fairness, features, heads, metrics, models, split
+from wardloom.operators.skew import spread
 from wardloom.plans import reports
 from wardloom.sources import star_tables as st
 from wardloom.sources.clinical import load_tables, table_sizes
@@ -391,7 +392,7 @@ def best_iteration(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return st.star(spark, folder, "documents").select("doc_id", "text", "lang")
+    return spread(st.star(spark, folder, "documents").select("doc_id", "text", "lang"))
 
 
 @query
@@ -479,12 +480,12 @@ def score_regressor_head(spark: SparkSession, folder: str) -> DataFrame:
 # --- fitted models -----------------------------------------------------------
 
 
-def _split_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, features.TfidfModel]:
-    """Compact cohort with splits and TF-IDF vectors, written once."""
-    cohort = split.stratified_split(co.build_cohort(st.clinical_tables(spark, folder), "compact"))
-    kept = materialized(cohort, "cohort")
-    model = features.fit_tfidf(kept.where("split = 'train'"), "clinical_text", QUERY_TERMS)
-    return model.transform(kept, "clinical_text"), model
+def _split_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Compact cohort with splits and TF-IDF vectors; the cohort is written once."""
+    cohort = materialized(co.build_cohort(st.clinical_tables(spark, folder), "compact"), "cohort")
+    rows = split.stratified_split(spread(cohort))
+    model = features.fit_tfidf(_part(rows, "train"), "clinical_text", QUERY_TERMS)
+    return model.transform(rows, "clinical_text")
 
 
 def _part(df: DataFrame, name: str) -> DataFrame:
@@ -493,7 +494,7 @@ def _part(df: DataFrame, name: str) -> DataFrame:
 
 @query
 def gbt_mortality(spark: SparkSession, folder: str) -> DataFrame:
-    rows, _ = _split_vectors(spark, folder)
+    rows = _split_vectors(spark, folder)
     model = models.fit_mortality(_part(rows, "train"), trees=QUERY_TREES)
     return _exact(
         models.score_mortality(model, _part(rows, "test")).select("hadm_id", "hospital_expire_flag", "prob", "pred")
@@ -502,14 +503,14 @@ def gbt_mortality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def gbt_los(spark: SparkSession, folder: str) -> DataFrame:
-    rows, _ = _split_vectors(spark, folder)
+    rows = _split_vectors(spark, folder)
     model = models.fit_stay(_part(rows, "train"), trees=QUERY_TREES)
     return _exact(models.score_stay(model, _part(rows, "test")).select("hadm_id", "los_days", "los_pred"))
 
 
 @query
 def training_history(spark: SparkSession, folder: str) -> DataFrame:
-    rows, _ = _split_vectors(spark, folder)
+    rows = _split_vectors(spark, folder)
     train, val = _part(rows, "train"), _part(rows, "val")
     model = models.fit_mortality(train, trees=QUERY_TREES)
     return _exact(reports.history_long(models.mortality_history(model, train, val)))
@@ -517,7 +518,7 @@ def training_history(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def los_history(spark: SparkSession, folder: str) -> DataFrame:
-    rows, _ = _split_vectors(spark, folder)
+    rows = _split_vectors(spark, folder)
     train, val = _part(rows, "train"), _part(rows, "val")
     model = models.fit_stay(train, trees=QUERY_TREES)
     return _exact(reports.history_long(models.stay_history(model, train, val)))
