@@ -19,12 +19,17 @@ def lookup(key: Column, table: dict[str, str]) -> Column:
 
 
 def chapter_letter(prefix: Column, which: str | Profile = "full") -> Column:
-    """ICD-10 letter of a numeric ICD-9 prefix, null outside all chapters."""
+    """ICD-10 letter of a three-digit ICD-9 prefix, null outside all chapters.
+
+    All chapter bounds have three digits, so digits are compared as text; a
+    shorter or non-numeric prefix is in no chapter. (Casting would raise and
+    catch an error for every code such as ``V85``.)
+    """
     rules = resolve(which)
     letter = F.lit(None).cast("string")
     for low, high, name in rules.chapters:
-        letter = F.when(prefix.between(low, high), F.lit(name)).otherwise(letter)
-    return letter
+        letter = F.when(prefix.between(str(low), str(high)), F.lit(name)).otherwise(letter)
+    return F.when(prefix.rlike("^[0-9]{3}$"), letter)
 
 
 def harmonized_code(code: Column, version: Column, which: str | Profile = "full") -> Column:
@@ -37,7 +42,7 @@ def harmonized_code(code: Column, version: Column, which: str | Profile = "full"
     rules = resolve(which)
     text = F.coalesce(code, F.lit("nan"))
     prefix = F.substring(text, 1, 3)
-    letter = chapter_letter(prefix.try_cast("int"), rules)
+    letter = chapter_letter(prefix, rules)
     body = text if rules.chapter_keeps_whole_code else prefix
     converted = F.coalesce(
         lookup(text, rules.code_map),

@@ -6,21 +6,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _shifted(logits: Column, top: Column) -> Column:
+    return F.transform(logits, lambda x: F.exp(x.cast("double") - top))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda done, x: done + x)
+
+
 def softmax(logits: Column) -> Column:
     """Probabilities of an array of logits, shifted by the maximum."""
-    top = F.array_max(logits).cast("double")
-    weights = F.transform(logits, lambda x: F.exp(x.cast("double") - top))
-    total = F.aggregate(weights, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-    return F.transform(weights, lambda x: x / total)
+    return _let(
+        F.array_max(logits).cast("double"),
+        lambda top: _let(
+            _shifted(logits, top),
+            lambda weights: _let(_total(weights), lambda total: F.transform(weights, lambda x: x / total)),
+        ),
+    )
 
 
 def class_probability(logits: Column, index: int = 1) -> Column:
-    """Softmax probability of one class without building the whole vector."""
-    top = F.array_max(logits).cast("double")
-    total = F.aggregate(
-        logits, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x.cast("double") - top)
+    """Softmax probability of one class."""
+    return _let(
+        F.array_max(logits).cast("double"),
+        lambda top: _let(
+            _shifted(logits, top), lambda weights: F.get(weights, F.lit(index)) / _total(weights)
+        ),
     )
-    return F.exp(F.get(logits, F.lit(index)).cast("double") - top) / total
 
 
 def argmax(values: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MICROS_PER_DAY = 86_400_000_000
+SECONDS_PER_DAY = 86_400
 
 
 def naive(moment: Column) -> Column:
@@ -21,19 +21,10 @@ def parsed_time(text: Column, strict: bool = True) -> Column:
     return text.cast("timestamp_ntz") if strict else text.try_cast("timestamp_ntz")
 
 
-def elapsed_micros(start: Column, end: Column) -> Column:
-    """Microseconds from start to end; negative when end comes first."""
-    gap = naive(end) - naive(start)
-
-    def part(unit: str) -> Column:
-        return F.extract(F.lit(unit), gap)
-
-    minutes = (part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")
-    return minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("long")
-
-
 def elapsed_days(start: Column, end: Column) -> Column:
-    return elapsed_micros(start, end).cast("double") / F.lit(MICROS_PER_DAY).cast("double")
+    """Fractional days from start to end; negative when end comes first."""
+    gap = (naive(end) - naive(start)).cast("interval second")
+    return gap.cast("decimal(20,6)").cast("double") / F.lit(SECONDS_PER_DAY)
 
 
 def is_weekend(moment: Column) -> Column:

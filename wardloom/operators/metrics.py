@@ -161,9 +161,10 @@ def class_report(scored: DataFrame, label: str = "label", pred: str = "pred",
 
 def log_loss(scored: DataFrame, groups: Sequence[str] = (), label: str = "label",
              score: str = "prob", floor: float = 1e-15) -> DataFrame:
-    """Mean cross-entropy over rows; probabilities are clipped off 0 and 1."""
-    chosen = F.when(F.col(label) == 1, F.col(score)).otherwise(1 - F.col(score))
-    clipped = F.least(F.greatest(chosen, F.lit(floor)), F.lit(1 - floor))
+    """Mean cross-entropy over known rows; probabilities are clipped off 0 and 1."""
+    chosen = F.when(F.col(label) == 1, F.col(score)).when(F.col(label) == 0, 1 - F.col(score))
+    # least() and greatest() skip nulls, so a missing value is kept out by hand
+    clipped = F.when(chosen.isNotNull(), F.least(F.greatest(chosen, F.lit(floor)), F.lit(1 - floor)))
     return scored.groupBy(*groups).agg(F.avg(-F.log(clipped)).alias("log_loss"))
 
 
@@ -176,13 +177,13 @@ def regression_metrics(scored: DataFrame, groups: Sequence[str] = (), actual: st
     vary.
     """
     y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
-    known = scored.where(y.isNotNull() & p.isNotNull())
+    error = p - y  # null, and so skipped, unless both are known
     return (
-        known.groupBy(*groups)
+        scored.groupBy(*groups)
         .agg(
-            F.avg((p - y) * (p - y)).alias("mse"),
-            F.avg(F.abs(p - y)).alias("mae"),
-            F.var_pop(y).alias("_var"),
+            F.avg(error * error).alias("mse"),
+            F.avg(F.abs(error)).alias("mae"),
+            F.var_pop(F.when(p.isNotNull(), y)).alias("_var"),
         )
         .select(
             *groups,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isfinite
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, share: float
 def range_cuts(df: DataFrame, value: str, ranges: int = RANGES) -> list[float]:
     """At most ``ranges - 1`` distinct cut points that split ``value`` evenly."""
     steps = [i / ranges for i in range(1, ranges)]
-    return sorted(set(df.approxQuantile(value, steps, 0.5 / ranges)))
+    return sorted({cut for cut in df.approxQuantile(value, steps, 0.5 / ranges) if isfinite(cut)})
 
 
 def with_range(df: DataFrame, value: str, cuts: list[float], name: str) -> DataFrame:

@@ -28,13 +28,12 @@ def admissions(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as admissions, with gaps in most columns."""
     return (
         star(spark, folder, "orders")
-        .withColumn("adm", F.expr("o_orderdate + ((o_orderkey * 7) % 24) * interval '1' hour"))
         .selectExpr(
             "o_orderkey as hadm_id",
             "o_custkey as subject_id",
-            "adm as admittime",
-            "case when o_orderkey % 97 <> 0 then adm + ((o_orderkey * 37) % 480) * interval '1' hour end"
-            " as dischtime",
+            "o_orderdate + ((o_orderkey * 7) % 24) * interval '1' hour as admittime",
+            "case when o_orderkey % 97 <> 0 then o_orderdate"
+            " + ((o_orderkey * 7) % 24 + (o_orderkey * 37) % 480) * interval '1' hour end as dischtime",
             "case when o_orderkey % 89 = 0 then null when o_orderpriority = '1-URGENT' then 1 else 0 end"
             " as hospital_expire_flag",
             "o_orderpriority as admission_type",
