@@ -11,11 +11,11 @@ from wardloom.functions.lookups import Profile, profile as resolve
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """Value of ``key`` in a small fixed table, null when it has none.
 
-    The map is a literal of a few dozen entries, so the lookup stays inside
-    the row's own stage: no join, no shuffle.
+    The table becomes one map literal of a few dozen entries, so the lookup
+    stays inside the row's own stage: no join, no shuffle.
     """
-    pairs = [F.lit(part) for item in table.items() for part in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    block = "\n".join(f"{name}={value}" for name, value in table.items())
+    return F.try_element_at(F.str_to_map(F.lit(block), F.lit("\n"), F.lit("=")), key)
 
 
 def chapter_letter(prefix: Column, which: str | Profile = "full") -> Column:
