@@ -26,7 +26,7 @@ HEADLINE = (
     "scan_admissions", "harmonize_full", "describe_full", "diagnosis_lists", "merged_cohort",
     "clinical_text_full", "clinical_text_compact", "stratified_split", "binary_metrics", "regression_metrics",
     "class_report", "fairness_full", "residual_histogram", "run_summary", "vocabulary", "tfidf",
-    "encode_fixed_length", "softmax_argmax", "score_classifier_head",
+    "encode_fixed_length", "softmax_argmax", "score_head",
 )
 FITS = ("gbt_mortality", "gbt_los")
 

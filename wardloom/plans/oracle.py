@@ -365,7 +365,7 @@ def oracle_sql() -> dict[str, str]:
         sql[f"clinical_text_{which}"] = _with(
             whole(which), _round("hadm_id hospital_expire_flag clinical_text", "los_days", "cohort")
         )
-        sql[f"race_group_{which}"] = _with(
+        sql["race_group_" + ("exact" if which == "full" else "substring")] = _with(
             {"admissions": ADMISSIONS}, f"select hadm_id, race, {_race_group(which)} as race_group from admissions"
         )
         sql[f"fairness_{which}"] = _with(fair(which), _round("race_group n_samples", fair_columns, "fair"))
@@ -422,28 +422,33 @@ def oracle_sql() -> dict[str, str]:
         select case g.actual when 0 then 'Survived' else 'Expired' end as actual,
                case g.predicted when 0 then 'Survived' else 'Expired' end as predicted, count(s.hadm_id) as n
         from {grid} left join scored s on s.label = g.actual and s.pred = g.predicted group by 1, 2""")
-    sql["class_report"] = _with(
-        scored
-        | {"per_class": """
-            select c, count(*) filter (where pred = c and label = c) as hit,
-                   count(*) filter (where pred = c) as claimed, count(*) filter (where label = c) as support
-            from scored, (values (0), (1)) k(c) group by c""",
-           "rates": """
-            select case c when 0 then 'Survived' else 'Expired' end as class,
+    def report(source: str, label: str, pred: str, names: tuple[str, str]) -> dict[str, str]:
+        return {
+            "per_class": f"""
+            select c, count(*) filter (where {pred} = c and {label} = c) as hit,
+                   count(*) filter (where {pred} = c) as claimed, count(*) filter (where {label} = c) as support
+            from {source}, (values (0), (1)) k(c) group by c""",
+            "rates": f"""
+            select case c when 0 then '{names[0]}' else '{names[1]}' end as class,
                    coalesce(hit / nullif(cast(claimed as double), 0), 0) as precision,
                    coalesce(hit / nullif(cast(support as double), 0), 0) as recall,
                    coalesce(2 * hit / nullif(cast(claimed + support as double), 0), 0) as f1_score, support, hit
             from per_class""",
-           "report": """
+            "report": """
             select class, precision, recall, f1_score, support from rates
             union all select 'accuracy', null, null, sum(hit) / cast(sum(support) as double), sum(support) from rates
             union all select 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support) from rates
             union all select 'weighted avg', sum(precision * support) / sum(support),
                       sum(recall * support) / sum(support), sum(f1_score * support) / sum(support), sum(support)
-                      from rates"""},
-        "select class, round(precision, 6) as precision, round(recall, 6) as recall, round(f1_score, 6) as f1_score,"
-        " cast(support as bigint) as support from report",
+                      from rates""",
+        }
+
+    report_rows = (
+        "select class, round(precision, 6) as precision, round(recall, 6) as recall,"
+        " round(f1_score, 6) as f1_score, cast(support as bigint) as support from report"
     )
+    sql["class_report"] = _with(scored | report("scored", "label", "pred", lookups.OUTCOME_NAMES), report_rows)
+    sql["label_report"] = _with(report("labels", "quality", "toxic", ("low", "high")), report_rows)
     sql["log_loss"] = _with(scored, """
         select round(avg(-ln(least(greatest(case label when 1 then prob else 1 - prob end, 1e-15), 1 - 1e-15))), 6)
                as log_loss from scored""")
@@ -546,12 +551,12 @@ def oracle_sql() -> dict[str, str]:
     sql["first_vector"] = """
         select vec_id, cast(p as integer) as place, round(embedding[p + 1]::double, 6) as value
         from embeddings, range(8) r(p)"""
-    sql["score_classifier_head"] = _with(
+    sql["score_head"] = _with(
         {"a": LAYER_INPUT, "b": _layer("a", 64, 256, True), "c": _layer("b", 256, 2, False)},
         "select vec_id, round(exp(x[2] - list_max(x)) / (exp(x[1] - list_max(x)) + exp(x[2] - list_max(x))), 6)"
         " as prob, case when x[2] > x[1] then 1 else 0 end as pred from c",
     )
-    sql["score_regressor_head"] = _with(
+    sql["score_head_los"] = _with(
         {"a": LAYER_INPUT, "b": _layer("a", 64, 256, True), "c": _layer("b", 256, 64, True),
          "d": _layer("c", 64, 1, False)},
         "select vec_id, round(x[1], 6) as los_pred from d",

@@ -13,8 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.functions import numeric
-from wardloom.functions.groups import race_group_exact, race_group_substring
+from wardloom.functions import groups as gr
+from wardloom.functions import lookups, numeric
 from wardloom.functions.times import admission_features
 from wardloom.operators import cohort as co
 from wardloom.operators import diagnoses as dx
@@ -33,7 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERY_TREES = 10
 QUERY_TERMS = 300
 HEAD_ITERATIONS = 20
-ENCODING_LENGTH = 64
+ENCODING_LENGTH = lookups.MAX_LENGTH
 ENCODING_WORDS = 30_000
 
 _registered: dict[str, Query] = {}
@@ -258,14 +258,14 @@ def label_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def race_group_full(spark: SparkSession, folder: str) -> DataFrame:
-    return st.admissions(spark, folder).select("hadm_id", "race", race_group_exact(F.col("race")).alias("race_group"))
+def race_group_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return st.admissions(spark, folder).select("hadm_id", "race", gr.race_group_exact(F.col("race")).alias("race_group"))
 
 
 @query
-def race_group_compact(spark: SparkSession, folder: str) -> DataFrame:
+def race_group_substring(spark: SparkSession, folder: str) -> DataFrame:
     return st.admissions(spark, folder).select(
-        "hadm_id", "race", race_group_substring(F.col("race")).alias("race_group")
+        "hadm_id", "race", gr.race_group_substring(F.col("race")).alias("race_group")
     )
 
 
@@ -294,6 +294,12 @@ def class_report(spark: SparkSession, folder: str) -> DataFrame:
     return _exact(metrics.class_report(st.scored(spark, folder)))
 
 
+@query
+def label_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Report on the real labels: how well ``toxic`` predicts ``quality``."""
+    return _exact(metrics.class_report(st.star(spark, folder, "labels"), "quality", "toxic", ("low", "high")))
+
+
 @query
 def log_loss(spark: SparkSession, folder: str) -> DataFrame:
     return _exact(metrics.log_loss(st.scored(spark, folder)))
@@ -466,13 +472,13 @@ def layer(inputs: int, outputs: int) -> heads.Layer:
 
 
 @query
-def score_classifier_head(spark: SparkSession, folder: str) -> DataFrame:
+def score_head(spark: SparkSession, folder: str) -> DataFrame:
     stack = [layer(64, 256), layer(256, 2)]
     return _exact(heads.classifier_scores(_vectors(spark, folder), "embedding", stack).select("vec_id", "prob", "pred"))
 
 
 @query
-def score_regressor_head(spark: SparkSession, folder: str) -> DataFrame:
+def score_head_los(spark: SparkSession, folder: str) -> DataFrame:
     stack = [layer(64, 256), layer(256, 64), layer(64, 1)]
     return _exact(heads.regressor_scores(_vectors(spark, folder), "embedding", stack).select("vec_id", "los_pred"))
 
