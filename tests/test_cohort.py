@@ -202,3 +202,36 @@ def test_heavy_key_with_null_order(spark):
     plain, split = dx.positioned(df), dx.positioned(df, min_rows=100, share=0.05)
     columns = ["hadm_id", "seq_num", "position"]
     assert plain.select(columns).exceptAll(split.select(columns)).count() == 0
+
+
+def test_hot_patient_join_is_split(spark):
+    """One patient with a third of all admissions: adaptive execution splits the join."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    n = 300_000
+    stamp = F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz")
+    adms = spark.range(n).select(
+        F.col("id").alias("hadm_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("subject_id"),
+        stamp.alias("admittime"), stamp.alias("dischtime"), F.lit("x").alias("race"),
+        (F.col("id") % 2).cast("int").alias("hospital_expire_flag"),
+    )
+    people = spark.range(n).select(F.col("id").alias("subject_id"), F.lit("F").alias("gender"),
+                                   F.lit(60).alias("anchor_age"))
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        built = co.merged(ClinicalTables(people, adms, skewed(spark)))
+        rows = built.select("hadm_id", "gender", "num_diagnoses")
+        assert len(rows.collect()) == n
+        assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions.lookups import SEED
+from wardloom.operators import skew
 
 HELD_OUT = 0.3
 TEST_OF_HELD_OUT = 0.5
@@ -104,11 +105,22 @@ def stratified_split(df: DataFrame, label: str = "hospital_expire_flag", key: st
 
 
 def grouped_split(df: DataFrame, label: str, key: str, group_key: str, seed: int = SEED,
-                  held_out: float = HELD_OUT, test_share: float = TEST_OF_HELD_OUT) -> DataFrame:
+                  held_out: float = HELD_OUT, test_share: float = TEST_OF_HELD_OUT,
+                  min_rows: int = skew.HEAVY_ROWS, share: float = skew.HEAVY_SHARE) -> DataFrame:
     """Split whole groups (say, patients) so none is on both sides.
 
-    A group's stratum is its largest label.
+    A group's stratum is its largest label; rows without a group are trained
+    on. Groups holding a large share of the rows get their split by broadcast,
+    all others by an ordinary join.
     """
-    groups = df.groupBy(group_key).agg(F.max(label).alias(label))
-    placed = stratified_split(groups, label, group_key, seed, held_out, test_share)
-    return df.join(placed.select(group_key, "split"), group_key, "left")
+    groups = df.where(F.col(group_key).isNotNull()).groupBy(group_key).agg(F.max(label).alias(label))
+    placed = stratified_split(groups, label, group_key, seed, held_out, test_share).select(group_key, "split")
+    heavy = skew.heavy_keys(df, group_key, min_rows, share)
+    if heavy:
+        is_heavy = F.coalesce(F.col(group_key).isin(heavy), F.lit(False))
+        joined = df.where(~is_heavy).join(placed, group_key, "left").unionByName(
+            df.where(is_heavy).join(F.broadcast(placed.where(is_heavy)), group_key, "left")
+        )
+    else:
+        joined = df.join(placed, group_key, "left")
+    return joined.select(*df.columns, F.coalesce("split", F.lit("train")).alias("split"))
