@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardloom.functions.groups import race_group
-from wardloom.functions.times import admission_features, parsed_time
+from wardloom.functions.times import parsed_time
 from wardloom.operators import cohort as co
 from wardloom.operators import diagnoses as dx
 from wardloom.operators import skew

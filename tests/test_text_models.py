@@ -133,9 +133,16 @@ def test_boosting_finds_signal(planted):
     assert rows[-1].val_loss == pytest.approx(regression_metrics(scored_stay).first().mse)
 
 
-def test_vector_heads(spark, folder):
-    from wardloom.plans.queries import queries
-
-    for name in ("fit_vector_head", "fit_vector_regressor"):
-        out = queries()[name](spark, folder)
-        assert out.count() > 0
+def test_vector_heads(spark):
+    df = spark.range(200).select(
+        (F.col("id") % 2).cast("int").alias("y"),
+        F.array(*[(F.sin(F.col("id") * k) + (F.col("id") % 2) * 3).cast("float") for k in (1, 2, 3)]).alias("v"),
+    )
+    model = models.fit_vector_classifier(df, "v", "y", 2, width=4, iterations=30)
+    scored = models.score_vectors(model, df, "v")
+    assert scored.where("prob < 0 or prob > 1").count() == 0
+    assert scored.where("y = pred").count() > 180
+    history = models.head_history(model, spark).orderBy("iteration").collect()
+    assert history[0].iteration == 0 and history[-1].train_loss < history[0].train_loss
+    stay = models.score_vectors(models.fit_vector_regressor(df, "v", "y", trees=2), df, "v", "los_pred")
+    assert stay.agg(F.avg(F.abs(F.col("los_pred") - F.col("y")))).first()[0] < 0.3

@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardloom.functions import lookups
@@ -77,9 +77,18 @@ def fit_vector_classifier(train: DataFrame, vector: str, label: str, classes: in
 
 
 def score_vectors(model, df: DataFrame, vector: str, name: str = "pred") -> DataFrame:
-    """Add the prediction of a fitted vector head."""
+    """Add the prediction of a fitted vector head; a classifier adds ``prob`` of class 1 too."""
     out = model.transform(df.withColumn("features", array_to_vector(F.col(vector))))
-    return out.select(*df.columns, F.col("prediction").alias(name))
+    columns = [*df.columns, F.col("prediction").alias(name)]
+    if isinstance(model, MultilayerPerceptronClassificationModel):
+        columns.append(vector_to_array(F.col("probability"))[1].alias("prob"))
+    return out.select(*columns)
+
+
+def head_history(model: MultilayerPerceptronClassificationModel, spark: SparkSession) -> DataFrame:
+    """``iteration, train_loss`` of a fitted classification head."""
+    losses = model.summary().objectiveHistory
+    return spark.createDataFrame(list(enumerate(losses)), "iteration int, train_loss double")
 
 
 def fit_vector_regressor(train: DataFrame, vector: str, label: str, trees: int = lookups.BOOSTING_TREES,

@@ -248,17 +248,22 @@ select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') as w from do
 """
 
 
-def _terms(source: str) -> str:
-    stop = ", ".join(f"'{w}'" for w in lookups.stop_words())
-    return f"""
+TERMS = """
 select doc_id, term from kept
 union all
 select doc_id, term || ' ' || following
 from (select doc_id, term, lead(term) over (partition by doc_id order by place) as following from kept) b
-where following is not null""", f"""
+where following is not null
+"""
+
+
+def _kept() -> str:
+    stop = ", ".join(f"'{w}'" for w in lookups.stop_words())
+    return f"""
 select doc_id, term, place
-from (select doc_id, unnest(w) as term, generate_subscripts(w, 1) as place from {source}) a
-where term not in ({stop})"""
+from (select doc_id, unnest(w) as term, generate_subscripts(w, 1) as place from words) a
+where term not in ({stop})
+"""
 
 
 def _fitted(n_docs: str, where: str = "") -> str:
@@ -335,8 +340,7 @@ def oracle_sql() -> dict[str, str]:
     both = outcome | {"regression": REGRESSION}
     rates = "auc_roc precision recall f1_score"
     fair_columns = "mortality_rate auc_roc precision recall f1_score"
-    terms, kept = _terms("words")
-    text = {"words": WORDS, "kept": kept, "terms": terms}
+    text = {"words": WORDS, "kept": _kept(), "terms": TERMS}
     docs_split = {"placed": _split("(select doc_id, lang from documents) d", "doc_id", "lang")}
     train = "where doc_id in (select doc_id from placed where split = 'train')"
     sql: dict[str, str] = {}

@@ -53,7 +53,7 @@ def _exact(df: DataFrame) -> DataFrame:
 
 
 def _stamp(name: str) -> Column:
-    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+    return F.col(name).cast("string").alias(name)
 
 
 def _text_list(name: str) -> Column:
@@ -534,8 +534,10 @@ def los_history(spark: SparkSession, folder: str) -> DataFrame:
 def fit_vector_head(spark: SparkSession, folder: str) -> DataFrame:
     rows = split.stratified_split(_vectors(spark, folder), "label", "vec_id")
     model = models.fit_vector_classifier(_part(rows, "train"), "embedding", "label", 10, iterations=HEAD_ITERATIONS)
-    return models.score_vectors(model, _part(rows, "test"), "embedding").select(
-        "vec_id", "label", F.col("pred").cast("int").alias("pred")
+    return _exact(
+        models.score_vectors(model, _part(rows, "test"), "embedding").select(
+            "vec_id", "label", F.col("pred").cast("int").alias("pred"), "prob"
+        )
     )
 
 
