@@ -39,11 +39,16 @@ def range_cuts(df: DataFrame, value: str, ranges: int = RANGES) -> list[float]:
 
 
 def with_range(df: DataFrame, value: str, cuts: list[float], name: str) -> DataFrame:
-    """Add the 0-based range of ``value`` among ``cuts``; null in, null out."""
+    """Add the 0-based range of ``value`` among ``cuts``.
+
+    An integer on purpose: grouping by a floating-point range after a window
+    over it would cost one more shuffle.
+    """
     if not cuts:
-        return df.withColumn(name, F.when(F.col(value).isNotNull(), F.lit(0.0)))
+        return df.withColumn(name, F.lit(0))
     edges = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=edges, inputCol=value, outputCol=name, handleInvalid="keep").transform(df)
+    ranged = Bucketizer(splits=edges, inputCol=value, outputCol=name, handleInvalid="keep").transform(df)
+    return ranged.withColumn(name, F.col(name).cast("int"))
 
 
 def numbered(
@@ -73,7 +78,7 @@ def numbered(
     )
     cuts = range_cuts(marked.where("_heavy"), "_leading")
     ranged = with_range(marked, "_leading", cuts, "_range").withColumn(
-        "_range", F.when(F.col("_heavy"), F.col("_range")).otherwise(F.lit(0.0))
+        "_range", F.when(F.col("_heavy"), F.col("_range")).otherwise(F.lit(0))
     )
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
