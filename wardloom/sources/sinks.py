@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,30 +12,28 @@ from pyspark.sql import types as T
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting writes below its warehouse.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-    folder = tempfile.mkdtemp(prefix="wardloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def new_location(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/wardloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
+def materialized(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write once to the shared folder and read back.
 
     Cuts the lineage at a point that survives lost executors, and lets later
     readers prune columns and push filters.
     """
     location = new_location(df.sparkSession, name)
-    df.write.parquet(location)
+    df.write.option("compression", codec).parquet(location)
     return df.sparkSession.read.schema(df.schema).parquet(location)
 
 
