@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ def fresh(taken: Iterable[str], name: str) -> str:
 def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text; a row stays whole."""
     start = size = 0
-    lengths = pa.compute.binary_length(batch.column(text)).to_pylist()
+    lengths = pc.binary_length(batch.column(text)).to_pylist()
     for i, n in enumerate(lengths):
         size += n or 0
         if size >= limit:
