@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import token_ids
+from wardloom.llm import decontaminate, token_ids
 from wardloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,9 @@ def default_tokenizer() -> str:
 def op3_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as token ids in Simple-8b files, read back."""
     return token_ids.tokenized(table(spark, folder, "documents"), default_tokenizer())
+
+
+@query
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows in every document, by suffix arrays."""
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
