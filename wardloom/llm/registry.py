@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import decontaminate, token_ids
+from wardloom.llm import decontaminate, minhash, token_ids
 from wardloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,9 @@ def op3_token_ids(spark: SparkSession, folder: str) -> DataFrame:
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in every document, by suffix arrays."""
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.components(table(spark, folder, "documents"))
