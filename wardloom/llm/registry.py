@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import decontaminate, minhash, suffix_dedup, token_ids
+from wardloom.llm import decontaminate, katz, minhash, suffix_dedup, token_ids
 from wardloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,9 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without strings of 100 bytes that start earlier."""
     return suffix_dedup.deduplicated(table(spark, folder, "documents"))
+
+
+@query
+def op7_katz(spark: SparkSession, folder: str) -> DataFrame:
+    """log10 probability of every document under a Katz model of four fifths of them."""
+    return katz.report(table(spark, folder, "documents"))
