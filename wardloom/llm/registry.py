@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import decontaminate, katz, minhash, suffix_dedup, token_ids
+from wardloom.llm import decontaminate, katz, minhash, mixing, quality_rules, suffix_dedup, token_ids
 from wardloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,19 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op7_katz(spark: SparkSession, folder: str) -> DataFrame:
     """log10 probability of every document under a Katz model of four fifths of them."""
     return katz.report(table(spark, folder, "documents"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base statistics and likelihood verdict of every document."""
+    return quality_rules.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+# Wanted shares of clean, low-quality and toxic tokens.
+MIX_WEIGHTS = (0.94, 0.05, 0.01)
+
+
+@query
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Domain posteriors of every document and the rates that mix them to the wanted shares."""
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "labels"), MIX_WEIGHTS)
