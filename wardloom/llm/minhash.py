@@ -13,11 +13,12 @@ and a component is what links reach.
    probability 5e-6).
 2. *Classes.* Documents with equal sets are one class, led by the smallest
    doc_id, before anything else is done with them.
-3. *Peeling.* Each bucket's smallest member is its hub and is compared with
-   all other members that are not yet in its component; then the hub leaves
-   the bucket. A bucket whose members are in one component is finished. A
+3. *Peeling.* The member of a bucket that meets most others, in all its
+   buckets, is the hub and is compared with all members that are not yet in
+   its component; then the hub leaves the bucket. A bucket whose members are in one component is finished. A
    group of many near copies is thus joined by as many comparisons as it has
-   members. As soon as few pairs are open, they are all compared at once.
+   members. When few pairs are open, or another round would not halve them,
+   all are compared, in blocks of bounded size.
    No pair of a bucket is left out unless its two documents are in one
    component already or differ too much in size, so the result is exact for
    all candidate pairs, whatever a bucket's size.
@@ -49,8 +50,9 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20
 PERCENT = 75
-# All open pairs are compared at once when there are at most so many per member.
-OPEN_PAIRS = 4
+# All that is open is compared at once when it is at most so many pairs per class.
+OPEN_PAIRS = 8
+BLOCK = 256
 
 _rng = np.random.default_rng(20_240_607)
 _ODD = _rng.integers(0, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -213,17 +215,59 @@ def _similar_size(a: str, b: str) -> F.Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _open_pairs(open_members: DataFrame, hubs: DataFrame, all_pairs: bool) -> DataFrame:
-    """Distinct pairs to compare: with the hub of each bucket, or all whose components differ."""
-    ours = open_members.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    if all_pairs:
-        others = open_members.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-        outside = ours.join(hubs.select("key", "hub_comp"), "key").where("comp_a <> hub_comp").drop("hub_comp")
-        pairs = outside.join(others, "key").where("comp_a <> comp_b")
-    else:
-        others = hubs.select("key", F.col("hub").alias("b"), F.col("hub_n").alias("n_b"), F.col("hub_comp").alias("comp_b"))
-        pairs = ours.join(others, "key").where("comp_a <> comp_b")
-    return pairs.where(_similar_size("n_a", "n_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs of a hub and a member of its bucket in another component."""
+    pairs = members.where("comp <> hub_comp").where(_similar_size("n", "hub_n"))
+    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _met(members: DataFrame) -> DataFrame:
+    """(hub_comp, id, comp, outside): who is in a bucket led from which component."""
+    return members.select("hub_comp", "id", "comp").distinct().withColumn("outside", F.col("comp") != F.col("hub_comp"))
+
+
+def _work(met: DataFrame) -> int:
+    """Comparisons that are left if all of them are made."""
+    sizes = met.groupBy("hub_comp").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("outside").cast("long")).alias("outside"))
+    return sizes.agg(F.coalesce(F.sum(F.col("all") * F.col("outside")), F.lit(0)).alias("n")).first()["n"]
+
+
+def _rest_linked(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between those outside a leading component and all it was met with, block by block.
+
+    Both sides are cut into blocks of a bounded size, and each pair of blocks
+    is one group, which yields links only.
+    """
+    sizes = met.groupBy("hub_comp").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all_blocks"),
+        F.ceil(F.sum(F.col("outside").cast("long")) / BLOCK).cast("int").alias("out_blocks"),
+    ).where("out_blocks > 0")
+    rows = met.join(sizes, "hub_comp").join(sets, "id")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["hub_comp", "id", "comp", "shingles"]
+    every = rows.select(*kept, F.lit(False).alias("asks"), block("all_blocks").alias("x"), upto("out_blocks").alias("y"))
+    asking = rows.where("outside").select(*kept, F.lit(True).alias("asks"), upto("all_blocks").alias("x"), block("out_blocks").alias("y"))
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, comps, asks = (group.column(c).to_numpy() for c in ("id", "comp", "asks"))
+        sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
+        there, here = np.flatnonzero(~asks), np.flatnonzero(asks)
+        found: list[tuple[int, int]] = []
+        if len(there):
+            length = np.array([len(sets[i]) for i in there])
+            flat = np.concatenate([sets[i] for i in there])
+            owner = np.repeat(np.arange(len(there)), length)
+            for i in here.tolist():
+                own = sets[i]
+                place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.bincount(owner[own[place] == flat], minlength=len(there))
+                good = (100 * both >= PERCENT * (length + len(own) - both)) & (comps[there] != comps[i])
+                found += [(min(ids[i], x), max(ids[i], x)) for x in ids[there[good]]]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return materialized(every.union(asking).groupBy("hub_comp", "x", "y").applyInArrow(run, "a long, b long"), "minhash-links")
 
 
 def _components(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -233,27 +277,28 @@ def _components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sets = _full_sets(docs, nodes)
     members = members.withColumn("comp", F.col("id"))
     labels = None
+    size, work = classes.count(), None
     while True:
         # what is still open: buckets whose members are in several components
-        several = members.groupBy("key").agg(
-            F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(F.struct("id", "n", "comp")).alias("hub")
-        ).where("_lo <> _hi")
+        several = members.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("m")).where("_lo <> _hi")
+        members = materialized(members.join(several.select("key", "m"), "key"), "minhash-members")
+        # the original of a group of copies meets more of them than the copies meet each other
+        central = members.groupBy("id").agg(F.sum("m").alias("meets"))
+        best = F.max(F.struct("meets", (-F.col("id")).alias("order"), "n", "comp")).alias("best")
         hubs = materialized(
-            several.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp")),
+            members.drop("m").join(central, "id").groupBy("key").agg(best, F.count(F.lit(1)).alias("m"))
+            .select("key", "m", (-F.col("best.order")).alias("hub"), F.col("best.n").alias("hub_n"), F.col("best.comp").alias("hub_comp")),
             "minhash-hubs",
         )
         if hubs.isEmpty():
             break
-        members = materialized(members.join(hubs.select("key", "hub", "hub_comp"), "key"), "minhash-members")
-        sizes = members.groupBy("key").agg(
-            F.count(F.lit(1)).alias("m"), F.sum((F.col("comp") != F.col("hub_comp")).cast("long")).alias("outside")
-        ).agg(F.sum(F.col("m") * F.col("outside")).alias("pairs"), F.sum("m").alias("m")).first()
-        last = sizes["pairs"] <= OPEN_PAIRS * sizes["m"]
-        links = _linked(_open_pairs(members, hubs, last), sets)
-        if last:
-            members = None
-        else:
-            members = members.where("id <> hub").select("key", "id", "n", "comp")
+        members = members.drop("m").join(hubs.drop("m"), "key")
+        met = materialized(_met(members), "minhash-met")
+        work, before = _work(met), work
+        # once a round of hubs has been compared, what is left is either little or not to be had by more rounds
+        last = before is not None and (work <= OPEN_PAIRS * size or 2 * work > before)
+        links = _rest_linked(met, sets) if last else _linked(_hub_pairs(members), sets)
+        members = members.where("id <> hub").select("key", "id", "n", "comp")
         # links join components, so they are joined by their labels
         ends = links
         if labels is not None:
