@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import decontaminate, katz, minhash, mixing, quality_rules, suffix_dedup, token_ids
+from wardloom.llm import decontaminate, katz, knn_quality, minhash, mixing, quality_rules, suffix_dedup, token_ids, toxicity
 from wardloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,15 @@ MIX_WEIGHTS = (0.94, 0.05, 0.01)
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Domain posteriors of every document and the rates that mix them to the wanted shares."""
     return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "labels"), MIX_WEIGHTS)
+
+
+@query
+def op1_knn_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document by votes of its nearest labelled ones."""
+    return knn_quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document by compression distance."""
+    return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
