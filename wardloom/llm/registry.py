@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import decontaminate, katz, knn_quality, minhash, mixing, quality_rules, suffix_dedup, token_ids, toxicity
+from wardloom.llm import decontaminate, html_text, katz, knn_quality, minhash, mixing, quality_rules, suffix_dedup, token_ids, toxicity
 from wardloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,9 @@ def op1_knn_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document by compression distance."""
     return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page, by differencing pages with near URLs."""
+    return html_text.main_texts(table(spark, folder, "pages"))
