@@ -40,8 +40,8 @@ LABELLED_ROWS = 20_000
 # A text speaks for its domain like one of at most so many words.
 VOICE = 64
 SCALE = 1 << 20
-STEPS = 60
-TOLERANCE = 1e-7
+STEPS = 40
+TOLERANCE = 1e-5
 
 DOMAINS = ("clean", "low", "toxic")
 
@@ -137,7 +137,7 @@ def fit_rates(found: DataFrame, targets: Sequence[float], max_rate: float | None
         ).first()
         y = np.array([now[f"y{d}"] for d in domains])
         scale = max(float(np.abs(wanted).max(initial=0)), 1e-300)
-        if np.abs(y - wanted).max() <= tolerance * scale or (before is not None and np.abs(y - before).max() <= tolerance * 1e-2 * scale):
+        if np.abs(y - wanted).max() <= tolerance * scale or (before is not None and np.abs(y - before).max() <= tolerance * scale):
             break
         before = y
         taken.append((inverse @ (y - wanted)).tolist())
