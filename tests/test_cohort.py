@@ -184,17 +184,27 @@ def test_heavy_admission_same_positions(spark):
     assert [r.position for r in heavy] == list(range(1, len(heavy) + 1))
 
 
-def test_heavy_admission_same_lists(spark, monkeypatch):
+def test_heavy_admission_same_lists(spark):
     df = skewed(spark)
-    plain = dx.diagnosis_lists(df)
-    split = dx.diagnosis_lists(df, min_rows=100, share=0.05)
+    plain = dx.diagnosis_summaries(df)
+    split = dx.diagnosis_summaries(df, min_rows=100, share=0.05)
     assert plain.exceptAll(split).count() == 0
-    monkeypatch.setattr(dx, "LIST_PART", 64)
-    parts = dx.list_parts(dx.harmonized(dx.positioned(df, min_rows=100, share=0.05)))
+    parts = dx.diagnosis_lists(df, part_size=64, min_rows=100, share=0.05)
     whole = parts.where("hadm_id = 7").orderBy("part").collect()
     assert max(len(r.diagnosis_codes) for r in whole) == 64
     joined = [c for r in whole for c in r.diagnosis_codes]
-    assert joined == plain.where("hadm_id = 7").first().diagnosis_codes
+    assert joined == dx.diagnosis_lists(df).where("hadm_id = 7").first().diagnosis_codes
+
+
+def test_no_list_is_cut(spark):
+    """12,003 codes of one admission: all are in the parts, in order."""
+    n = dx.LIST_PART + 2003
+    df = spark.range(n).selectExpr("1L as hadm_id", f"cast(id * 7919 % {n} + 1 as int) as seq_num",
+                                   f"format_string('X%05d', id * 7919 % {n} + 1) as icd_code", "10 as icd_version")
+    parts = dx.diagnosis_lists(df).orderBy("part").collect()
+    assert [c for r in parts for c in r.diagnosis_codes] == [f"X{i:05d}" for i in range(1, n + 1)]
+    assert sum(r.num_diagnoses for r in parts) == dx.diagnosis_summaries(df).first().num_diagnoses == n
+    assert dx.diagnosis_summaries(df).first().first_codes == [f"X{i:05d}" for i in range(1, 11)]
 
 
 def test_heavy_key_with_null_order(spark):

@@ -9,7 +9,7 @@ from wardloom.functions import lookups
 from wardloom.functions.numeric import percent
 from wardloom.functions.text import clinical_text
 from wardloom.functions.times import admission_features
-from wardloom.operators.diagnoses import diagnosis_lists
+from wardloom.operators.diagnoses import diagnosis_summaries
 from wardloom.sources.clinical import ClinicalTables
 
 
@@ -37,7 +37,7 @@ def merged(
     order_by: str | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
-    """Admissions with time features, patient columns and diagnosis lists.
+    """Admissions with time features, patient columns and first diagnoses.
 
     Diagnoses are brought down to one row per admission before the join, so
     the join cannot multiply rows. Admissions without any get an empty list
@@ -46,7 +46,7 @@ def merged(
     patients = tables.patients.drop(*[c for c in tables.patients.columns if c.startswith("_")])
     # about one row per admission, and already laid out by admission: worth
     # neither a broadcast nor a second shuffle
-    lists = diagnosis_lists(tables.diagnoses, which, order_by).hint("merge")
+    lists = diagnosis_summaries(tables.diagnoses, which, order_by).hint("merge")
     joined = left_lookup(
         left_lookup(time_features(tables.admissions, which), lists, "hadm_id", null_safe),
         patients,
@@ -56,7 +56,7 @@ def merged(
     nothing = F.array().cast("array<string>")
     return joined.withColumns({
         "num_diagnoses": F.coalesce("num_diagnoses", F.lit(0)),
-        "diagnosis_codes": F.coalesce("diagnosis_codes", nothing),
+        "first_codes": F.coalesce("first_codes", nothing),
         "diagnosis_wordings": F.coalesce("diagnosis_wordings", nothing),
     })
 

@@ -11,7 +11,7 @@ from wardloom.functions.text import CODES_SHOWN
 from wardloom.operators import skew
 from wardloom.sources.schemas import ROW_LABEL
 
-# Codes held in one array cell. Longer lists go on in further parts.
+# Codes held in one array cell; longer lists go on in further rows.
 LIST_PART = 10_000
 
 
@@ -47,25 +47,25 @@ def positioned(
 
 
 def gathered(coded: DataFrame) -> DataFrame:
-    """One row per admission: code list, wordings of the first codes, count.
+    """One row per admission: its first codes, their wordings, and the count of all.
 
-    Input needs ``position``, ``icd_code_harmonized`` and ``wording``. The
-    arrays are bounded: an admission with more than ``LIST_PART`` codes shows
-    that many here and all of them in ``list_parts``. The count is of all.
+    Input needs ``position``, ``icd_code_harmonized`` and ``wording``. Only the
+    ``CODES_SHOWN`` codes that a paragraph can show are here; every code is in
+    ``list_parts``.
     """
-    place = F.col("position")
-    codes = F.when(place <= LIST_PART, F.struct("position", "icd_code_harmonized"))
-    wordings = F.when(place <= CODES_SHOWN, F.struct("position", "wording"))
+    shown = F.col("position") <= CODES_SHOWN
+    codes = F.when(shown, F.struct("position", "icd_code_harmonized"))
+    wordings = F.when(shown, F.struct("position", "wording"))
     return coded.groupBy("hadm_id").agg(
-        F.sort_array(F.collect_list(codes))["icd_code_harmonized"].alias("diagnosis_codes"),
+        F.sort_array(F.collect_list(codes))["icd_code_harmonized"].alias("first_codes"),
         F.sort_array(F.collect_list(wordings))["wording"].alias("diagnosis_wordings"),
         F.count("seq_num").alias("num_diagnoses"),
     )
 
 
-def list_parts(coded: DataFrame) -> DataFrame:
-    """Every code of every admission, in arrays of at most ``LIST_PART``."""
-    part = F.floor((F.col("position") - 1) / LIST_PART).cast("int").alias("part")
+def list_parts(coded: DataFrame, part_size: int = LIST_PART) -> DataFrame:
+    """Every code of every admission, in as many arrays of ``part_size`` as it takes."""
+    part = F.floor((F.col("position") - 1) / part_size).cast("int").alias("part")
     entry = F.struct("position", "icd_code_harmonized")
     return coded.groupBy("hadm_id", part).agg(
         F.sort_array(F.collect_list(entry))["icd_code_harmonized"].alias("diagnosis_codes"),
@@ -74,6 +74,18 @@ def list_parts(coded: DataFrame) -> DataFrame:
 
 
 def diagnosis_lists(
+    dx: DataFrame,
+    which: str | Profile = "full",
+    order_by: str | None = None,
+    part_size: int = LIST_PART,
+    min_rows: int = skew.HEAVY_ROWS,
+    share: float = skew.HEAVY_SHARE,
+) -> DataFrame:
+    """Raw diagnosis rows to the whole code list of each admission, in parts."""
+    return list_parts(harmonized(positioned(dx, order_by, min_rows, share), which), part_size)
+
+
+def diagnosis_summaries(
     dx: DataFrame,
     which: str | Profile = "full",
     order_by: str | None = None,

@@ -13,11 +13,12 @@ PATIENTS = """
 select c_custkey as subject_id,
        case when c_custkey % 10 = 9 then null when c_custkey % 2 = 0 then 'F' else 'M' end as gender,
        cast(18 + (c_custkey * 7) % 73 as integer) as anchor_age
-from customer where c_custkey % 50 <> 49
+from customer
 """
 
 ADMISSIONS = """
-select o_orderkey as hadm_id, o_custkey as subject_id, adm as admittime,
+select o_orderkey as hadm_id, case when o_orderkey % 50 = 49 then -o_custkey else o_custkey end as subject_id,
+       adm as admittime,
        case when o_orderkey % 97 = 0 then null
             else adm + ((o_orderkey * 37) % 480) * interval '1' hour end as dischtime,
        case when o_orderkey % 89 = 0 then null
@@ -113,7 +114,7 @@ left join (select substr(category, 1, 2) as two, arg_min(wording, place) as word
 
 
 LISTS = """
-select hadm_id, string_agg(icd_code_harmonized, '|' order by seq_num) as diagnosis_codes,
+select hadm_id, string_agg(icd_code_harmonized, '|' order by seq_num) filter (where seq_num <= 10) as first_codes,
        string_agg(wording, '|' order by seq_num) filter (where seq_num <= 10) as diagnosis_wordings,
        count(seq_num) as num_diagnoses
 from described group by hadm_id
@@ -128,7 +129,7 @@ where rn <= 7 group by hadm_id
 """
 
 MERGED = """
-select t.*, p.gender, p.anchor_age, coalesce(l.diagnosis_codes, '') as diagnosis_codes,
+select t.*, p.gender, p.anchor_age, coalesce(l.first_codes, '') as first_codes,
        coalesce(l.num_diagnoses, 0) as num_diagnoses, s.shown
 from times t left join lists l using (hadm_id) left join shown s using (hadm_id)
 left join patients p using (subject_id)
@@ -373,12 +374,13 @@ def oracle_sql() -> dict[str, str]:
             {"admissions": ADMISSIONS}, f"select hadm_id, race, {_race_group(which)} as race_group from admissions"
         )
         sql[f"fairness_{which}"] = _with(fair(which), _round("race_group n_samples", fair_columns, "fair"))
-    sql["diagnosis_lists"] = _with(coded("full") | {"lists": LISTS}, "select * from lists")
-    sql["diagnosis_list_parts"] = _with(coded("full"), """
-        select hadm_id, cast((seq_num - 1) // 10000 as integer) as part,
-               string_agg(icd_code_harmonized, '|' order by seq_num) as diagnosis_codes,
-               count(seq_num) as num_diagnoses
-        from harmonized group by 1, 2""")
+    sql["diagnosis_summaries"] = _with(coded("full") | {"lists": LISTS}, "select * from lists")
+    for name, part_size in (("diagnosis_lists", 10_000), ("diagnosis_list_parts", 2)):
+        sql[name] = _with(coded("full"), f"""
+            select hadm_id, cast((seq_num - 1) // {part_size} as integer) as part,
+                   string_agg(icd_code_harmonized, '|' order by seq_num) as diagnosis_codes,
+                   count(seq_num) as num_diagnoses
+            from harmonized group by 1, 2""")
     features = "admit_hour admit_dayofweek admit_month is_weekend is_night_admission"
     sql["time_features"] = _with(
         {"admissions": ADMISSIONS, "times": TIMES}, _round(f"hadm_id {features}", "los_days", "times")
@@ -391,7 +393,7 @@ def oracle_sql() -> dict[str, str]:
     sql["merged_cohort"] = _with(
         whole("full"),
         f"{stamped}, gender, anchor_age, round(los_days, 6) as los_days, {', '.join(features.split())},"
-        " diagnosis_codes, num_diagnoses from merged",
+        " first_codes, num_diagnoses from merged",
     )
     sql["example_paragraph"] = _with(
         whole("full"),

@@ -142,14 +142,23 @@ def describe_compact(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def diagnosis_lists(spark: SparkSession, folder: str) -> DataFrame:
     return dx.diagnosis_lists(st.diagnoses(spark, folder), "full").select(
-        "hadm_id", _text_list("diagnosis_codes"), _text_list("diagnosis_wordings"), "num_diagnoses"
+        "hadm_id", "part", _text_list("diagnosis_codes"), "num_diagnoses"
     )
 
 
 @query
 def diagnosis_list_parts(spark: SparkSession, folder: str) -> DataFrame:
-    placed = dx.positioned(dx.harmonized(st.diagnoses(spark, folder), "full"))
-    return dx.list_parts(placed).select("hadm_id", "part", _text_list("diagnosis_codes"), "num_diagnoses")
+    """The same lists in parts of two codes, so that most admissions have several."""
+    return dx.diagnosis_lists(st.diagnoses(spark, folder), "full", part_size=2).select(
+        "hadm_id", "part", _text_list("diagnosis_codes"), "num_diagnoses"
+    )
+
+
+@query
+def diagnosis_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    return dx.diagnosis_summaries(st.diagnoses(spark, folder), "full").select(
+        "hadm_id", _text_list("first_codes"), _text_list("diagnosis_wordings"), "num_diagnoses"
+    )
 
 
 # --- cohort ------------------------------------------------------------------
@@ -180,7 +189,7 @@ def merged_cohort(spark: SparkSession, folder: str) -> DataFrame:
             "hadm_id", "subject_id", _stamp("admittime"), _stamp("dischtime"), "hospital_expire_flag",
             "admission_type", "admission_location", "insurance", "marital_status", "race", "gender",
             "anchor_age", "los_days", "admit_hour", "admit_dayofweek", "admit_month", "is_weekend",
-            "is_night_admission", _text_list("diagnosis_codes"), "num_diagnoses",
+            "is_night_admission", _text_list("first_codes"), "num_diagnoses",
         )
     )
 

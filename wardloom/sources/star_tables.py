@@ -16,8 +16,8 @@ def star(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def patients(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers as patients; every 50th is missing, so joins have misses."""
-    return star(spark, folder, "customer").where("c_custkey % 50 <> 49").selectExpr(
+    """Customers as patients."""
+    return star(spark, folder, "customer").selectExpr(
         "c_custkey as subject_id",
         "case when c_custkey % 10 = 9 then null when c_custkey % 2 = 0 then 'F' else 'M' end as gender",
         "cast(18 + (c_custkey * 7) % 73 as int) as anchor_age",
@@ -25,12 +25,12 @@ def patients(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def admissions(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as admissions, with gaps in most columns."""
+    """Orders as admissions, with gaps in most columns; every 50th has an unknown patient."""
     return (
         star(spark, folder, "orders")
         .selectExpr(
             "o_orderkey as hadm_id",
-            "o_custkey as subject_id",
+            "case when o_orderkey % 50 = 49 then -o_custkey else o_custkey end as subject_id",
             "o_orderdate + ((o_orderkey * 7) % 24) * interval '1' hour as admittime",
             "case when o_orderkey % 97 <> 0 then o_orderdate"
             " + ((o_orderkey * 7) % 24 + (o_orderkey * 37) % 480) * interval '1' hour end as dischtime",
