@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -9,13 +14,15 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardloom.functions import lookups
-from wardloom.operators.metrics import log_loss, regression_metrics, roc_auc
+from wardloom.operators.metrics import roc_auc
+from wardloom.sources.sinks import materialized, new_location
 
 
 def fit_mortality(train: DataFrame, label: str = "hospital_expire_flag", features: str = "features",
@@ -101,25 +108,74 @@ def fit_vector_regressor(train: DataFrame, vector: str, label: str, trees: int =
 # --- per-iteration history ---------------------------------------------------
 
 
-def staged_outputs(model: GBTClassificationModel | GBTRegressionModel, df: DataFrame,
-                   name: str = "staged") -> DataFrame:
+@dataclass
+class TreeTable:
+    """The nodes of all trees, end to end; a leaf is its own child."""
+
+    used: list[int]  # features that any tree looks at
+    roots: np.ndarray
+    column: np.ndarray  # place of the node's feature in ``used``
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray  # prediction times the tree's weight
+    depth: int
+
+    def staged(self, rows: np.ndarray) -> np.ndarray:
+        """Running sum of the trees for each row: one column per iteration."""
+        out = np.empty((len(rows), len(self.roots)))
+        every = np.arange(len(rows))
+        for i, root in enumerate(self.roots.tolist()):
+            node = np.full(len(rows), root)
+            for _ in range(self.depth):
+                low = rows[every, self.column[node]] <= self.threshold[node]
+                node = np.where(low, self.left[node], self.right[node])
+            out[:, i] = self.value[node]
+        return np.cumsum(out, axis=1)
+
+
+def tree_table(model: GBTClassificationModel | GBTRegressionModel, spark: SparkSession, trees: int | None = None) -> TreeTable:
+    """Nodes of a fitted model (its first ``trees``), read from the model's own saved form."""
+    location = new_location(spark, "trees")
+    model.save(location)
+    nodes = spark.read.parquet(f"{location}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
+    weights = list(model.treeWeights)[:trees]
+    nodes = [n for n in nodes if n["treeID"] < len(weights)]
+    used = sorted({n["split"]["featureIndex"] for n in nodes if n["leftChild"] >= 0}) or [0]
+    place = {f: i for i, f in enumerate(used)}
+    first: dict[int, int] = {}
+    for i, n in enumerate(nodes):
+        first.setdefault(n["treeID"], i)
+    inner = [n["leftChild"] >= 0 for n in nodes]
+    child = lambda side: np.array([first[n["treeID"]] + n[side] if k else i for i, (n, k) in enumerate(zip(nodes, inner))])
+    return TreeTable(
+        used, np.array([first[t] for t in range(len(weights))]),
+        np.array([place[n["split"]["featureIndex"]] if k else 0 for n, k in zip(nodes, inner)]),
+        np.array([n["split"]["leftCategoriesOrThreshold"][0] if k else 0.0 for n, k in zip(nodes, inner)]),
+        child("leftChild"), child("rightChild"), np.array([n["prediction"] * weights[n["treeID"]] for n in nodes]),
+        max(t.depth for t in model.trees),
+    )
+
+
+def staged_outputs(model: GBTClassificationModel | GBTRegressionModel, df: DataFrame, name: str = "staged",
+                   trees: int | None = None) -> DataFrame:
     """Add the running weighted sum of the trees, one entry per iteration.
 
-    Every tree scores a row once; the running sums are then built in the row.
+    All trees score a batch of rows in one step; only the features that they
+    look at leave the JVM.
     """
-    out = df
-    parts: list[Column] = []
-    for i, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
-        tree.setPredictionCol(f"_tree{i}")
-        tree.setFeaturesCol(model.getFeaturesCol())
-        out = tree.transform(out)
-        parts.append(F.col(f"_tree{i}") * F.lit(weight))
-    sums = F.aggregate(
-        F.array(*parts),
-        F.array().cast("array<double>"),
-        lambda done, x: F.concat(done, F.array(x + F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)))),
-    )
-    return out.select(*df.columns, sums.alias(name))
+    table = tree_table(model, df.sparkSession, trees)
+    known = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("array<double>")
+    def running(batch: pa.Array) -> pa.Array:
+        width = len(known.value.used)
+        sums = known.value.staged(batch.flatten().to_numpy().reshape(-1, width))
+        offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * sums.shape[1])
+        return pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))
+
+    sliced = VectorSlicer(inputCol=model.getFeaturesCol(), outputCol="_sliced", indices=table.used).transform(df)
+    return sliced.select(*df.columns, running(vector_to_array("_sliced")).alias(name))
 
 
 def _iterations(staged: DataFrame, label: str, name: str = "staged") -> DataFrame:
@@ -130,37 +186,54 @@ def _iterations(staged: DataFrame, label: str, name: str = "staged") -> DataFram
     )
 
 
+def _mean_by_iteration(staged: DataFrame, losses: dict[str, Callable[[Column, Column], Column]], label: str,
+                       iterations: int, name: str = "staged") -> DataFrame:
+    """``iteration`` and the mean of each loss (of the label and the running sum), in one pass, one row out of each task."""
+    values = F.transform(F.col(name), lambda x: F.struct(*[f(F.col(label).cast("double"), x).alias(k) for k, f in losses.items()]))
+    rows = staged.where(F.col(label).isNotNull()).select(values.alias("v"))
+    means = [F.array(*[F.avg(F.col("v")[i][k]) for i in range(iterations)]).alias(k) for k in losses]
+    zipped = rows.agg(*means).select(F.posexplode(F.arrays_zip(*losses)).alias("_pos", "m"))
+    return zipped.select((F.col("_pos") + 1).alias("iteration"), *[F.col(f"m.{k}").alias(k) for k in losses])
+
+
 def margin_probability(margin: Column) -> Column:
     """Boosted log-odds margin to the probability of label 1."""
     return 1.0 / (1.0 + F.exp(-2.0 * margin))
 
 
+def _row_log_loss(label: Column, margin: Column) -> Column:
+    # log(1 + exp(-x)) without overflow, for the margin's sign as the label wants it
+    x = 2.0 * margin * F.when(label == 1, 1.0).otherwise(-1.0)
+    return F.log1p(F.exp(-F.abs(x))) + F.greatest(-x, F.lit(0.0))
+
+
+def _staged_table(model: GBTClassificationModel | GBTRegressionModel, df: DataFrame, label: str) -> DataFrame:
+    """Label and running sums, written once and read by every measure."""
+    return materialized(staged_outputs(model, df).select(label, "staged"), "staged")
+
+
 def mortality_history(model: GBTClassificationModel, train: DataFrame, val: DataFrame,
                       label: str = "hospital_expire_flag") -> DataFrame:
     """``iteration, train_loss, val_loss, val_auc`` for every iteration."""
-
-    def staged(df: DataFrame) -> DataFrame:
-        return _iterations(staged_outputs(model, df), label).select(
-            "iteration", F.col(label).alias("label"), margin_probability(F.col("margin")).alias("prob")
-        )
-
-    train_loss = log_loss(staged(train), ["iteration"]).withColumnRenamed("log_loss", "train_loss")
-    held = staged(val)
-    val_loss = log_loss(held, ["iteration"]).withColumnRenamed("log_loss", "val_loss")
-    val_auc = roc_auc(held, ["iteration"]).withColumnRenamed("auc_roc", "val_auc")
+    n = model.getNumTrees
+    held = _staged_table(model, val, label)
+    train_loss = _mean_by_iteration(_staged_table(model, train, label), {"train_loss": _row_log_loss}, label, n)
+    val_loss = _mean_by_iteration(held, {"val_loss": _row_log_loss}, label, n)
+    # ranking needs the rows of each iteration: label and score of the validation split only
+    ranked = _iterations(held, label).select(
+        "iteration", F.col(label).alias("label"), margin_probability(F.col("margin")).alias("prob")
+    )
+    val_auc = roc_auc(ranked, ["iteration"]).withColumnRenamed("auc_roc", "val_auc")
     return train_loss.join(val_loss, "iteration").join(val_auc, "iteration").orderBy("iteration")
 
 
 def stay_history(model: GBTRegressionModel, train: DataFrame, val: DataFrame,
                  label: str = "los_days") -> DataFrame:
     """``iteration, train_loss, val_loss, val_mae`` for every iteration."""
-
-    def measured(df: DataFrame) -> DataFrame:
-        rows = _iterations(staged_outputs(model, df), label)
-        return regression_metrics(rows, ["iteration"], label, "margin")
-
-    train_loss = measured(train).select("iteration", F.col("mse").alias("train_loss"))
-    held = measured(val).select("iteration", F.col("mse").alias("val_loss"), F.col("mae").alias("val_mae"))
+    n = model.getNumTrees
+    square, size = (lambda y, x: (y - x) * (y - x)), (lambda y, x: F.abs(y - x))
+    train_loss = _mean_by_iteration(_staged_table(model, train, label), {"train_loss": square}, label, n)
+    held = _mean_by_iteration(_staged_table(model, val, label), {"val_loss": square, "val_mae": size}, label, n)
     return train_loss.join(held, "iteration").orderBy("iteration")
 
 
@@ -182,17 +255,10 @@ def score_at_iteration(model: GBTClassificationModel | GBTRegressionModel, df: D
 
     A classifier adds ``prob`` and ``pred``, a regressor adds ``los_pred``.
     """
-    out = df
-    parts: list[Column] = []
-    for i in range(iteration):
-        tree, weight = model.trees[i], model.treeWeights[i]
-        tree.setPredictionCol(f"_tree{i}")
-        tree.setFeaturesCol(model.getFeaturesCol())
-        out = tree.transform(out)
-        parts.append(F.col(f"_tree{i}") * F.lit(weight))
-    margin = F.aggregate(F.array(*parts), F.lit(0.0), lambda a, b: a + b)
+    staged = staged_outputs(model, df, "_staged", iteration)
+    margin = F.element_at("_staged", -1)
     if isinstance(model, GBTClassificationModel):
-        return out.select(*df.columns, margin_probability(margin).alias("prob")).withColumn(
+        return staged.select(*df.columns, margin_probability(margin).alias("prob")).withColumn(
             "pred", (F.col("prob") > 0.5).cast("int")
         )
-    return out.select(*df.columns, margin.alias("los_pred"))
+    return staged.select(*df.columns, margin.alias("los_pred"))

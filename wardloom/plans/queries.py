@@ -28,11 +28,6 @@ from wardloom.sources.schemas import TABLE_FILES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Trees and terms used by the registered model queries; the library defaults
-# are the full settings.
-QUERY_TREES = 10
-QUERY_TERMS = 300
-HEAD_ITERATIONS = 20
 ENCODING_LENGTH = lookups.MAX_LENGTH
 ENCODING_WORDS = 30_000
 
@@ -499,7 +494,7 @@ def _split_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Compact cohort with splits and TF-IDF vectors; the cohort is written once."""
     cohort = materialized(co.build_cohort(st.clinical_tables(spark, folder), "compact"), "cohort")
     rows = split.stratified_split(spread(cohort))
-    model = features.fit_tfidf(_part(rows, "train"), "clinical_text", QUERY_TERMS)
+    model = features.fit_tfidf(_part(rows, "train"), "clinical_text")
     return model.transform(rows, "clinical_text")
 
 
@@ -510,7 +505,7 @@ def _part(df: DataFrame, name: str) -> DataFrame:
 @query
 def gbt_mortality(spark: SparkSession, folder: str) -> DataFrame:
     rows = _split_vectors(spark, folder)
-    model = models.fit_mortality(_part(rows, "train"), trees=QUERY_TREES)
+    model = models.fit_mortality(_part(rows, "train"))
     return _exact(
         models.score_mortality(model, _part(rows, "test")).select("hadm_id", "hospital_expire_flag", "prob", "pred")
     )
@@ -519,7 +514,7 @@ def gbt_mortality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def gbt_los(spark: SparkSession, folder: str) -> DataFrame:
     rows = _split_vectors(spark, folder)
-    model = models.fit_stay(_part(rows, "train"), trees=QUERY_TREES)
+    model = models.fit_stay(_part(rows, "train"))
     return _exact(models.score_stay(model, _part(rows, "test")).select("hadm_id", "los_days", "los_pred"))
 
 
@@ -527,7 +522,7 @@ def gbt_los(spark: SparkSession, folder: str) -> DataFrame:
 def training_history(spark: SparkSession, folder: str) -> DataFrame:
     rows = _split_vectors(spark, folder)
     train, val = _part(rows, "train"), _part(rows, "val")
-    model = models.fit_mortality(train, trees=QUERY_TREES)
+    model = models.fit_mortality(train)
     return _exact(reports.history_long(models.mortality_history(model, train, val)))
 
 
@@ -535,14 +530,14 @@ def training_history(spark: SparkSession, folder: str) -> DataFrame:
 def los_history(spark: SparkSession, folder: str) -> DataFrame:
     rows = _split_vectors(spark, folder)
     train, val = _part(rows, "train"), _part(rows, "val")
-    model = models.fit_stay(train, trees=QUERY_TREES)
+    model = models.fit_stay(train)
     return _exact(reports.history_long(models.stay_history(model, train, val)))
 
 
 @query
 def fit_vector_head(spark: SparkSession, folder: str) -> DataFrame:
     rows = split.stratified_split(_vectors(spark, folder), "label", "vec_id")
-    model = models.fit_vector_classifier(_part(rows, "train"), "embedding", "label", 10, iterations=HEAD_ITERATIONS)
+    model = models.fit_vector_classifier(_part(rows, "train"), "embedding", "label", 10)
     return _exact(
         models.score_vectors(model, _part(rows, "test"), "embedding").select(
             "vec_id", "label", F.col("pred").cast("int").alias("pred"), "prob"
@@ -553,5 +548,5 @@ def fit_vector_head(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def fit_vector_regressor(spark: SparkSession, folder: str) -> DataFrame:
     rows = split.stratified_split(_vectors(spark, folder), "label", "vec_id")
-    model = models.fit_vector_regressor(_part(rows, "train"), "embedding", "label", trees=QUERY_TREES)
+    model = models.fit_vector_regressor(_part(rows, "train"), "embedding", "label")
     return _exact(models.score_vectors(model, _part(rows, "test"), "embedding").select("vec_id", "label", "pred"))
