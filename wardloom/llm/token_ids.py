@@ -109,12 +109,13 @@ class Encoder:
                 for line in lines:
                     words.update(line[1:])
         for lead, wanted in ((" ", words), ("\n", heads)):
-            new = wanted - self.known[lead].keys()
+            known = self.known[lead]
+            new = [x for x in wanted if x not in known]
             if sum(map(len, self.known.values())) + len(new) > REMEMBERED:
                 for held in self.known.values():
                     held.clear()
                 return self.encode(texts) if len(words) + len(heads) <= REMEMBERED else list(map(self._whole, texts))
-            self._learn(lead, list(new))
+            self._learn(lead, new)
         space, line_break = self.known[" "].__getitem__, self.known["\n"].__getitem__
         out = []
         for text, lines in zip(texts, split):

@@ -48,7 +48,7 @@ MIN_DOCUMENTS = 3
 SIGNIFICANT = 3.5
 TIMES = 4.0
 THRESHOLDS = (3, 5)
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 _HEAD = bytes([*range(1, 9), 11, 12, *range(14, 20)])
 _TAIL = bytes([*range(20, 32), 127, 1, 127, 2])
@@ -57,7 +57,7 @@ _TAIL = bytes([*range(20, 32), 127, 1, 127, 2])
 def windows(text: bytes) -> set[bytes]:
     """The distinct windows of a text, lower-cased."""
     words = set(text.lower().split())
-    if any(len(w) > WINDOW for w in words):
+    if max(map(len, words), default=0) > WINDOW:
         words = {w[i : i + WINDOW] for w in words for i in range(0, len(w), WINDOW)}
     return words
 
@@ -82,9 +82,10 @@ class Dictionaries:
         known = self.margins
         if len(known) > REMEMBERED:
             known.clear()
-        for w in found - known.keys():
-            window = _HEAD + b" " + w + b" " + _TAIL
-            known[w] = len(self._ordinary.compress(window)) - len(self._toxic.compress(window))
+        for w in found:
+            if w not in known:
+                window = _HEAD + b" " + w + b" " + _TAIL
+                known[w] = len(self._ordinary.compress(window)) - len(self._toxic.compress(window))
         return [known[w] for w in found]
 
 
