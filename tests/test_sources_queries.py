@@ -63,10 +63,6 @@ def test_parquet(spark, folder, tmp_path):
         load_tables(spark, str(tmp_path), "orc")
 
 
-def test_shared_folder_is_the_configured_one(spark):
-    assert sinks.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
-
-
 @pytest.mark.parametrize("which", ["compact", "full"])
 def test_study(spark, folder, tmp_path, which):
     settings = StudySettings(trees=3, depth=3, max_terms=40, min_group_size=5)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 HEAVY_ROWS = 1_000_000
 HEAVY_SHARE = 1e-4
 RANGES = 256
+FEW_SPLITS = 64
 
 
 def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> list:
@@ -100,9 +101,9 @@ def numbered(
 def spread(scan: DataFrame) -> DataFrame:
     """Give every core a share of a small scan before heavy work per row.
 
-    Inputs with at least as many partitions as there are cores, which is all
-    large ones, are left where they are. Meant for plain scans: on other
-    plans the partition count is only known by running them.
+    Only a scan of fewer than ``FEW_SPLITS`` partitions, a few gigabytes at
+    most, is ever moved. Meant for plain scans: on other plans the partition
+    count is only known by running them.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
+    cores = min(scan.sparkSession.sparkContext.defaultParallelism, FEW_SPLITS)
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
