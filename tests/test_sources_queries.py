@@ -8,7 +8,8 @@ import __spark_entry__ as spec
 from tools.check_queries import normalized
 from wardloom.plans.study import StudySettings, run_study, write_study
 from wardloom.sources import sinks
-from wardloom.sources.clinical import load_tables, table_sizes
+from wardloom.sources.clinical import load_tables, read_csv_table, table_sizes
+from wardloom.sources.schemas import SCHEMAS
 from wardloom.sources.star_tables import clinical_tables
 
 
@@ -52,6 +53,13 @@ def test_csv_bad_number(spark, csv_folder):
     assert load_tables(spark, csv_folder, strict=False).patients.first().anchor_age is None
 
 
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "patients_table.csv"
+    path.write_text(',subject_id,gender,anchor_age\n0,1,"F\nx",40\n1,2,M,50\n')
+    got = read_csv_table(spark, str(path), SCHEMAS["patients"], multi_line=True).orderBy("subject_id").collect()
+    assert [(r.subject_id, r.gender, r.anchor_age) for r in got] == [(1, "F\nx", 40), (2, "M", 50)]
+
+
 def test_parquet(spark, folder, tmp_path):
     tables = clinical_tables(spark, folder)
     for name, stem in (("patients", "patients_table"), ("admissions", "patient_admissions"),

@@ -349,6 +349,8 @@ def oracle_sql() -> dict[str, str]:
     sql["scan_patients"] = PATIENTS
     sql["scan_admissions"] = _with({"admissions": ADMISSIONS}, f"{stamped} from admissions")
     sql["scan_diagnoses"] = DIAGNOSES
+    for name in ("load_csv_patients", "load_csv_gaps"):
+        sql[name] = f"select subject_id as _row_id, * from ({PATIENTS}) p"
     sql["load_csv_sizes"] = _with(base, """select 'patients' as table_name, count(*) as n_rows from patients
         union all select 'admissions', count(*) from admissions
         union all select 'diagnoses', count(*) from diagnoses""")

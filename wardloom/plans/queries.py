@@ -22,9 +22,9 @@ from wardloom.operators import fairness, features, heads, metrics, models, split
 from wardloom.operators.skew import spread
 from wardloom.plans import reports
 from wardloom.sources import star_tables as st
-from wardloom.sources.clinical import load_tables, table_sizes
+from wardloom.sources.clinical import load_tables, read_csv_table, table_sizes
 from wardloom.sources.sinks import materialized, new_location, rounded, write_table
-from wardloom.sources.schemas import TABLE_FILES
+from wardloom.sources.schemas import SCHEMAS, TABLE_FILES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,8 +75,8 @@ def scan_diagnoses(spark: SparkSession, folder: str) -> DataFrame:
     return st.diagnoses(spark, folder)
 
 
-def _csv_folder(spark: SparkSession, folder: str) -> str:
-    """The clinical tables as CSV files with a leading row label."""
+def _csv_folder(spark: SparkSession, folder: str, only: str | None = None, gap: str | None = None) -> str:
+    """The clinical tables (or one) as CSV files with a leading row label; ``gap`` is written for nulls."""
     place = new_location(spark, "csv")
     tables = st.clinical_tables(spark, folder)
     labels = {
@@ -85,11 +85,17 @@ def _csv_folder(spark: SparkSession, folder: str) -> str:
         "diagnoses": F.col("hadm_id") * 1_000_000 + F.col("seq_num"),
     }
     for name, frame in zip(tables._fields, tables):
-        labelled = frame.select(labels[name].alias("label"), *frame.columns)
-        write_table(labelled, f"{place}/{TABLE_FILES[name]}.csv")
+        if only in (None, name):
+            cells = [F.coalesce(F.col(c).cast("string"), F.lit(gap)).alias(c) for c in frame.columns] if gap else frame.columns
+            write_table(frame.select(labels[name].alias("label"), *cells), f"{place}/{TABLE_FILES[name]}.csv")
     return place
 
 
+def _csv_table(spark: SparkSession, folder: str, name: str, gap: str | None = None) -> DataFrame:
+    place = _csv_folder(spark, folder, name, gap)
+    return read_csv_table(spark, f"{place}/{TABLE_FILES[name]}.csv", SCHEMAS[name])
+
+
 @query
 def load_csv_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return table_sizes(load_tables(spark, _csv_folder(spark, folder)))
@@ -97,14 +103,25 @@ def load_csv_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def load_csv_admissions(spark: SparkSession, folder: str) -> DataFrame:
-    df = load_tables(spark, _csv_folder(spark, folder)).admissions
+    df = _csv_table(spark, folder, "admissions")
     times = ("admittime", "dischtime")
     return df.select(*[_stamp(c) if c in times else F.col(c) for c in df.columns])
 
 
 @query
 def load_csv_diagnoses(spark: SparkSession, folder: str) -> DataFrame:
-    return load_tables(spark, _csv_folder(spark, folder)).diagnoses
+    return _csv_table(spark, folder, "diagnoses")
+
+
+@query
+def load_csv_patients(spark: SparkSession, folder: str) -> DataFrame:
+    return _csv_table(spark, folder, "patients")
+
+
+@query
+def load_csv_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Patients from cells in which gaps are spelled out."""
+    return _csv_table(spark, folder, "patients", gap="N/A")
 
 
 # --- codes -------------------------------------------------------------------

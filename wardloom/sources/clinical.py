@@ -32,15 +32,17 @@ def _typed(text: Column, kind: T.DataType, strict: bool) -> Column:
     return value.cast(kind) if strict else value.try_cast(kind)
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True,
+                   multi_line: bool = False) -> DataFrame:
     """CSV with a header and a leading row-label column.
 
     The file's own header decides the column order, so extra columns are
     allowed; only the declared ones (and the label, as ``_row_id``) are kept,
     and only they are parsed. Text that is not of the declared type raises
-    unless ``strict`` is off, in which case it becomes null.
+    unless ``strict`` is off, in which case it becomes null. ``multi_line``
+    accepts quoted line breaks; a file is then read in one piece.
     """
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     label, *names = raw.columns
     columns = [F.col(f"`{label}`").try_cast("long").alias(ROW_LABEL)]
     for field in schema:
@@ -57,13 +59,14 @@ def read_parquet_table(spark: SparkSession, path: str, schema: T.StructType) ->
     return raw.select(columns)
 
 
-def load_tables(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = True) -> ClinicalTables:
+def load_tables(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = True,
+                multi_line: bool = False) -> ClinicalTables:
     """Patients, admissions and diagnoses found in one folder."""
     frames = []
     for table, stem in TABLE_FILES.items():
         location = f"{path.rstrip('/')}/{stem}.{fmt}"
         if fmt == "csv":
-            frames.append(read_csv_table(spark, location, SCHEMAS[table], strict))
+            frames.append(read_csv_table(spark, location, SCHEMAS[table], strict, multi_line))
         elif fmt == "parquet":
             frames.append(read_parquet_table(spark, location, SCHEMAS[table]))
         else:
