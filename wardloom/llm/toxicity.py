@@ -49,6 +49,7 @@ SIGNIFICANT = 3.5
 TIMES = 4.0
 THRESHOLDS = (3, 5)
 REMEMBERED = 800_000
+COUNTING_TASKS = 8
 
 _HEAD = bytes([*range(1, 9), 11, 12, *range(14, 20)])
 _TAIL = bytes([*range(20, 32), 127, 1, 127, 2])
@@ -136,7 +137,8 @@ def _counted(sample: DataFrame) -> DataFrame:
                 )
 
     counts = sample.select("text", "label").mapInArrow(run, "window binary, toxic long, ordinary long")
-    return counts.groupBy("window").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    # the sample is bounded, and so is the number of tasks that each send their best windows to the driver
+    return counts.repartition(COUNTING_TASKS, "window").groupBy("window").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _dictionary(rows: list) -> bytes:
