@@ -69,3 +69,37 @@ def test_long_and_broken():
     assert ht.lines_of("<div>" * 5000 + "x" + "</div>" * 5000)[0] == ["x"]
     assert ht.lines_of("<a href='" + "y" * 1000)[0] == ["<a href='" + "y" * 1000]
     assert ht.lines_of("<nav>menu<p>more</nav>text")[0] == ["text"]
+
+
+def test_differencing_decides_inside_articles(spark, rows):
+    body = '<div class="layout sidebar"><article><p>Read more on our site</p><p>Story {0} goes like this and on</p></article></div><div>Seen outside {0}</div><div>Welcome</div>'
+    pages = [(i, f"http://h/{p}", PAGE.format(body=body.format(i))) for i, p in enumerate("abcd")]
+    # exact and near copies between b and c are passed over; teasers do not replace a body
+    pages += [(10 + i, f"http://h/b{i}", pages[1][2]) for i in range(3)]
+    pages += [(20, "http://t/a", "<article>Teaser</article><div>The real body of this page</div>")]
+    got = texts(spark, rows, pages)
+    assert got == {
+        **{i: f"Story {i} goes like this and on\n\nSeen outside {i}" for i in range(4)},
+        **{10 + i: "Story 1 goes like this and on\n\nSeen outside 1" for i in range(3)}, 20: "Teaser\n\nThe real body of this page",
+    }
+
+
+def test_ranges_do_not_matter(spark, rows):
+    import random
+
+    r = random.Random(7)
+    pages = []
+    for i in range(60):
+        same = r.random() < 0.5
+        lines = ["Menu of the site", "Shared " * r.randrange(1, 3), f"Own story {0 if same else i} " * 20]
+        pages.append((i, f"http://h{i // 40}/{i:03}", "".join(f"<div>{x}</div>" for x in lines) + f"<main><p>{lines[1]}</p><p>Main {i}</p></main>"))
+    got = {}
+    try:
+        for n in (1, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            got[n] = texts(spark, rows, pages)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got[1] == got[40] and not any("Menu" in t for t in got[1].values())

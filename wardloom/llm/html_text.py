@@ -2,25 +2,30 @@
 
 1. *Lines.* Markup is cut into text lines, one for each block. Lines inside
    scripts, styles, menus, footers, side bars, forms and the like, or inside
-   elements whose class, id or role names such a part, are none. A line is
-   *inner* if it stands in an article or main element.
-2. *Mates.* Pages are put in order of host and URL path; a page's mates are its
-   neighbours of the same host. Only keys and places go into that order, which
-   is dealt out by ranges, so a host with a third of all pages is many tasks;
-   the ends of the ranges are joined up by one row from each.
+   elements whose class, id or role names such a part, are none; an article or
+   main element is not dropped for a class or id around it. A line is *inner*
+   if it stands in an article or main element.
+2. *Mates.* Pages are put in order of host and URL path; a page's mates are the
+   nearest page before and the nearest after it on the same host that are not
+   copies of it (a copy shares over ``COPY`` of its characters). Only keys and
+   line hashes go into that order, which is dealt out by ranges, so a host with
+   a third of all pages is many tasks; across the ends of the ranges, pages are
+   compared with at most two pages of each side.
 3. *Differencing.* The lines of a page and of each mate are aligned by a longest
-   common subsequence, the n-th occurrence of a line matching the n-th. Shared
-   lines are deleted, unless the mate is a copy of the page (it shares over
-   ``COPY`` of its characters).
-4. *Text.* If a page has inner lines they are its text, and they are never
-   deleted, as an article may be mirrored; else it is what was not shared.
+   common subsequence, the n-th occurrence of a line matching the n-th. A line
+   that a mate shares is deleted; an inner one only if all mates share it.
+4. *Text* is what is left of all lines.
+
+A run of copies is passed by the mate that its neighbour in the run found, so
+each page is compared with a few others however long the run is.
 
 Lines travel as hashes; the texts are shuffled once, in the last join.
 
 Defined cases: a null or empty html has an empty text; a null or odd URL is a
 host of its own name; equal rows (id, URL, html) have equal texts and each
-stays; a page without a mate keeps its lines; unclosed elements end with their
-parent; an empty table gives an empty result; other columns are ignored.
+stays; a page without lines is nobody's mate; a page without a mate keeps its
+lines; unclosed elements end with their parent; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -65,22 +71,23 @@ PARTS = frozenset(
 )
 
 
-def _is_part(name: str, attributes: str, inside_main: bool) -> bool:
-    """Whether an element starts a part that is not the article."""
+def _is_part(name: str, attributes: str, inside_main: bool) -> int:
+    """Whether an element starts a part that is not the article: 1, or 2 if only its class or id says so."""
     if name in OUTER or (name == "header" and not inside_main):
-        return True
+        return 1
     if not attributes or name in MAIN or name in ("html", "body"):
-        return False
+        return 0
+    part = 0
     for key, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         key = key.lower()
         if key in ("class", "id") and any(w.lower() in PARTS for w in _NAME.findall(value)):
-            return True
+            part = 2
         if (key == "role" and value.lower() in ROLES) or key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 1
         if key == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return 1
+    return part
 
 
 def lines_of(page: str) -> tuple[list[str], list[bool]]:
@@ -88,8 +95,8 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
     texts: list[str] = []
     inner: list[bool] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, starts a part, starts the main text
-    parts = mains = at = 0
+    stack: list[tuple[str, int, bool, int]] = []  # element, starts a part, starts the main text, named parts around it
+    parts = named = mains = at = 0  # parts by element or role, parts by class or id
 
     def flush() -> None:
         if held:
@@ -100,7 +107,7 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
             held.clear()
 
     for mark in _MARK.finditer(page):
-        if not parts and mark.start() > at:
+        if not parts and not named and mark.start() > at:
             held.append(page[at : mark.start()])
         at = mark.end()
         name = mark[3]
@@ -110,26 +117,32 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
             continue
         name = name.lower()
         if name in INLINE:
-            if name in ("br", "td", "th", "img") and not parts:
+            if name in ("br", "td", "th", "img") and not parts and not named:
                 held.append(" ")
         else:
             flush()
         if mark[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for _, part, main in stack[i:]:
-                        parts -= part
+                    for _, part, main, around in reversed(stack[i:]):
+                        parts -= part == 1
+                        named -= part == 2
                         mains -= main
+                        if main and not mains:
+                            named = around
                     del stack[i:]
                     break
         elif name not in VOID and not mark[4].endswith("/"):
             part, main = _is_part(name, mark[4], mains > 0), name in MAIN
             # plain inline and paragraph tags need no place on the stack
             if part or main or name not in INLINE and name not in ("p", "li", "dt", "dd", "tr", "option"):
-                stack.append((name, part, main))
-                parts += part
+                stack.append((name, part, main, named))
+                if main and not mains:
+                    named = 0
+                parts += part == 1
+                named += part == 2
                 mains += main
-    if not parts and at < len(page):
+    if not parts and not named and at < len(page):
         held.append(page[at:])
     flush()
     return texts, inner
@@ -171,72 +184,148 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def _signatures(keyed: DataFrame) -> DataFrame:
-    """(key, host, path, hashes, sizes) of each page that has no inner lines, and of its possible mates."""
-    kind = T.StructType([
-        T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("asks", T.BooleanType()),
-    ])
+    """(key, url, hashes, sizes) of each page; the sizes of inner lines are negative."""
+    kind = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType()))])
 
     def compute(column: pa.Array) -> list:
         found = [lines_of(p) for p in column.to_pylist()]
         hashes = [[xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t in texts] for texts, _ in found]
-        return [hashes, [list(map(len, texts)) for texts, _ in found], [not any(inner) for _, inner in found]]
+        return [hashes, [[-len(t) if i else len(t) for t, i in zip(*lines)] for lines in found]]
 
     return with_columns_by_batch(keyed, "html", kind, compute, keep=["key", "url"])
 
 
-def _mates(places: DataFrame) -> DataFrame:
-    """(key, mate): neighbours of the same host in order of path."""
-    names = ["key", "mate", "shard", "host", "end"]
+def _differing(hashes: np.ndarray, sizes: np.ndarray, theirs: np.ndarray) -> list[int] | None:
+    """Places of the lines shared with another page; None if that is a copy."""
+    if len(hashes) == len(theirs) and (hashes == theirs).all():
+        return None
+    shared = shared_lines(hashes.tolist(), theirs.tolist())
+    size = np.abs(sizes)
+    return shared if int(size[shared].sum()) <= COPY * int(size.sum()) else None
+
+
+def _nearest(pages: list[tuple], step: int) -> list[tuple[int, list[int]] | None]:
+    """For each page of one host the nearest that is no copy of it, before (step -1) or after it (1), and what they share."""
+    found: list[tuple[int, list[int]] | None] = [None] * len(pages)
+    for i in range(len(pages)) if step < 0 else reversed(range(len(pages))):
+        j = i + step
+        while 0 <= j < len(pages):
+            shared = _differing(pages[i][1], pages[i][2], pages[j][1])
+            if shared is not None:
+                found[i] = j, shared
+                break
+            if found[j] is None:  # copies up to the end
+                break
+            j = found[j][0]
+    return found
+
+
+_FOUND = "key long, shard int, side int, kind int, host string, hashes array<long>, sizes array<int>, outer array<int>, inner array<int>"
+# kinds of rows: a mate's shared lines; a page whose mate is not in its range; pages at the end of a range
+_SHARED, _OPEN, _END = range(3)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3]
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds)], names=names)
+
+
+def _shared_row(key: int, sizes: np.ndarray, shared: list[int]) -> tuple:
+    outer, inner = [i for i in shared if sizes[i] > 0], [i for i in shared if sizes[i] < 0]
+    return (key, None, None, _SHARED, None, None, None, outer, inner)
+
+
+def _compared(signatures: DataFrame) -> DataFrame:
+    """Rows of ``_FOUND``: what the mates in a range share, and what is to be compared across its ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, last = TaskContext.get().partitionId(), None
-        for batch in batches:
+        shard = TaskContext.get().partitionId()
+        host, pages, first = None, [], True
+
+        def settled(last: bool) -> Iterator[pa.RecordBatch]:
             rows = []
-            for key, host in zip(batch.column("key").to_pylist(), batch.column("host").to_pylist()):
-                if last is None:
-                    rows.append((key, None, shard, host, 0))
-                elif last[1] == host:
-                    rows += [(key, last[0], shard, None, None), (last[0], key, shard, None, None)]
-                last = key, host
-            yield _batch(rows, names)
-        if last is not None:
-            yield _batch([(last[0], None, shard, last[1], 1)], names)
-
-    ordered = places.select("host", "path", "key").repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
-    found = materialized(ordered.mapInArrow(run, "key long, mate long, shard int, host string, end int"), "html-mates")
-    # two rows for each range
-    ends = sorted(found.where("end is not null").select("shard", "end", "key", "host").collect())
-    joined = []
-    for one, two in zip(ends, ends[1:]):
-        if one["end"] == 1 and two["end"] == 0 and one["host"] == two["host"]:
-            joined += [(one["key"], two["key"]), (two["key"], one["key"])]
-    inside = found.where("mate is not null").select("key", "mate")
-    return inside.union(found.sparkSession.createDataFrame(joined, "key long, mate long")) if joined else inside
-
-
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], names=names)
-
-
-def _deleted(signatures: DataFrame, mates: DataFrame) -> DataFrame:
-    """(key, shared): places of the lines that a mate shares."""
-    asking = signatures.where("asks").select("key", "hashes", "sizes")
-    theirs = signatures.select(F.col("key").alias("mate"), F.col("hashes").alias("theirs"))
-    pairs = mates.join(asking, "key").join(theirs, "mate").select("key", "hashes", "sizes", "theirs")
+            for side, step in enumerate((-1, 1)):
+                found = _nearest(pages, step)
+                at_end = last if side else first
+                for (key, hashes, sizes), mate in zip(pages, found):
+                    if mate is not None:
+                        rows.append(_shared_row(key, sizes, mate[1]))
+                    elif at_end:
+                        rows.append((key, shard, side, _OPEN, host, hashes, sizes, None, None))
+                    if len(rows) >= 1024:
+                        yield _batch(rows)
+                        rows = []
+                # what the next range (side 0) or the one before (side 1) may see: the page at the end, and the nearest that differs
+                if first if side else last:
+                    end = 0 if side else len(pages) - 1
+                    for place, p in enumerate([end] if found[end] is None else [end, found[end][0]]):
+                        rows.append((place, shard, side, _END, host, *pages[p][1:], None, [int(first and last)]))
+            yield _batch(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out = [], []
-            for row in batch.to_pylist():
-                shared = shared_lines(row["hashes"], row["theirs"])
-                if sum(row["sizes"][i] for i in shared) <= COPY * sum(row["sizes"]):
-                    keys.append(row["key"])
-                    out.append(shared)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["key", "shared"])
+            hashes, sizes = batch.column("hashes"), batch.column("sizes")
+            for i, (key, own) in enumerate(zip(batch.column("key").to_pylist(), batch.column("host").to_pylist())):
+                if own != host and pages:
+                    yield from settled(False)
+                    pages, first = [], False
+                host = own
+                pages.append((key, hashes[i].values.to_numpy(), sizes[i].values.to_numpy()))
+        if pages:
+            yield from settled(True)
+
+    some = signatures.where(F.size("hashes") > 0).select("host", "path", "key", "hashes", "sizes")
+    ordered = some.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
+    return materialized(ordered.mapInArrow(run, _FOUND), "html-mates")
+
+
+def _beyond(ends: list) -> dict[tuple[int, int], tuple[str, list[np.ndarray]]]:
+    """By range and side, the host and the pages to compare with across that end, nearest first."""
+    shards: dict[tuple[int, int], list] = {}
+    for row in ends:
+        shards.setdefault((row["shard"], row["side"]), []).append(row)
+    out = {}
+    numbers = sorted({shard for shard, _ in shards})
+    for side, order in enumerate((numbers, numbers[::-1])):
+        host, near = None, []
+        for shard in order:
+            if host is not None:
+                out[shard, side] = host, [hashes for hashes, _ in near]
+            own = sorted(shards[shard, side], key=lambda r: r["key"])
+            pages = [(np.array(r["hashes"], np.int64), np.array(r["sizes"], np.int64)) for r in own]
+            # a range of one host that has only copies is looked through
+            if len(pages) == 1 and own[0]["inner"] == [1] and own[0]["host"] == host:
+                pages += [p for p in near if _differing(*pages[0], p[0]) is not None][:1]
+            host, near = own[0]["host"], pages
+    return out
+
 
-    found = pairs.mapInArrow(run, "key long, shared array<int>")
-    return found.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
+def _deleted(signatures: DataFrame) -> DataFrame:
+    """(key, gone): places of the lines that are not the page's own."""
+    found = _compared(signatures)
+    # at most four rows for each range
+    beyond = _beyond(found.where(F.col("kind") == _END).collect())
+    shared = found.sparkSession.sparkContext.broadcast(beyond)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                host, near = shared.value.get((r["shard"], r["side"]), (None, []))
+                if host != r["host"]:
+                    continue
+                hashes, sizes = np.array(r["hashes"], np.int64), np.array(r["sizes"], np.int64)
+                for theirs in near:
+                    places = _differing(hashes, sizes, theirs)
+                    if places is not None:
+                        rows.append(_shared_row(r["key"], sizes, places))
+                        break
+            yield _batch(rows)
+
+    joined = found.where(F.col("kind") == _SHARED).union(found.where(F.col("kind") == _OPEN).mapInArrow(across, _FOUND))
+    lists = joined.groupBy("key").agg(F.flatten(F.collect_list("outer")).alias("outer"), F.collect_list("inner").alias("inner"))
+    every = F.array_intersect(F.col("inner")[0], F.element_at("inner", -1))  # one list or two
+    return lists.select("key", F.array_union("outer", every).alias("gone")).where(F.size("gone") > 0)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -246,22 +335,14 @@ def main_texts(pages: DataFrame) -> DataFrame:
     place = F.regexp_replace(F.coalesce("url", F.lit("")), "^[^/]*://", "")
     host, path = F.lower(F.substring_index(place, "/", 1)), F.regexp_replace(F.regexp_replace(place, "^[^/]*/?", ""), "[?#].*$", "")
     # equal rows are one page here
-    found = found.select("key", host.alias("host"), path.alias("path"), "hashes", "sizes", "asks").dropDuplicates(["key"])
-    signatures = materialized(found, "html-lines")
-    shared = _deleted(signatures, _mates(signatures))
+    found = found.select("key", host.alias("host"), path.alias("path"), "hashes", "sizes").dropDuplicates(["key"])
+    gone = _deleted(materialized(found, "html-lines"))
     kind = T.StructType([T.StructField("lines", T.ArrayType(T.StringType()))])
-
-    def compute(column: pa.Array) -> list:
-        out = []
-        for page in column.to_pylist():
-            texts, inner = lines_of(page)
-            out.append([t for t, i in zip(texts, inner) if i] if any(inner) else texts)
-        return [out]
-
-    texts = with_columns_by_batch(keyed, "html", kind, compute, keep=["page_id", "url", "key"])
-    joined = texts.join(shared, "key", "left")
-    kept = F.when(F.col("shared").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda x, i: ~F.array_contains(F.col("shared"), i))
+    texts = with_columns_by_batch(
+        keyed, "html", kind, lambda column: [[lines_of(page)[0] for page in column.to_pylist()]], keep=["page_id", "url", "key"]
     )
+    joined = texts.join(gone, "key", "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.get("lines", i)))
     text = F.array_join(kept, "\n\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
