@@ -81,3 +81,35 @@ def test_empty_tables(spark, rows):
     docs = rows([(1, "a b")], "doc_id long, text string")
     assert ours(dc.report(docs, none)) == brute([(1, "a b")], [])
     assert dc.report(docs.limit(0), rows([(1, "a")], "item_id int, text string")).count() == 0
+
+
+def brute_longest(docs, items):
+    items = sorted({(str(i), tuple(words(t))) for i, t in items if i is not None and words(t)})
+    least = min((min(13, len(own)) for _, own in items), default=13)
+    out = []
+    for doc, text in docs:
+        own, best = words(text), (0,)
+        number = 0
+        for item, theirs in items:
+            for b in range(len(theirs)):
+                for a in range(len(own)):
+                    n = 0
+                    while a + n < len(own) and b + n < len(theirs) and own[a + n] == theirs[b + n]:
+                        n += 1
+                    if n >= least:
+                        best = min(best, (-n, number, a, item))
+                number += 1
+        out.append((doc, -best[0], best[3] if best[0] else None, best[2] if best[0] else None))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("short", [True, False])
+def test_longest_match_of_every_document(spark, rows, short):
+    start = " ".join(f"w{i}" for i in range(14))
+    docs = [(i, f"a{i} " + LONG + f" b{i}") for i in range(5)] + [(8, LONG), (9, LONG)]
+    docs += [(20 + i, f"{start} x {start} w14 w15 y{i} {start} w14 z") for i in range(3)]
+    docs += [(30 + i, "u short item q item here") for i in range(3)] + [(40, "w1 " * 20), (41, "w1 " * 20), (42, "none"), (43, None)]
+    items = [(1, LONG), (2, start + " x y"), (3, "w1 " * 17), (4, LONG)] + [(5, "short item here"), (6, "item q")] * short
+    got = dc.report(rows(docs, "doc_id long, text string").coalesce(1), rows(items, "item_id int, text string"))
+    found = sorted(((r.doc_id, r.longest, r.longest_item, r.longest_at) for r in got.collect()), key=repr)
+    assert found == brute_longest(docs, items)

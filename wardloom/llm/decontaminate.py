@@ -2,9 +2,11 @@
 
 A task reads its documents in shards of a few megabytes and sorts, for each
 shard, the suffixes (by word) in a suffix array. Every suffix of every
-benchmark item is binary-searched in it: the neighbours give its longest
-verbatim match and where it is, and the range of suffixes that begin with a
-whole window of the item gives each place where that window occurs.
+benchmark item is binary-searched in it: the range of suffixes that begin with
+a whole window of the item gives each place where that window occurs, and all
+of the range are extended, so that each document has its own longest verbatim
+match, whatever else is in its shard. Where a document has no whole window but
+items are shorter, its suffixes are searched in the sorted benchmark instead.
 
 A *window* is ``WINDOW`` consecutive words of an item, or the whole item if
 it has fewer. Suffixes that cannot start a match as long as the shortest
@@ -40,6 +42,7 @@ BLOCK_BYTES = 32 << 20
 # A document is contaminated if at least 1 in this many of its words are hit.
 SHARE = 20
 SHARD_WORDS = 500_000
+PIECE = 1 << 16
 
 # A-Z become a-z; other ASCII characters than digits and letters become spaces.
 _TO_WORDS = bytes(
@@ -147,27 +150,77 @@ class Shard:
         """For each document with a match: length, suffix of the benchmark, place; the longest, then the first."""
         if not len(self.suffixes) or not len(bench.suffixes):
             return []
-        place = np.searchsorted(self.keys, _keys(bench.suffixes))
+        best = self._whole_windows(bench)
+        if bench.shortest < self.window:
+            best |= self._below_window(bench, best)
+        return [(d, -n, s, a) for d, (n, s, a) in best.items()]
+
+    def _whole_windows(self, bench: Benchmark) -> dict[int, tuple[int, int, int]]:
+        """Longest matches of the documents that have a whole window.
+
+        Every pair of suffixes equal on the window is extended, but those that
+        go on to the left, as they are part of a longer match.
+        """
+        asked = np.flatnonzero((bench.suffixes > 0).all(axis=1))
+        low, high = self.occurrences(bench.suffixes[asked])
         best: dict[int, tuple[int, int, int]] = {}
-        for shift in (0, -1):
-            near = place + shift
-            usable = np.flatnonzero((near >= 0) & (near < len(self.suffixes)))
-            at = self.suffixes[near[usable]]
-            mine = self.ids[at[:, None] + np.arange(self.window)]
-            same = (mine == bench.suffixes[usable]) & (mine > 0)
-            lengths = np.where(same.all(axis=1), self.window, np.argmin(same, axis=1))
+        for number in np.flatnonzero(high > low).tolist():
+            s = int(asked[number])
+            item, first = bench.tail[bench.suffix_item[s]], int(bench.suffix_at[s])
+            at = self.suffixes[low[number] : high[number]]
+            if first:
+                at = at[(at == 0) | (self.ids[at - 1] != item[first - 1])]
+            lengths = np.full(len(at), self.window, np.int64)
+            going, done = np.arange(len(at)), self.window
+            while len(going) and first + done < len(item):
+                part = item[first + done : first + done + max(1, min(done, (1 << 20) // len(going)))]
+                ahead = np.minimum((at[going] + done)[:, None] + np.arange(len(part)), len(self.ids) - 1)
+                same = self.ids[ahead] == part
+                whole = same.all(axis=1)
+                lengths[going] += np.where(whole, len(part), np.argmin(same, axis=1))
+                going, done = going[whole], done + len(part)
             docs = np.searchsorted(self.begins, at, side="right") - 1
-            long = lengths >= bench.shortest
-            for s, a, n, d in zip(usable[long].tolist(), at[long].tolist(), lengths[long].tolist(), docs[long].tolist()):
-                if n == self.window:  # beyond the sorted words, compare on
-                    item = bench.tail[bench.suffix_item[s]][bench.suffix_at[s] :]
-                    ahead = self.ids[a : a + len(item)]
-                    differ = np.flatnonzero(item[: len(ahead)] != ahead)
-                    n = int(differ[0]) if len(differ) else len(ahead)
+            for a, n, d in zip(at.tolist(), lengths.tolist(), docs.tolist()):
                 found = (-n, s, a - int(self.begins[d]))
                 if d not in best or found < best[d]:
                     best[d] = found
-        return [(d, -n, s, a) for d, (n, s, a) in best.items()]
+        return best
+
+    def _below_window(self, bench: Benchmark, known: dict[int, tuple[int, int, int]]) -> dict[int, tuple[int, int, int]]:
+        """Longest matches of the other documents: each of their suffixes between its neighbours in the benchmark."""
+        docs = np.searchsorted(self.begins, self.suffixes, side="right") - 1
+        some = np.flatnonzero(~np.isin(docs, np.fromiter(known, np.int64, len(known))))
+        order = np.argsort(_keys(bench.suffixes), kind="stable")
+        keys = _keys(bench.suffixes[order])
+        docs, at = docs[some], self.suffixes[some]
+        place = np.searchsorted(keys, self.keys[some])
+        lengths = np.zeros(len(some), np.int64)
+        for shift in (0, -1):
+            near = np.clip(place + shift, 0, len(order) - 1)
+            for i in range(0, len(some), PIECE):
+                theirs = bench.suffixes[order[near[i : i + PIECE]]]
+                mine = self.ids[at[i : i + PIECE][:, None] + np.arange(self.window)]
+                same = (mine == theirs) & (mine > 0)
+                longer = np.where(same.all(axis=1), self.window, np.argmin(same, axis=1))
+                lengths[i : i + PIECE] = np.maximum(lengths[i : i + PIECE], longer)
+        most = np.zeros(len(self.begins), np.int64)
+        np.maximum.at(most, docs, lengths)
+        top = np.flatnonzero((lengths == most[docs]) & (lengths >= bench.shortest))
+        # of equally long ones the first suffix of the benchmark that begins so
+        kept = np.arange(self.window) < lengths[top][:, None]
+        rows = self.ids[at[top][:, None] + np.arange(self.window)]
+        low = np.searchsorted(keys, _keys(np.where(kept, rows, 0).astype(np.int64)))
+        high = np.searchsorted(keys, _keys(np.where(kept, rows, 0xFFFFFFFF).astype(np.int64)), side="right")
+        first: dict[tuple[int, int], int] = {}
+        best: dict[int, tuple[int, int, int]] = {}
+        for i, b, e in zip(top.tolist(), low.tolist(), high.tolist()):
+            if (b, e) not in first:
+                first[b, e] = int(order[b:e].min())
+            d = int(docs[i])
+            found = (-int(lengths[i]), first[b, e], int(at[i] - self.begins[d]))
+            if d not in best or found < best[d]:
+                best[d] = found
+        return best
 
     def hits(self, bench: Benchmark) -> tuple[np.ndarray, dict[int, set[int]]]:
         """Which words are inside an occurrence of a window, and each document's items."""
