@@ -74,3 +74,22 @@ def test_mergesort_and_collisions(monkeypatch):
     flat = np.zeros(4, np.int64)
     got = sd.repeated_starts(flat, np.array([1, 2, 3, 4]), flat, flat + 1, flat, [a, b, a, b])
     assert sorted(got[0].tolist()) == [3, 4]
+
+
+@pytest.mark.parametrize("many", [2000, 3])
+def test_rows_of_one_id_with_other_texts(spark, rows, monkeypatch, many):
+    monkeypatch.setattr(sd, "MANY", many)
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    same, own = word(150), [word(400) for _ in range(8)]
+    # the passage starts at the same place in two texts of an id, and in others elsewhere
+    texts = [same + own[0], same + own[1], own[2][:200] + same + own[2][200:], own[3], own[4] + own[4]]
+    for doc in (None, 7):
+        docs = [(doc, t) for t in texts] + [(doc, texts[1]), (9, own[5] + same), (10, own[6]), (-(1 << 63), own[7] + own[3])]
+        got = sorted((tuple(r) for r in sd.deduplicated(rows(docs, "doc_id long, text string")).collect()), key=repr)
+        # by a single key for each text, in the order that the module says
+        digest = {r.text: r.h for r in rows(docs, "doc_id long, text string").selectExpr("text", "xxhash64(text) h").collect()}
+        order = lambda d, t: (d is not None, d or 0, digest[t] % (1 << 63) if d == doc else 0)
+        number = {k: i for i, k in enumerate(sorted(set(docs), key=lambda x: order(*x)))}
+        expected = {n: r for n, *r in brute([(number[k], k[1]) for k in docs])}
+        assert got == sorted(((k[0], *expected[number[k]]) for k in docs), key=repr)

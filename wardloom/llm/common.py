@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,8 @@ PIECE_CHARS = 4_000_000
 
 Column = Sequence | pa.Array
 
+NO_ID = -(1 << 63)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -82,3 +85,26 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps, which it does when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def document_keys(docs: DataFrame) -> DataFrame:
+    """doc, part and text of each row, equal in doc and part only for rows of equal id and text; null texts are empty.
+
+    ``doc`` is the id. ``part`` is 0 where the id has one text, else a hash of
+    the text; of a null id it is below 0 and ``doc`` the least number, so null ids
+    come first in order of both.
+    """
+    taken = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    digest = F.xxhash64("text")
+    kinds = taken.where("id is not null").groupBy("id").agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
+    several = kinds.where("a <> b").select("id", F.lit(True).alias("several"))
+    part = F.when(F.col("id").isNull(), digest.bitwiseOR(F.lit(NO_ID)))
+    if not several.isEmpty():
+        taken = taken.join(several, "id", "left")
+        part = part.when(F.col("several"), digest.bitwiseAND(F.lit((1 << 63) - 1)))
+    return taken.select(F.coalesce("id", F.lit(NO_ID)).alias("doc"), part.otherwise(F.lit(0).cast("long")).alias("part"), "text")
+
+
+def id_of_keys() -> SparkColumn:
+    """The id of a row of ``document_keys``."""
+    return F.when((F.col("doc") != NO_ID) | (F.col("part") >= 0), F.col("doc"))

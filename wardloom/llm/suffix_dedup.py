@@ -26,15 +26,16 @@ An anchor with over ``MANY`` contexts is dealt out by the strings themselves,
 each task again keeping only the first of its own equal strings.
 
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` are never
-touched; a null doc_id counts as the smallest; rows that share a doc_id are
-taken for the same document and must have the same text; an empty table gives
-an empty result; other columns are ignored.
+touched; a null doc_id counts as the smallest; rows that share a doc_id (or have
+none) are the same document if their texts are equal, else each is its own, in
+order of a hash of the text; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardloom.llm.common import byte_texts, pieces
+from wardloom.llm.common import byte_texts, document_keys, id_of_keys, pieces
 from wardloom.sources.sinks import materialized
 
 LENGTH = 100
@@ -51,7 +52,6 @@ MANY = 2000
 HASH_BYTES = 1 << 19  # texts are hashed in runs of about this many bytes
 HELD_RECORDS = 1 << 19
 SORT_SEGMENTS = 1 << 15
-NO_ID = -(1 << 63)
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -149,23 +149,36 @@ def _firsts(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.nda
     return leader, (doc != doc[leader]) | (start != start[leader])
 
 
-RECORD = "anchor long, context long, doc long, start long, shape int, done boolean"
-_RECORD_NAMES = ["anchor", "context", "doc", "start", "shape", "done"]
+def _ranked(doc: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """One number for each document, in order of doc and part, and what turns numbers back into both."""
+    if not part.any():
+        return doc, lambda rank: (rank, np.zeros(len(rank), np.int64))
+    order = np.lexsort((part, doc))
+    new = np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(part[order]) != 0)])
+    rank = np.empty(len(doc), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    docs, parts = doc[order[new]], part[order[new]]
+    return rank, lambda some: (docs[some], parts[some])
+
+
+RECORD = "anchor long, context long, doc long, part long, start long, shape int, done boolean"
+_RECORD_NAMES = ["anchor", "context", "doc", "part", "start", "shape", "done"]
 
 
 def _records(docs: DataFrame) -> DataFrame:
     """Segments of all documents; ``shape`` has the number of starts and the anchor's place."""
 
     def settled(parts: list[tuple]) -> pa.RecordBatch:
-        doc, start, count, offset, anchor, context = (np.concatenate(x) for x in zip(*parts))
+        doc, part, start, count, offset, anchor, context = (np.concatenate(x) for x in zip(*parts))
+        doc, back = _ranked(doc, part)
         leader, later = _firsts(_mixed(anchor + context * np.uint64(_BASE)), doc, start)
         later &= (anchor == anchor[leader]) & (context == context[leader])
         d, s, c = _runs(doc[later], start[later], count[later])
         keep = leader == np.arange(len(leader))
         columns = [
-            np.concatenate([anchor[keep].view(np.int64), (_mixed(d.view(np.uint64) + s.view(np.uint64))).view(np.int64)]),
+            np.concatenate([anchor[keep].view(np.int64), (_mixed(back(d)[0].view(np.uint64) + s.view(np.uint64))).view(np.int64)]),
             np.concatenate([context[keep].view(np.int64), np.zeros(len(d), np.int64)]),
-            np.concatenate([doc[keep], d]), np.concatenate([start[keep], s]),
+            *back(np.concatenate([doc[keep], d])), np.concatenate([start[keep], s]),
             np.concatenate([count[keep] * 128 + offset[keep], c]).astype(np.int32),
             np.concatenate([np.zeros(keep.sum(), bool), np.ones(len(d), bool)]),
         ]
@@ -176,8 +189,9 @@ def _records(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, "text", HASH_BYTES):
                 ids = np.array(piece.column("doc").to_pylist(), np.int64)
+                own = np.array(piece.column("part").to_pylist(), np.int64)
                 text, start, count, offset, anchor, context = segments(byte_texts(piece.column("text")))
-                parts.append((ids[text], start, count, offset, anchor, context))
+                parts.append((ids[text], own[text], start, count, offset, anchor, context))
                 held += len(text)
                 if held >= HELD_RECORDS:
                     yield settled(parts)
@@ -193,7 +207,7 @@ def _met(records: DataFrame) -> DataFrame:
 
     Rows come sorted, so a group is followed without holding more than ``MANY`` of its contexts.
     """
-    names = ["doc", "start", "count", "offset", "anchor", "many"]
+    names = ["doc", "part", "start", "count", "offset", "anchor", "many"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -206,16 +220,16 @@ def _met(records: DataFrame) -> DataFrame:
             new_context = new_anchor | np.concatenate([[True], context[1:] != context[:-1]])[:n]
             group = np.cumsum(new_anchor) - 1
             leader = np.flatnonzero(new_context)[np.cumsum(new_context) - 1]
-            later = ~done & ((rows["doc"] != rows["doc"][leader]) | (rows["start"] != rows["start"][leader]))
+            later = ~done & np.any([rows[c] != rows[c][leader] for c in ("doc", "part", "start")], axis=0)
             contexts = np.bincount(group[new_context & ~done], minlength=group[-1] + 1 if n else 0)
             several = (contexts[group] > 1) & new_context & ~done
             many = contexts[group] > MANY
-            doc = np.concatenate([rows["doc"][done], rows["doc"][later], rows["doc"][several]])
+            doc, part = (np.concatenate([rows[c][done], rows[c][later], rows[c][several]]) for c in ("doc", "part"))
             shape = rows["shape"]
             count = np.concatenate([shape[done], shape[later] // 128, shape[several] // 128])
             k = int(done.sum() + later.sum())
             yield pa.RecordBatch.from_arrays([
-                pa.array(doc), pa.array(np.concatenate([rows["start"][done], rows["start"][later], rows["start"][several]])),
+                pa.array(doc), pa.array(part), pa.array(np.concatenate([rows["start"][done], rows["start"][later], rows["start"][several]])),
                 pa.array(count.astype(np.int32)), pa.array(np.concatenate([np.zeros(k, np.int32), shape[several] % 128]).astype(np.int32)),
                 pa.array(np.concatenate([np.zeros(k, np.int64), anchor[several]]), mask=np.arange(len(doc)) < k),
                 pa.array(np.concatenate([np.zeros(k, bool), many[several]])),
@@ -235,12 +249,12 @@ def _met(records: DataFrame) -> DataFrame:
             yield from settle(tail)
 
     # a row for each task and context at most, and only of the last anchor, is carried from batch to batch
-    ordered = records.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "start")
-    return ordered.mapInArrow(run, "doc long, start long, count int, offset int, anchor long, many boolean")
+    ordered = records.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "part", "start")
+    return ordered.mapInArrow(run, "doc long, part long, start long, count int, offset int, anchor long, many boolean")
 
 
-PIECE = "key long, doc long, start long, count int, offset int, bytes binary"
-_PIECE_NAMES = ["key", "doc", "start", "count", "offset", "bytes"]
+PIECE = "key long, doc long, part long, start long, count int, offset int, bytes binary"
+_PIECE_NAMES = ["key", "doc", "part", "start", "count", "offset", "bytes"]
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -248,8 +262,8 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A row whose ``bytes`` are null is a repeat found on the way.
     """
-    asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "count", "offset", "anchor", "many")).alias("asked"))
-    joined = docs.join(asked, "doc")
+    asked = wanted.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "count", "offset", "anchor", "many")).alias("asked"))
+    joined = docs.join(asked, ["doc", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,27 +271,28 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 single: list[tuple] = []
                 texts = byte_texts(piece.column("text"))
-                for doc, text, asked in zip(piece.column("doc").to_pylist(), texts, piece.column("asked").to_pylist()):
+                keys = zip(piece.column("doc").to_pylist(), piece.column("part").to_pylist())
+                for doc, text, asked in zip(keys, texts, piece.column("asked").to_pylist()):
                     for a in asked:
                         start, count = a["start"], a["count"]
                         if a["many"]:
-                            single += [(a["anchor"], doc, start + i, a["offset"] - i, text[start + i : start + i + LENGTH]) for i in range(count)]
+                            single += [(a["anchor"], *doc, start + i, a["offset"] - i, text[start + i : start + i + LENGTH]) for i in range(count)]
                         else:
-                            rows.append((a["anchor"], doc, start, count, a["offset"], text[start : start + count - 1 + LENGTH]))
+                            rows.append((a["anchor"], *doc, start, count, a["offset"], text[start : start + count - 1 + LENGTH]))
                 if single:
                     first: dict[tuple, tuple] = {}
-                    for x in sorted(single, key=lambda x: x[1:3]):
-                        lead = first.setdefault((x[0], x[3], x[4]), x)
+                    for x in sorted(single, key=lambda x: x[1:4]):
+                        lead = first.setdefault((x[0], x[4], x[5]), x)
                         if lead is x:
-                            own = hashlib.blake2b(x[4] + x[0].to_bytes(8, "little", signed=True), digest_size=8).digest()
-                            rows.append((int.from_bytes(own, "little", signed=True), x[1], x[2], 1, x[3], x[4]))
-                        elif lead[1:3] != x[1:3]:
-                            rows.append((hash(x[1:3]), x[1], x[2], 1, 0, None))
-                columns = list(zip(*rows)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                            own = hashlib.blake2b(x[5] + x[0].to_bytes(8, "little", signed=True), digest_size=8).digest()
+                            rows.append((int.from_bytes(own, "little", signed=True), *x[1:4], 1, x[4], x[5]))
+                        elif lead[1:4] != x[1:4]:
+                            rows.append((hash(x[1:4]), *x[1:4], 1, 0, None))
+                columns = list(zip(*rows)) or [()] * 7
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_PIECE_NAMES)
 
-    return joined.select("doc", "text", "asked").mapInArrow(run, PIECE)
+    return joined.select("doc", "part", "text", "asked").mapInArrow(run, PIECE)
 
 
 class Suffixes:
@@ -393,12 +408,14 @@ def _sorted_repeats(rows: DataFrame) -> DataFrame:
     def settle(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
         known = table.column("bytes").is_null().to_numpy(zero_copy_only=False)
-        number = {c: table.column(c).to_numpy().astype(np.int64) for c in _PIECE_NAMES[:5]}
+        number = {c: table.column(c).to_numpy().astype(np.int64) for c in _PIECE_NAMES[:6]}
+        number["doc"], back = _ranked(number["doc"], number.pop("part"))
         some = np.flatnonzero(~known)
         texts = [t for t in table.column("bytes").to_pylist() if t is not None]
-        found = repeated_starts(*(number[c][some] for c in _PIECE_NAMES[:5]), texts) if len(some) > 1 else (np.zeros(0, np.int64),) * 3
+        found = repeated_starts(*(number[c][some] for c in ("key", "doc", "start", "count", "offset")), texts) if len(some) > 1 else (np.zeros(0, np.int64),) * 3
         columns = [np.concatenate([a, number[c][known]]) for a, c in zip(found, ("doc", "start", "count"))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "start", "count"])
+        columns = [*back(columns[0]), *columns[1:]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "part", "start", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # whole keys go together; rows come sorted by key
@@ -422,7 +439,7 @@ def _sorted_repeats(rows: DataFrame) -> DataFrame:
             yield settle(parts)
 
     ordered = rows.repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, "doc long, start long, count long")
+    return ordered.mapInArrow(run, "doc long, part long, start long, count long")
 
 
 CUT = T.StructType([
@@ -432,16 +449,16 @@ CUT = T.StructType([
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc, start, count): runs of starts of strings that also start earlier; ``docs`` has doc and text."""
+    """(doc, part, start, count): runs of starts of strings that also start earlier; ``docs`` has doc, part and text."""
     met = materialized(_met(_records(docs)), "suffix-met")
     wanted = met.where("anchor is not null")
-    known = met.where("anchor is null").select("doc", "start", F.col("count").cast("long").alias("count"))
+    known = met.where("anchor is null").select("doc", "part", "start", F.col("count").cast("long").alias("count"))
     return known.union(_sorted_repeats(_with_bytes(docs, wanted)))
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc, spans): the bytes to remove of each document that has any, as sorted half-open runs."""
-    runs = repeats(docs).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "count"))).alias("runs"))
+    """(doc, part, begins, ends): the bytes to remove of each document that has any, as sorted half-open runs."""
+    runs = repeats(docs).groupBy("doc", "part").agg(F.array_sort(F.collect_list(F.struct("start", "count"))).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -457,22 +474,22 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                 begins.append([a for a, _ in own])
                 ends.append([b for _, b in own])
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(begins, kind), pa.array(ends, kind)], names=["doc", "begins", "ends"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("part"), pa.array(begins, kind), pa.array(ends, kind)], names=["doc", "part", "begins", "ends"])
 
-    return runs.mapInArrow(run, "doc long, begins array<long>, ends array<long>")
+    return runs.mapInArrow(run, "doc long, part long, begins array<long>, ends array<long>")
 
 
 def deduplicated(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept, of every row."""
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    source = document_keys(docs)
     spans = materialized(removed_spans(source), "suffix-spans")
-    joined = source.join(spans, "doc", "left").select("doc", "text", "begins", "ends")
-    names = ["doc", *(f.name for f in CUT.fields if texts or f.name != "kept_text")]
+    joined = source.join(spans, ["doc", "part"], "left").select(id_of_keys().alias("doc_id"), "text", "begins", "ends")
+    names = ["doc_id", *(f.name for f in CUT.fields if texts or f.name != "kept_text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            columns = (batch.column("doc").to_pylist(), byte_texts(batch.column("text")), batch.column("begins").to_pylist(), batch.column("ends").to_pylist())
+            columns = (batch.column("doc_id").to_pylist(), byte_texts(batch.column("text")), batch.column("begins").to_pylist(), batch.column("ends").to_pylist())
             for doc, text, begins, ends in zip(*columns):
                 begins, ends = begins or [], ends or []
                 kept = b"".join(text[a:b] for a, b in zip([0, *ends], [*begins, len(text)]))
@@ -481,5 +498,5 @@ def deduplicated(docs: DataFrame, texts: bool = False) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.binary()] * texts + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
 
-    schema = T.StructType([T.StructField("doc", T.LongType())] + [f for f in CUT.fields if f.name in names])
-    return joined.mapInArrow(run, schema).withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc"))).withColumnRenamed("doc", "doc_id")
+    schema = T.StructType([T.StructField("doc_id", T.LongType())] + [f for f in CUT.fields if f.name in names])
+    return joined.mapInArrow(run, schema)
