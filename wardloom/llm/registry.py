@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import decontaminate, html_text, katz, knn_quality, minhash, mixing, quality_rules, suffix_dedup, token_ids, toxicity
+from wardloom.llm import decontaminate, html_text, katz, knn_quality, minhash, mixing, quality_rules, suffix_dedup, token_ids, toxicity, whitening
 from wardloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,9 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page, by differencing pages with near URLs."""
     return html_text.main_texts(table(spark, folder, "pages"))
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened principal components of every vector, by shifted Cholesky QR."""
+    return whitening.report(table(spark, folder, "embeddings"))
