@@ -37,6 +37,14 @@ def materialized(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(location)
 
 
+def discard(spark: SparkSession, location: str) -> None:
+    """Remove a scratch table that nothing reads any more; only below the library's own folder."""
+    if not location.startswith(f"{shared_folder(spark)}/wardloom/"):
+        raise ValueError(f"not a scratch table: {location}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = False) -> str:
     """Write a result table with a header; small report tables may ask for one file."""
     writer = (df.coalesce(1) if single_file else df).write.mode("errorifexists")
