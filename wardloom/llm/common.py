@@ -47,6 +47,12 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_CHARS) -> Iterat
         yield batch.slice(start)
 
 
+def pieces_of_rows(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most ``rows`` rows."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return column.cast(pa.binary()).fill_null(b"").to_pylist()

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import decontaminate, html_text, katz, knn_quality, minhash, mixing, quality_rules, suffix_dedup, token_ids, toxicity, whitening
+from wardloom.llm import decontaminate, html_text, katz, knn_quality, minhash, mixing, pii, quality_rules, suffix_dedup, token_ids, toxicity, vector_codes, whitening
 from wardloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,7 +101,19 @@ def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_texts(table(spark, folder, "pages"))
 
 
+@query
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: fixed patterns, and what weakly supervised span classifiers add."""
+    return pii.report(table(spark, folder, "documents"))
+
+
 @query
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """Whitened principal components of every vector, by shifted Cholesky QR."""
     return whitening.report(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Product code of every vector, with codebooks from four rounds of member-resident Lloyd."""
+    return vector_codes.report(table(spark, folder, "embeddings"))
