@@ -28,16 +28,16 @@ def test_stages_against_brute_force(spark, folder):
     found = contamination([(d, text[d]) for d in before], [(r.item_id, r.text) for r in items.collect()])
     assert after == {row[0] for row in found if not row[-1]}
     before, after = kept["mixing"]
-    assert after <= before and len(after) > 0.7 * len(before)
+    assert after <= before and len(after) > 0.8 * len(before)
     clean = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()} & before
-    assert len(clean & after) >= 0.95 * len(clean)
+    assert len(clean & after) >= 0.99 * len(clean)
     out = cp.STAGES[-1][1](spark, step, folder)
     assert sorted((tuple(r) for r in out.collect()), key=lambda r: r[1]) == expected([(d, text[d]) for d in after])
 
 
 def test_run_and_registry(spark, folder):
     assert cp.run(spark, folder).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 def test_mixing_repeats_only_if_allowed(spark, folder):

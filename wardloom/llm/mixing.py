@@ -8,18 +8,23 @@ steps on
 
     1/2 (y - t)' G^-1 (y - t),   y = sum of r a,   G = sum of a a',
 
-whose gradient has Lipschitz constant 1, from r = 1. Each step needs one small
-aggregate of as many numbers as there are domains; a rate follows from the
-document's own row and those numbers, so nothing else is kept or shuffled.
-``max_rate`` bounds the rates above too.
+whose gradient has Lipschitz constant 1, from r = 1, until the sums match the
+targets or stand still. Each step needs one small aggregate of as many numbers
+as there are domains; a rate follows from the document's own row and those
+numbers, so nothing else is kept or shuffled. ``max_rate`` bounds the rates
+above too. With ``hold`` a document whose likeliest domain is the kept one has
+rate 1, and only the others are fitted. Targets are first brought into what the
+free documents can reach, so that the steps do not pay for what no rate can
+give; ``Mix`` has what there was, what was wanted, and what was reached.
 
 DataFrame expressions only. Texts are read twice and not shuffled.
 
 Defined cases: a null or empty text has no tokens, prior posterior and rate 1;
-rows that share a doc_id each get their own; a null doc_id is unlabelled; a
-domain without tokens in reach keeps what it has; without labels all domains
-are equally likely; an empty table gives an empty result; other columns are
-kept by ``sampled`` and else ignored.
+rows that share a doc_id each get their own; a null doc_id is unlabelled;
+labels of documents that are not there count for nothing; a domain without
+tokens in reach keeps what it has; without labels all domains are equally
+likely; an empty table gives an empty result; other columns are kept by
+``sampled`` and else ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardloom.llm.common import fresh
@@ -40,8 +45,9 @@ LABELLED_ROWS = 20_000
 # A text speaks for its domain like one of at most so many words.
 VOICE = 64
 SCALE = 1 << 20
-STEPS = 40
-TOLERANCE = 1e-5
+STEPS = 60
+TOLERANCE = 1e-7
+STANDSTILL = 1e-9
 
 DOMAINS = ("clean", "low", "toxic")
 
@@ -63,7 +69,8 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, domain: Column, domains: int, rows: int = LABELLED_ROWS) -> Classifier:
-    sample = materialized(labelled_sample(labels, domain, rows), "mixing-labels")
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    sample = materialized(labelled_sample(labels.join(there, labels["doc_id"].cast("long") == there["doc_id"], "left_semi"), domain, rows), "mixing-labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     each = texts.select("label", F.explode(words(F.col("text"))).alias("word")).select("label", _buckets().alias("bucket"))
     counts = materialized(
@@ -104,49 +111,66 @@ def _amount(d: int) -> Column:
     return F.col(f"p{d}") * F.col("tokens")
 
 
+HELD = "held"
+
+
 def rate(steps: Sequence[Sequence[float]], max_rate: float | None) -> Column:
-    """The rate of a row after the given steps."""
-    value = F.lit(1.0)
-    if steps:
-        moves = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+    """The rate of a row after the given steps; one expression without loops, so that it compiles."""
+    value = "1.0D"
+    for step in steps:
+        move = " + ".join(f"p{d} * ({float(x)!r}D)" for d, x in enumerate(step))
+        value = f"greatest(0.0D, {value} - ({move}) * tokens)"
+        if max_rate is not None:
+            value = f"least({float(max_rate)!r}D, {value})"
+    return F.when(F.col(HELD), F.lit(1.0)).otherwise(F.expr(value))
 
-        def moved(r: Column, s: Column) -> Column:
-            r = F.greatest(F.lit(0.0), r - sum((_amount(d) * s[d] for d in range(len(steps[0]))), F.lit(0.0)))
-            return r if max_rate is None else F.least(F.lit(float(max_rate)), r)
 
-        value = F.aggregate(moves, value, moved)
-    return value
+def _sums(found: DataFrame, values: dict[str, Column]) -> list[float]:
+    return list(found.agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(k) for k, v in values.items()]).first())
 
 
-def fit_rates(found: DataFrame, targets: Sequence[float], max_rate: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """The projected gradient steps that lead from rate 1 to the targets; ``found`` has tokens and p0, p1, ..."""
-    domains = range(len(targets))
+@dataclass
+class Mix:
+    steps: list[list[float]]
+    max_rate: float | None
+    had: list[float]  # tokens expected of each domain before, and after
+    wanted: list[float]
+    target: list[float]  # what is wanted, as far as it can be reached
+    reached: list[float]
+
+    @property
+    def rate(self) -> Column:
+        return rate(self.steps, self.max_rate)
+
+
+def fit_rates(found: DataFrame, wanted: Sequence[float], max_rate: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> Mix:
+    """The projected gradient steps that lead from rate 1 to the wanted sums; ``found`` has tokens, p0, p1, ... and held."""
+    domains = range(len(wanted))
+    free = ~F.col(HELD)
     pairs = [(i, j) for i in domains for j in domains if i <= j]
-    gram = np.zeros((len(targets), len(targets)))
-    row = found.agg(*[F.coalesce(F.sum(_amount(i) * _amount(j)), F.lit(0.0)).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = row[f"g{i}_{j}"]
+    first = _sums(found, {f"y{d}": _amount(d) for d in domains} | {f"f{d}": F.when(free, _amount(d)) for d in domains}
+                  | {f"g{i}_{j}": F.when(free, _amount(i) * _amount(j)) for i, j in pairs})
+    had, movable = np.array(first[: len(wanted)]), np.array(first[len(wanted) : 2 * len(wanted)])
+    gram = np.zeros((len(wanted), len(wanted)))
+    for (i, j), g in zip(pairs, first[2 * len(wanted) :]):
+        gram[i, j] = gram[j, i] = g
     inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
-    wanted = np.array(targets, float)
+    most = np.inf if max_rate is None else had - movable + max_rate * movable
+    target = np.where(movable > 0, np.clip(np.array(wanted, float), had - movable, most), had)
+    scale = max(float(np.abs(target).max(initial=0)), 1e-300)
     taken: list[list[float]] = []
-    before = None
-    for _ in range(steps):
+    y = had
+    while len(taken) < steps and np.abs(y - target).max(initial=0) > tolerance * scale:
+        taken.append((inverse @ (y - target)).tolist())
         r = rate(taken, max_rate)
-        now = found.select(r.alias("r"), "tokens", *[f"p{d}" for d in domains]).agg(
-            *[F.coalesce(F.sum(F.col("r") * _amount(d)), F.lit(0.0)).alias(f"y{d}") for d in domains]
-        ).first()
-        y = np.array([now[f"y{d}"] for d in domains])
-        scale = max(float(np.abs(wanted).max(initial=0)), 1e-300)
-        if np.abs(y - wanted).max() <= tolerance * scale or (before is not None and np.abs(y - before).max() <= tolerance * scale):
+        before, y = y, np.array(_sums(found.select(r.alias("r"), "tokens", *[f"p{d}" for d in domains]), {f"y{d}": F.col("r") * _amount(d) for d in domains}))
+        if np.abs(y - before).max() <= STANDSTILL * scale:
             break
-        before = y
-        taken.append((inverse @ (y - wanted)).tolist())
-    return taken
+    return Mix(taken, max_rate, had.tolist(), [float(w) for w in wanted], target.tolist(), y.tolist())
 
 
 def totals(found: DataFrame, domains: int) -> list[float]:
-    row = found.agg(*[F.coalesce(F.sum(_amount(d)), F.lit(0.0)).alias(f"y{d}") for d in range(domains)]).first()
-    return list(row)
+    return _sums(found, {f"y{d}": _amount(d) for d in range(domains)})
 
 
 def targets_for(have: Sequence[float], weights: Sequence[float], kept: int) -> list[float]:
@@ -154,29 +178,51 @@ def targets_for(have: Sequence[float], weights: Sequence[float], kept: int) -> l
     return [have[kept] * w / weights[kept] for w in weights]
 
 
+def summary(spark: SparkSession, mix: Mix, names: Sequence[str] = DOMAINS) -> DataFrame:
+    """``domain, had, wanted, target, reached`` in tokens, a row for each domain."""
+    rows = [(names[d] if d < len(names) else str(d), *values) for d, values in enumerate(zip(mix.had, mix.wanted, mix.target, mix.reached))]
+    return spark.createDataFrame(rows, "domain string, had double, wanted double, target double, reached double")
+
+
 def copies(r: Column) -> Column:
     """Whole copies of a row: its rate rounded up or down by a hash of its id, in expectation the rate."""
     share = F.pmod(F.xxhash64(F.lit("copies"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     return (F.floor(r) + (share < r - F.floor(r)).cast("long")).cast("int")
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: Sequence[float], kept: int = 0, max_rate: float | None = None) -> DataFrame:
-    """doc_id, tokens, posteriors p0, ..., rate and copies of every document."""
-    model = fit(docs, labels, domain_of_labels(), len(weights))
-    found = materialized(posteriors(docs, model), "mixing-posteriors")
-    steps = fit_rates(found, targets_for(totals(found, len(weights)), weights, kept), max_rate)
+def fitted(docs: DataFrame, labels: DataFrame, weights: Sequence[float], kept: int = 0, max_rate: float | None = None,
+           hold: bool = False) -> tuple[DataFrame, Mix]:
+    """Posteriors of every document, with ``held``, and the mix fitted to them."""
+    domains = range(len(weights))
+    found = posteriors(docs, fit(docs, labels, domain_of_labels(), len(weights)))
+    likeliest = F.col(f"p{kept}") >= F.greatest(F.lit(0.0), *[F.col(f"p{d}") for d in domains])
+    found = materialized(found.withColumn(HELD, likeliest if hold else F.lit(False)), "mixing-posteriors")
+    return found, fit_rates(found, targets_for(totals(found, len(weights)), weights, kept), max_rate)
+
+
+def mixed(docs: DataFrame, labels: DataFrame, weights: Sequence[float], kept: int = 0, max_rate: float | None = None,
+          hold: bool = False) -> DataFrame:
+    """doc_id, tokens, posteriors p0, ..., rate and copies of every document, and the targets and sums of the whole mix."""
+    found, mix = fitted(docs, labels, weights, kept, max_rate, hold)
     names = [f"p{d}" for d in range(len(weights))]
-    return found.select("doc_id", "tokens", *names, rate(steps, max_rate).alias("rate")).withColumn("copies", copies(F.col("rate")))
+    whole = [F.lit(v).alias(f"{name}{d}") for name, values in (("target", mix.target), ("reached", mix.reached)) for d, v in enumerate(values)]
+    return found.select("doc_id", "tokens", *names, mix.rate.alias("rate"), copies(mix.rate).alias("copies"), *whole)
+
 
+def sampled(docs: DataFrame, labels: DataFrame, weights: Sequence[float], kept: int = 0, max_rate: float | None = 1.0,
+            hold: bool = True) -> DataFrame:
+    """``docs`` mixed: each row as often as its copies say. Rows that share a doc_id share their largest number of copies.
 
-def sampled(docs: DataFrame, labels: DataFrame, weights: Sequence[float], kept: int = 0, max_rate: float | None = 1.0) -> DataFrame:
-    """``docs`` mixed: each row as often as its copies say. Rows that share a doc_id share their largest number of copies."""
-    found = mixed(docs, labels, weights, kept, max_rate)
+    What was wanted and reached is written beside the other scratch tables, as ``mixing-summary``.
+    """
+    found, mix = fitted(docs, labels, weights, kept, max_rate, hold)
+    materialized(summary(docs.sparkSession, mix), "mixing-summary")
     number = fresh(docs.columns, "copies")
-    changed = found.where("copies <> 1 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias(number))
-    key = fresh(docs.columns, "mixed_id")
+    numbered = found.select("doc_id", copies(mix.rate).alias("copies"))
+    changed = numbered.where("copies <> 1 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias(number))
+    key = fresh([*docs.columns, number], "mixed_id")
     joined = docs.join(changed.withColumnRenamed("doc_id", key), docs["doc_id"].cast("long") == F.col(f"`{key}`"), "left")
     times = F.coalesce(F.col(f"`{number}`"), F.lit(1))
-    each = fresh(docs.columns, "copy")
+    each = fresh([*docs.columns, number, key], "copy")
     some = joined.where(times > 0).withColumn(each, F.explode(F.sequence(F.lit(1), times)))
     return some.select(*[F.col(f"`{c}`") for c in docs.columns])
