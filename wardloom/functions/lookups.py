@@ -251,6 +251,11 @@ MAX_LENGTH = 256
 SEED = 42
 HEAD_WIDTH = 256
 HEAD_INNER_WIDTH = 64
+HEAD_EPOCHS = 5
+HEAD_RATE = 2e-5
+HEAD_DECAY = 0.01
+HEAD_WARM_UP = 0.1
+HEAD_CLIP = 1.0
 DISPARITY_LIMIT = 0.1
 OUTCOME_NAMES = ("Survived", "Expired")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions import lookups
@@ -50,11 +50,26 @@ def by_size(groups: DataFrame) -> DataFrame:
     return groups.orderBy(F.desc("n_samples"), "race_group")
 
 
+def _first_rows(scored: DataFrame, row_order: str, which: str | lookups.Profile) -> DataFrame:
+    return with_race_group(scored, which).groupBy("race_group").agg(F.min(row_order).alias("_first"))
+
+
 def by_first_seen(groups: DataFrame, scored: DataFrame, row_order: str,
                   which: str | lookups.Profile = "full") -> DataFrame:
     """Groups in the order in which their first row appears."""
-    seen = with_race_group(scored, which).groupBy("race_group").agg(F.min(row_order).alias("_first"))
-    return groups.join(seen, "race_group").orderBy("_first", "race_group").drop("_first")
+    return groups.join(_first_rows(scored, row_order, which), "race_group").orderBy("_first", "race_group").drop("_first")
+
+
+def placed_by_size(groups: DataFrame) -> DataFrame:
+    """Add the 1-based ``place`` of each group, largest first; there are as few rows as groups."""
+    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_samples"), "race_group")))
+
+
+def placed_by_first_seen(groups: DataFrame, scored: DataFrame, row_order: str,
+                         which: str | lookups.Profile = "full") -> DataFrame:
+    """Add the 1-based ``place`` of each group in the order of first rows; there are as few rows as groups."""
+    seen = groups.join(_first_rows(scored, row_order, which), "race_group")
+    return seen.withColumn("place", F.row_number().over(Window.orderBy("_first", "race_group"))).drop("_first")
 
 
 def disparity(groups: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +107,91 @@ def ranking_counts(scored: DataFrame, groups: Sequence[str] = (), label: str = "
     )
 
 
+# Validation rows to each range of scores that one task puts in order.
+RANGE_ROWS = 1_000_000
+# Values that a task packs at once, and rows that the range cuts are taken from.
+PACKED_VALUES = 4_000_000
+CUT_SAMPLE = 2_000
+
+
+def staged_auc(staged: DataFrame, label: str, iterations: int, name: str = "staged", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``iteration, auc_roc`` of the scores in an array column, one entry for each iteration.
+
+    Each task turns its rows into sorted counts per score before anything leaves
+    it: one record per iteration and score range, with the distinct scores and
+    how many positives and negatives have each. Such records are merged by
+    iteration and range, and the ranges put together from their totals. The
+    ranges follow the number of rows, so no task holds more than about
+    ``range_rows`` scores; their cuts come from a bounded sample and decide
+    nothing but where a score is counted.
+    """
+    valid = staged.where(F.col(label).isin(0, 1) & F.col(name).isNotNull()).select(F.col(label).cast("int").alias("y"), F.col(name).alias("s"))
+    ranges = -(-valid.count() // range_rows)
+    cuts = np.zeros((iterations, 0))
+    if ranges > 1:
+        some = [r["s"] for r in valid.orderBy(F.xxhash64("s")).limit(CUT_SAMPLE).select("s").collect()]
+        cuts = np.quantile(np.array(some), np.arange(1, ranges) / ranges, axis=0).T
+    sent = staged.sparkSession.sparkContext.broadcast(cuts)
+    at_once = max(1, PACKED_VALUES // max(1, iterations))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            y = np.concatenate([h[0] for h in held])
+            scores = np.concatenate([h[1] for h in held])
+            rows = []
+            for i in range(iterations):
+                values, place = np.unique(scores[:, i], return_inverse=True)
+                n = np.bincount(place, minlength=len(values))
+                positive = np.bincount(place, weights=y, minlength=len(values)).astype(np.int64)
+                edges = [0, *np.searchsorted(values, sent.value[i], side="right").tolist(), len(values)]
+                for r, (a, b) in enumerate(zip(edges, edges[1:])):
+                    if b > a:
+                        rows.append((i + 1, r, values[a:b], positive[a:b], (n - positive)[a:b]))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(_PACKED)], schema=_PACKED)
+
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            scores = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, iterations)
+            for a in range(0, len(y), at_once):
+                held.append((y[a : a + at_once], scores[a : a + at_once]))
+                size += len(held[-1][0])
+                if size >= at_once:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    def merge(table: pa.Table) -> pa.Table:
+        scores, positive, negative = (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("scores", "pos", "neg"))
+        order = np.argsort(scores, kind="stable")
+        scores, positive, negative = scores[order], positive[order], negative[order]
+        first = np.flatnonzero(np.append(True, scores[1:] != scores[:-1]))
+        positive, negative = np.add.reduceat(positive, first), np.add.reduceat(negative, first)
+        below = np.cumsum(negative) - negative
+        ordered = float((positive.astype(np.float64) * (below + negative / 2)).sum())
+        row = [table["iteration"][0].as_py(), table["range"][0].as_py(), int(positive.sum()), int(negative.sum()), ordered]
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, _MERGED)], schema=_MERGED)
+
+    packed = valid.mapInArrow(pack, "iteration int, range int, scores array<double>, pos array<long>, neg array<long>")
+    merged = packed.groupBy("iteration", "range").applyInArrow(merge, "iteration int, range int, pos long, neg long, ordered double")
+    earlier = Window.partitionBy("iteration").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return (
+        merged.withColumn("before", F.coalesce(F.sum("neg").over(earlier), F.lit(0)))
+        .groupBy("iteration")
+        .agg(F.try_divide(F.sum(F.col("ordered") + F.col("pos").cast("double") * F.col("before")), pairs).alias("auc_roc"))
+    )
+
+
+_PACKED = pa.schema([
+    ("iteration", pa.int32()), ("range", pa.int32()), ("scores", pa.list_(pa.float64())),
+    ("pos", pa.list_(pa.int64())), ("neg", pa.list_(pa.int64())),
+])
+_MERGED = pa.schema([("iteration", pa.int32()), ("range", pa.int32()), ("pos", pa.int64()), ("neg", pa.int64()), ("ordered", pa.float64())])
+
+
 def roc_auc(scored: DataFrame, groups: Sequence[str] = (), label: str = "label",
             score: str = "prob", min_rows: int = skew.HEAVY_ROWS) -> DataFrame:
     return ranking_counts(scored, groups, label, score, min_rows=min_rows).select(*groups, "auc_roc")

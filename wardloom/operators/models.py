@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,23 +21,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardloom.functions import lookups
-from wardloom.operators.metrics import roc_auc
+from wardloom.operators.metrics import staged_auc
 from wardloom.sources.sinks import materialized, new_location
 
 
+# A further tree must lower the validation error by this share of it, or fitting stops.
+VALIDATION_TOLERANCE = 0.01
+_HELD = "_held_out"
+
+
 def fit_mortality(train: DataFrame, label: str = "hospital_expire_flag", features: str = "features",
                   trees: int = lookups.BOOSTING_TREES, depth: int = lookups.BOOSTING_DEPTH,
-                  rate: float = lookups.BOOSTING_RATE, seed: int = lookups.SEED) -> GBTClassificationModel:
-    """Boosted-tree classifier for a 0/1 label."""
+                  rate: float = lookups.BOOSTING_RATE, seed: int = lookups.SEED,
+                  validation: DataFrame | None = None, tolerance: float = VALIDATION_TOLERANCE) -> GBTClassificationModel:
+    """Boosted-tree classifier for a 0/1 label.
+
+    With ``validation`` rows no tree is fitted beyond the one after which their
+    error stops falling, and the model ends with the best one.
+    """
     estimator = GBTClassifier(
         labelCol=label, featuresCol=features, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed,
         maxMemoryInMB=512,
     )
-    return _fit(estimator, train.select(F.col(label).cast("double").alias(label), features))
+    return _fit(estimator, *_inputs(label, features, train, validation), tolerance)
+
+
+def _inputs(label: str, features: str, *parts: DataFrame | None) -> list[DataFrame | None]:
+    return [p if p is None else p.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias(label), features) for p in parts]
 
 
-def _fit(estimator, inputs: DataFrame):
+def _fit(estimator, inputs: DataFrame, validation: DataFrame | None = None, tolerance: float = VALIDATION_TOLERANCE):
     """Fit on kept inputs: fitting passes over them several times."""
+    if validation is not None:
+        inputs = inputs.withColumn(_HELD, F.lit(False)).unionByName(validation.withColumn(_HELD, F.lit(True)))
+        estimator = estimator.copy().setValidationIndicatorCol(_HELD).setValidationTol(tolerance)
     kept = inputs.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return estimator.fit(kept)
@@ -57,14 +74,14 @@ def score_mortality(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
 
 def fit_stay(train: DataFrame, label: str = "los_days", features: str = "features",
              trees: int = lookups.BOOSTING_TREES, depth: int = lookups.BOOSTING_DEPTH,
-             rate: float = lookups.BOOSTING_RATE, seed: int = lookups.SEED) -> GBTRegressionModel:
-    """Boosted-tree regressor; rows without a known value are not trained on."""
-    known = train.where(F.col(label).isNotNull())
+             rate: float = lookups.BOOSTING_RATE, seed: int = lookups.SEED,
+             validation: DataFrame | None = None, tolerance: float = VALIDATION_TOLERANCE) -> GBTRegressionModel:
+    """Boosted-tree regressor; rows without a known value are not trained on, nor measured if ``validation`` ends the fit."""
     estimator = GBTRegressor(
         labelCol=label, featuresCol=features, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed,
         maxMemoryInMB=512,
     )
-    return _fit(estimator, known.select(F.col(label).cast("double").alias(label), features))
+    return _fit(estimator, *_inputs(label, features, train, validation), tolerance)
 
 
 def score_stay(model: GBTRegressionModel, df: DataFrame, name: str = "los_pred") -> DataFrame:
@@ -92,12 +109,6 @@ def score_vectors(model, df: DataFrame, vector: str, name: str = "pred") -> Data
     return out.select(*columns)
 
 
-def head_history(model: MultilayerPerceptronClassificationModel, spark: SparkSession) -> DataFrame:
-    """``iteration, train_loss`` of a fitted classification head."""
-    losses = model.summary().objectiveHistory
-    return spark.createDataFrame(list(enumerate(losses)), "iteration int, train_loss double")
-
-
 def fit_vector_regressor(train: DataFrame, vector: str, label: str, trees: int = lookups.BOOSTING_TREES,
                          seed: int = lookups.SEED) -> GBTRegressionModel:
     """Regression head on a fixed array-of-float column."""
@@ -178,22 +189,43 @@ def staged_outputs(model: GBTClassificationModel | GBTRegressionModel, df: DataF
     return sliced.select(*df.columns, running(vector_to_array("_sliced")).alias(name))
 
 
-def _iterations(staged: DataFrame, label: str, name: str = "staged") -> DataFrame:
-    # the outer form keeps the optimizer from testing (and so computing) the
-    # array a second time; it is never empty
-    return staged.select(label, F.posexplode_outer(name).alias("_pos", "margin")).withColumn(
-        "iteration", F.col("_pos") + 1
-    )
+# Losses of a matrix of running sums (a column for each iteration) against a column of labels.
+Loss = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def log_losses(label: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """log(1 + exp(-x)) without overflow, for the margin's sign as the label wants it."""
+    x = 2.0 * margin * np.where(label == 1, 1.0, -1.0)
+    return np.log1p(np.exp(-np.abs(x))) + np.maximum(-x, 0.0)
 
 
-def _mean_by_iteration(staged: DataFrame, losses: dict[str, Callable[[Column, Column], Column]], label: str,
-                       iterations: int, name: str = "staged") -> DataFrame:
-    """``iteration`` and the mean of each loss (of the label and the running sum), in one pass, one row out of each task."""
-    values = F.transform(F.col(name), lambda x: F.struct(*[f(F.col(label).cast("double"), x).alias(k) for k, f in losses.items()]))
-    rows = staged.where(F.col(label).isNotNull()).select(values.alias("v"))
-    means = [F.array(*[F.avg(F.col("v")[i][k]) for i in range(iterations)]).alias(k) for k in losses]
-    zipped = rows.agg(*means).select(F.posexplode(F.arrays_zip(*losses)).alias("_pos", "m"))
-    return zipped.select((F.col("_pos") + 1).alias("iteration"), *[F.col(f"m.{k}").alias(k) for k in losses])
+def square_losses(label: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return (label - value) ** 2
+
+
+def size_losses(label: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return np.abs(label - value)
+
+
+def _mean_by_iteration(staged: DataFrame, losses: dict[str, Loss], label: str, iterations: int, name: str = "staged") -> DataFrame:
+    """``iteration`` and the mean of each loss over the rows with a label; a task sends one array of sums."""
+    size = iterations * len(losses)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros(size), 0
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False)[:, None]
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, iterations)
+            sums += np.concatenate([loss(y, values).sum(axis=0) for loss in losses.values()])
+            n += len(y)
+        yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64())), pa.array([n], pa.int64())], names=["sums", "n"])
+
+    known = staged.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), name)
+    parts = known.mapInArrow(run, "sums array<double>, n long").select("n", F.posexplode("sums").alias("place", "value"))
+    place = (F.col("place") % iterations + 1).alias("iteration")
+    means = {k: F.try_divide(F.sum(F.when(F.floor(F.col("place") / iterations) == i, F.col("value"))),
+                             F.sum(F.when(F.floor(F.col("place") / iterations) == i, F.col("n")))) for i, k in enumerate(losses)}
+    return parts.groupBy(place).agg(*[v.alias(k) for k, v in means.items()])
 
 
 def margin_probability(margin: Column) -> Column:
@@ -201,12 +233,6 @@ def margin_probability(margin: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-2.0 * margin))
 
 
-def _row_log_loss(label: Column, margin: Column) -> Column:
-    # log(1 + exp(-x)) without overflow, for the margin's sign as the label wants it
-    x = 2.0 * margin * F.when(label == 1, 1.0).otherwise(-1.0)
-    return F.log1p(F.exp(-F.abs(x))) + F.greatest(-x, F.lit(0.0))
-
-
 def _staged_table(model: GBTClassificationModel | GBTRegressionModel, df: DataFrame, label: str) -> DataFrame:
     """Label and running sums, written once and read by every measure."""
     return materialized(staged_outputs(model, df).select(label, "staged"), "staged")
@@ -217,13 +243,10 @@ def mortality_history(model: GBTClassificationModel, train: DataFrame, val: Data
     """``iteration, train_loss, val_loss, val_auc`` for every iteration."""
     n = model.getNumTrees
     held = _staged_table(model, val, label)
-    train_loss = _mean_by_iteration(_staged_table(model, train, label), {"train_loss": _row_log_loss}, label, n)
-    val_loss = _mean_by_iteration(held, {"val_loss": _row_log_loss}, label, n)
-    # ranking needs the rows of each iteration: label and score of the validation split only
-    ranked = _iterations(held, label).select(
-        "iteration", F.col(label).alias("label"), margin_probability(F.col("margin")).alias("prob")
-    )
-    val_auc = roc_auc(ranked, ["iteration"]).withColumnRenamed("auc_roc", "val_auc")
+    train_loss = _mean_by_iteration(_staged_table(model, train, label), {"train_loss": log_losses}, label, n)
+    val_loss = _mean_by_iteration(held, {"val_loss": log_losses}, label, n)
+    ranked = held.withColumn("staged", F.transform("staged", margin_probability))
+    val_auc = staged_auc(ranked, label, n).withColumnRenamed("auc_roc", "val_auc")
     return train_loss.join(val_loss, "iteration").join(val_auc, "iteration").orderBy("iteration")
 
 
@@ -231,9 +254,8 @@ def stay_history(model: GBTRegressionModel, train: DataFrame, val: DataFrame,
                  label: str = "los_days") -> DataFrame:
     """``iteration, train_loss, val_loss, val_mae`` for every iteration."""
     n = model.getNumTrees
-    square, size = (lambda y, x: (y - x) * (y - x)), (lambda y, x: F.abs(y - x))
-    train_loss = _mean_by_iteration(_staged_table(model, train, label), {"train_loss": square}, label, n)
-    held = _mean_by_iteration(_staged_table(model, val, label), {"val_loss": square, "val_mae": size}, label, n)
+    train_loss = _mean_by_iteration(_staged_table(model, train, label), {"train_loss": square_losses}, label, n)
+    held = _mean_by_iteration(_staged_table(model, val, label), {"val_loss": square_losses, "val_mae": size_losses}, label, n)
     return train_loss.join(held, "iteration").orderBy("iteration")
 
 
@@ -262,3 +284,10 @@ def score_at_iteration(model: GBTClassificationModel | GBTRegressionModel, df: D
             "pred", (F.col("prob") > 0.5).cast("int")
         )
     return staged.select(*df.columns, margin.alias("los_pred"))
+
+
+def score_first_trees(model: GBTClassificationModel | GBTRegressionModel, df: DataFrame, trees: int) -> DataFrame:
+    """Score with the first ``trees``; in the JVM where these are all."""
+    if trees < model.getNumTrees:
+        return score_at_iteration(model, df, trees)
+    return score_mortality(model, df) if isinstance(model, GBTClassificationModel) else score_stay(model, df)

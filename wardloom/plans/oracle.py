@@ -7,7 +7,8 @@ tables, no bucketing. Shared pieces are common table expressions.
 from __future__ import annotations
 
 from wardloom.functions import lookups
-from wardloom.plans.queries import ENCODING_LENGTH, ENCODING_WORDS
+from wardloom.operators.head_training import HeadSettings
+from wardloom.plans.queries import ENCODING_LENGTH, ENCODING_WORDS, HEAD_STEPS, OUTCOME_SIZES, PLANTED_TOLERANCE, PLANTED_TREES, STAY_SIZES
 
 PATIENTS = """
 select c_custkey as subject_id,
@@ -309,6 +310,111 @@ def _round(names: str, columns: str, source: str) -> str:
     return "select " + ", ".join(p for p in (plain, floats) if p) + f" from {source}"
 
 
+# --- heads fitted epoch by epoch: every weight is a row ---------------------------
+
+
+def _materialized(names: dict[str, str], final: str) -> str:
+    return "with " + ",\n".join(f"{name} as materialized ({body})" for name, body in names.items()) + "\n" + final
+
+
+def _first_weights(inputs: int, outputs: int) -> str:
+    """Input number ``inputs`` is the constant, so its weight is the bias."""
+    return f"""
+select cast(j as integer) as j, cast(i as integer) as i, 0.0::double as m, 0.0::double as v,
+       case when i < {inputs} then ((i * 31 + j * 17) % 13 - 6) / 50.0::double else ((j * 7) % 5 - 2) / 10.0::double end as w
+from range({inputs + 1}) r(i), range({outputs}) s(j)"""
+
+
+def _fitted_head(sizes: tuple[int, ...], label: str, classes: bool, settings: HeadSettings) -> dict[str, str]:
+    """Tables o_t (vec_id, z: outputs after t steps), l_t (losses) and s_t for every step."""
+    layers = range(len(sizes) - 1)
+    last = len(sizes) - 2
+    sql = {
+        "placed": _split("(select vec_id, label, embedding from embeddings) e", "vec_id", "label"),
+        "known": f"select vec_id, split, {label} as y, list_append(list_transform(embedding, lambda c: c::double), 1.0::double) as a from placed",
+        "n_train": "select count(*) as n from known where split = 'train'",
+    }
+    sql |= {f"w{k}_0": _first_weights(sizes[k], sizes[k + 1]) for k in layers}
+    for t in range(settings.epochs + 1):
+        for k in layers:
+            before = "known" if not k else f"a{k}_{t}"
+            sql[f"z{k}_{t}"] = f"""
+                select vec_id, j, list_dot_product(a, u.w) as z
+                from {before}, (select j, list(w order by i) as w from w{k}_{t} group by j) u"""
+            if k < last:
+                sql[f"a{k + 1}_{t}"] = f"""
+                    select vec_id, list_append(list(greatest(z, 0.0::double) order by j), 1.0::double) as a from z{k}_{t} group by vec_id"""
+        sql[f"o_{t}"] = f"select vec_id, split, y, list(z order by j) as z from z{last}_{t} join known using (vec_id) group by all"
+        if classes:
+            gap = "(z[2] - z[1])"
+            own = f"case when y = 1 then -{gap} else {gap} end"
+            sql[f"l_{t}"] = f"""
+                select vec_id, split, y, 1 / (1 + exp(-{gap})) as prob, case when {gap} > 0 then 1 else 0 end as pred,
+                       ln(1 + exp({own})) as loss, 0.0::double as size from o_{t}"""
+            slope = f"case j when 1 then 1 else -1 end * (1 / (1 + exp(-{gap})) - y)"
+        else:
+            sql[f"l_{t}"] = f"select vec_id, split, y, z[1] as los_pred, (z[1] - y) * (z[1] - y) as loss, abs(z[1] - y) as size from o_{t}"
+            slope = "2 * (z[1] - y)"
+        if t == settings.epochs:
+            break
+        sql[f"d{last}_{t}"] = f"select vec_id, cast(j as integer) as j, {slope} as d from o_{t}, range({sizes[-1]}) r(j) where split = 'train'"
+        for k in reversed(layers):
+            before = "known" if not k else f"a{k}_{t}"
+            sql[f"g{k}_{t}"] = f"""
+                select j, cast(i as integer) as i, list_dot_product(x, d) / (select n from n_train) as g
+                from (select i, list(c order by vec_id) as x
+                      from (select vec_id, unnest(a) as c, generate_subscripts(a, 1) - 1 as i from {before}
+                            where vec_id in (select vec_id from known where split = 'train')) u group by i) columns_of_a,
+                     (select j, list(d order by vec_id) as d from d{k}_{t} group by j) columns_of_d"""
+            if k:
+                sql[f"d{k - 1}_{t}"] = f"""
+                    select b.vec_id, b.j, case when b.z > 0 then list_dot_product(r.d, u.w) else 0.0::double end as d
+                    from z{k - 1}_{t} b
+                    join (select vec_id, list(d order by j) as d from d{k}_{t} group by vec_id) r using (vec_id)
+                    join (select i, list(w order by j) as w from w{k}_{t} group by i) u on u.i = b.j"""
+        norms = " union all ".join(f"select sum(g * g) as q from g{k}_{t}" for k in layers)
+        sql[f"c_{t}"] = f"select least(1.0::double, {settings.clip}::double / (sqrt(sum(q)) + 1e-6::double)) as c from ({norms}) q"
+        rate = settings.rate_at(t)
+        for k in layers:
+            m, v = "0.9::double * m + 0.1::double * (g * c)", "0.999::double * v + 0.001::double * (g * c) * (g * c)"
+            sql[f"w{k}_{t + 1}"] = f"""
+                select j, i, m, v, w * (1 - {rate!r}::double * {settings.decay!r}::double)
+                       - {rate!r}::double * (m / (1 - pow(0.9::double, {t + 1}))) / (sqrt(v / (1 - pow(0.999::double, {t + 1}))) + 1e-8::double) as w
+                from (select j, i, w, {m} as m, {v} as v from w{k}_{t} join g{k}_{t} using (j, i), c_{t}) s"""
+    steps = range(1, settings.epochs + 1)
+    sql["after"] = " union all ".join(f"select {t} as iteration, * from l_{t}" for t in steps)
+    sql["fitted"] = " union all ".join(f"select {t} as iteration, avg(loss) as train_loss from l_{t - 1} where split = 'train'" for t in steps)
+    if classes:
+        sql["held"] = "select iteration, prob, y as label from after where split = 'val'"
+        sql["measured"] = f"select iteration, auc_roc as val_auc, -auc_roc as rank from ({_auc('held', 'iteration')}) q"
+    else:
+        sql["measured"] = "select iteration, avg(size) as val_mae, avg(loss) as rank from after where split = 'val' group by iteration"
+    sql["best"] = "select iteration as kept from measured order by rank, iteration limit 1"
+    return sql
+
+
+def _head_history(measure: str) -> str:
+    return f"""
+select cast(f.iteration as integer) as iteration, round(train_loss, 6) as train_loss, round(val_loss, 6) as val_loss,
+       round({measure}, 6) as {measure}, f.iteration = (select kept from best) as kept
+from fitted f join measured m on m.iteration = f.iteration
+join (select iteration, avg(loss) as val_loss from after where split = 'val' group by iteration) v on v.iteration = f.iteration"""
+
+
+# --- boosting on an outcome that one split tells apart -----------------------------
+
+
+def _margins(trees: int) -> str:
+    """Margin (of either sign) after each tree: all rows of a class have the same, so every tree adds the same to it."""
+    return f"""
+select 1 as iteration, 1.0::double as f
+union all select iteration + 1, f + {lookups.BOOSTING_RATE}::double * 4 / (1 + exp(2 * f)) from margins where iteration < {trees}"""
+
+
+def _recursive(names: dict[str, str], final: str) -> str:
+    return _with(names, final).replace("with ", "with recursive ", 1)
+
+
 def oracle_sql() -> dict[str, str]:
     base = {"patients": PATIENTS, "admissions": ADMISSIONS, "diagnoses": DIAGNOSES}
     scored = {"admissions": ADMISSIONS, "scored": SCORED}
@@ -584,4 +690,80 @@ def oracle_sql() -> dict[str, str]:
          "d": _layer("c", 64, 1, False)},
         "select vec_id, round(x[1], 6) as los_pred from d",
     )
+
+    outcome_head = _fitted_head(OUTCOME_SIZES, "case when embedding[1]::double + embedding[2]::double > 0 then 1 else 0 end", True, HEAD_STEPS)
+    stay_head = _fitted_head(STAY_SIZES, "5.0::double + 4.0::double * embedding[1]::double - 2.0::double * embedding[2]::double", False, HEAD_STEPS)
+    chosen = "from after where split = 'test' and iteration = (select kept from best)"
+    sql["head_history"] = _materialized(outcome_head, _head_history("val_auc"))
+    sql["regressor_history"] = _materialized(stay_head, _head_history("val_mae"))
+    sql["head_best_scores"] = _materialized(outcome_head, f"select vec_id, cast(y as integer) as high, round(prob, 6) as prob, pred {chosen}")
+    sql["regressor_best_scores"] = _materialized(stay_head, f"select vec_id, round(y, 6) as stay, round(los_pred, 6) as los_pred {chosen}")
+
+    # the study: one diagnosis decides outcome and stay, so the first split of a tree tells them apart
+    def study(which: str, trees: int) -> dict[str, str]:
+        names = {
+            "patients": PATIENTS, "diagnoses": DIAGNOSES, "raw_admissions": ADMISSIONS,
+            "marked": "select distinct hadm_id, 1 as mark from diagnoses where icd_code = '486'",
+            "admissions": """
+                select a.* replace (coalesce(mark, 0) as hospital_expire_flag, case when dischtime is not null then
+                       admittime + (case when mark is null then 48 else 120 end) * interval '1' hour end as dischtime)
+                from raw_admissions a left join marked using (hadm_id)""",
+        }
+        names |= {k: v for k, v in whole(which).items() if k not in names}
+        margin = "(select f from margins order by iteration desc limit 1)"
+        return names | {
+            "placed": _split("cohort", "hadm_id", "hospital_expire_flag"),
+            "margins": _margins(trees),
+            "rescored": f"""
+                select hadm_id, race, hospital_expire_flag as label, los_days, 1 / (1 + exp(-2 * {margin} * (2 * hospital_expire_flag - 1))) as prob,
+                       hospital_expire_flag as pred, 2.0::double + 3 * hospital_expire_flag as los_pred, split
+                from placed""",
+            "scored": "select * from rescored where split = 'test'",
+        }
+
+    def study_report(which: str, trees: int, place: str) -> str:
+        names = study(which, trees) | {
+            "grouped": f"select *, {_race_group(which)} as race_group from scored",
+            "group_auc": _auc("grouped", "race_group"), "fair": _groups(which),
+            "auc": _auc("scored"), "binary_m": BINARY, "regression": REGRESSION, "metric_rows": METRIC_TABLE,
+            "first_rows": "select race_group, min(hadm_id) as first_row from grouped group by race_group",
+            "ranked": f"select f.*, cast(row_number() over (order by {place}, race_group) as integer) as place from fair f join first_rows using (race_group)",
+        }
+        measures = "n_samples mortality_rate auc_roc precision recall f1_score".split()
+        parts = ["""select 'metrics' as section, cast(null as integer) as place, 'all' as name, "Metric" as metric, round("Value", 6) as value from metric_rows"""]
+        parts += [f"select 'fairness', place, race_group, '{m}', round(cast({m} as double), 6) from ranked" for m in measures]
+        for m, value in (("n_rows", "count(*)"), ("label_percent", "avg(hospital_expire_flag) * 100")):
+            parts.append(f"select 'splits', null, split, '{m}', round(cast({value} as double), 6) from placed group by split")
+        return _recursive(names, " union all ".join(parts))
+
+    sql["study_compact"] = study_report("compact", 5, "n_samples desc")
+    sql["study_full"] = study_report("full", 1, "first_row")
+    sql["study_rescored"] = _recursive(study("compact", 5), "select hadm_id, round(prob, 6) as prob, pred, round(los_pred, 6) as los_pred from rescored")
+    ranked = lambda order, source="fair": f"select cast(row_number() over (order by {order}, race_group) as integer) as place, race_group, n_samples from {source}"
+    sql["group_places_by_size"] = _with(fair("compact"), ranked("n_samples desc"))
+    sql["write_group_places_roundtrip"] = sql["group_places_by_size"]
+    sql["group_places_by_first_seen"] = _with(
+        fair("full") | {"first_rows": "select race_group, min(hadm_id) as first_row from grouped group by race_group"},
+        ranked("first_row", "fair join first_rows using (race_group)"))
+
+    has = lambda word: f"case when contains(clinical_text, '{word}') then 1 else 0 end"
+    planted = whole("compact") | {
+        "given": f"select hadm_id, {has('pneumonia')} as outcome, 2.0::double + 3 * {has('sepsis')} + 1.5::double * {has('pneumonia')} as stay from cohort",
+        "placed": _split("given", "hadm_id", "outcome"),
+        "margins": _margins(6 * PLANTED_TREES),
+    }
+    prob = "round(1 / (1 + exp(-2 * f * (2 * outcome - 1))), 6) as prob, outcome as pred"
+    sql["gbt_planted_outcome"] = _recursive(
+        planted, f"select hadm_id, outcome, {prob} from placed, margins where split = 'test' and iteration = {PLANTED_TREES}")
+    sql["gbt_planted_stay"] = _recursive(
+        planted, "select hadm_id, round(stay, 6) as stay, round(stay, 6) as los_pred from placed where split = 'test'")
+    sql["planted_history"] = _recursive({"margins": _margins(PLANTED_TREES)}, """
+        select cast(iteration as integer) as iteration, series, round(case when series = 'val_auc' then 1 else ln(1 + exp(-2 * f)) end, 6) as value
+        from margins, (values ('train_loss'), ('val_loss'), ('val_auc')) v(series)""")
+    # the error after a tree is 2 ln(1 + exp(-2 f)); the first tree that lowers it too little is the one after the last kept
+    sql["best_iteration_scores"] = _recursive(planted | {
+        "errors": "select iteration, f, 2 * ln(1 + exp(-2 * f)) as error from margins",
+        "stop": f"""select coalesce(min(b.iteration), {6 * PLANTED_TREES} + 1) - 1 as last from errors a join errors b on b.iteration = a.iteration + 1
+                    where a.error - b.error < {PLANTED_TOLERANCE} * greatest(b.error, 0.01)"""},
+        f"select hadm_id, outcome, {prob}, cast(iteration as integer) as trees from placed, margins, stop where split = 'test' and iteration = last")
     return sql

@@ -18,11 +18,12 @@ from wardloom.functions import lookups, numeric
 from wardloom.functions.times import admission_features
 from wardloom.operators import cohort as co
 from wardloom.operators import diagnoses as dx
-from wardloom.operators import fairness, features, heads, metrics, models, split
+from wardloom.operators import fairness, features, head_training, heads, metrics, models, split
 from wardloom.operators.skew import spread
-from wardloom.plans import reports
+from wardloom.plans import bundle, reports
+from wardloom.plans.study import StudySettings, run_study
 from wardloom.sources import star_tables as st
-from wardloom.sources.clinical import load_tables, read_csv_table, table_sizes
+from wardloom.sources.clinical import ClinicalTables, load_tables, read_csv_table, table_sizes
 from wardloom.sources.sinks import materialized, new_location, rounded, write_table
 from wardloom.sources.schemas import SCHEMAS, TABLE_FILES
 
@@ -580,3 +581,175 @@ def fit_vector_regressor(spark: SparkSession, folder: str) -> DataFrame:
     rows = split.stratified_split(_vectors(spark, folder), "label", "vec_id")
     model = models.fit_vector_regressor(_part(rows, "train"), "embedding", "label")
     return models.score_vectors(model, _part(rows, "test"), "embedding").select("vec_id", "label", _finite("pred").alias("pred_finite"))
+
+
+# --- heads fitted epoch by epoch -----------------------------------------------
+
+# Small data needs larger steps than the reference setting of the rate.
+HEAD_STEPS = head_training.HeadSettings(epochs=10, rate=0.02)
+OUTCOME_SIZES, STAY_SIZES = (64, 256, 2), (64, 256, 64, 1)
+
+
+def rule_layers(sizes: tuple[int, ...]) -> list[heads.Layer]:
+    return [layer(a, b) for a, b in zip(sizes, sizes[1:])]
+
+
+def _labelled_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors, split by their label, with an outcome and a stay that their first two components give away."""
+    rows = split.stratified_split(_vectors(spark, folder).select("vec_id", "embedding", "label"), "label", "vec_id")
+    x, y = (F.get("embedding", F.lit(i)).cast("double") for i in (0, 1))
+    return rows.withColumns({"high": (x + y > 0).cast("int"), "stay": 5.0 + 4.0 * x - 2.0 * y})
+
+
+def _fitted_outcome(rows: DataFrame) -> head_training.FittedHead:
+    train, val = _part(rows, "train"), _part(rows, "val")
+    return head_training.train_head(train, val, "embedding", "high", rule_layers(OUTCOME_SIZES), head_training.CLASSES, HEAD_STEPS)
+
+
+def _fitted_stay(rows: DataFrame) -> head_training.FittedHead:
+    train, val = _part(rows, "train"), _part(rows, "val")
+    return head_training.train_head(train, val, "embedding", "stay", rule_layers(STAY_SIZES), head_training.SQUARES, HEAD_STEPS)
+
+
+@query
+def head_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Losses and validation AUC of a class head after every epoch, and which epoch is kept."""
+    return _exact(_fitted_outcome(_labelled_vectors(spark, folder)).table(spark))
+
+
+@query
+def regressor_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Losses and validation error of a regression head after every epoch, and which epoch is kept."""
+    return _exact(_fitted_stay(_labelled_vectors(spark, folder)).table(spark))
+
+
+@query
+def head_best_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Test rows scored with the class head's best epoch."""
+    rows = _labelled_vectors(spark, folder)
+    scored = heads.classifier_scores(_part(rows, "test"), "embedding", _fitted_outcome(rows).layers)
+    return _exact(scored.select("vec_id", "high", "prob", "pred"))
+
+
+@query
+def regressor_best_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Test rows scored with the regression head's best epoch."""
+    rows = _labelled_vectors(spark, folder)
+    return _exact(heads.regressor_scores(_part(rows, "test"), "embedding", _fitted_stay(rows).layers).select("vec_id", "stay", "los_pred"))
+
+
+# --- models that must find what is there -----------------------------------------
+
+PLANTED_TREES, PLANTED_TOLERANCE, PLANTED_TERMS = 10, 0.05, 200
+
+
+def _planted(spark: SparkSession, folder: str) -> DataFrame:
+    """The compact cohort with an outcome and a stay that words of its paragraphs give away, split, with vectors."""
+    text = F.col("clinical_text")
+    has = lambda word: text.contains(word).cast("int")
+    cohort = co.build_cohort(st.clinical_tables(spark, folder), "compact").select(
+        "hadm_id", "clinical_text", has("pneumonia").alias("outcome"), (2.0 + 3.0 * has("sepsis") + 1.5 * has("pneumonia")).alias("stay")
+    )
+    rows = split.stratified_split(spread(materialized(cohort, "planted")), "outcome")
+    return features.fit_tfidf(_part(rows, "train"), "clinical_text", PLANTED_TERMS).transform(rows, "clinical_text")
+
+
+@query
+def gbt_planted_outcome(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _planted(spark, folder)
+    model = models.fit_mortality(_part(rows, "train"), "outcome", trees=PLANTED_TREES, depth=1)
+    return _exact(models.score_mortality(model, _part(rows, "test")).select("hadm_id", "outcome", "prob", "pred"))
+
+
+@query
+def gbt_planted_stay(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _planted(spark, folder)
+    model = models.fit_stay(_part(rows, "train"), "stay", trees=3, depth=2)
+    return _exact(models.score_stay(model, _part(rows, "test")).select("hadm_id", "stay", "los_pred"))
+
+
+@query
+def planted_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Losses and validation AUC after every tree."""
+    rows = _planted(spark, folder)
+    train, val = _part(rows, "train"), _part(rows, "val")
+    model = models.fit_mortality(train, "outcome", trees=PLANTED_TREES, depth=1)
+    return _exact(reports.history_long(models.mortality_history(model, train, val, "outcome")))
+
+
+@query
+def best_iteration_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Test rows scored by a model that stopped growing when its validation error did."""
+    rows = _planted(spark, folder)
+    model = models.fit_mortality(_part(rows, "train"), "outcome", trees=6 * PLANTED_TREES, depth=1,
+                                 validation=_part(rows, "val"), tolerance=PLANTED_TOLERANCE)
+    scored = models.score_mortality(model, _part(rows, "test"))
+    return _exact(scored.select("hadm_id", "outcome", "prob", "pred", F.lit(model.getNumTrees).alias("trees")))
+
+
+# --- the whole study ---------------------------------------------------------------
+
+STUDY = StudySettings(trees=5, depth=2, max_terms=PLANTED_TERMS)
+
+
+def _planted_tables(spark: SparkSession, folder: str) -> ClinicalTables:
+    """The clinical tables, with an outcome and a stay that one diagnosis decides."""
+    tables = st.clinical_tables(spark, folder)
+    marked = tables.diagnoses.where("icd_code = '486'").select("hadm_id").distinct().withColumn("_marked", F.lit(1))
+    hours = F.when(F.col("_marked").isNull(), 48).otherwise(120)
+    admissions = tables.admissions.join(marked, "hadm_id", "left").withColumns({
+        "hospital_expire_flag": F.coalesce("_marked", F.lit(0)),
+        "dischtime": F.when(F.col("dischtime").isNotNull(), F.col("admittime") + F.make_interval(hours=hours)),
+    })
+    return tables._replace(admissions=admissions.drop("_marked"))
+
+
+def _study(spark: SparkSession, folder: str, which: str) -> DataFrame:
+    place = bundle.write_bundle(run_study(_planted_tables(spark, folder), which, STUDY), new_location(spark, f"study-{which}"))
+    return _exact(bundle.long_form(bundle.read_bundle(spark, place)))
+
+
+@query
+def study_compact(spark: SparkSession, folder: str) -> DataFrame:
+    """The compact study from tables to report, written as a bundle and read back."""
+    return _study(spark, folder, "compact")
+
+
+@query
+def study_full(spark: SparkSession, folder: str) -> DataFrame:
+    """The full study from tables to report, written as a bundle and read back."""
+    return _study(spark, folder, "full")
+
+
+@query
+def study_rescored(spark: SparkSession, folder: str) -> DataFrame:
+    """All admissions scored with the models of a bundle that was read back."""
+    tables = _planted_tables(spark, folder)
+    place = bundle.write_bundle(run_study(tables, "compact", STUDY), new_location(spark, "study-rescored"))
+    cohort = co.build_cohort(tables, "compact").select("hadm_id", "clinical_text")
+    return _exact(bundle.read_bundle(spark, place).score(cohort).select("hadm_id", "prob", "pred", "los_pred"))
+
+
+# --- order of groups ---------------------------------------------------------------
+
+
+@query
+def group_places_by_size(spark: SparkSession, folder: str) -> DataFrame:
+    groups = fairness.group_metrics(st.scored(spark, folder), "compact")
+    return fairness.placed_by_size(groups).select("place", "race_group", "n_samples")
+
+
+@query
+def group_places_by_first_seen(spark: SparkSession, folder: str) -> DataFrame:
+    scored = st.scored(spark, folder)
+    groups = fairness.group_metrics(scored, "full")
+    return fairness.placed_by_first_seen(groups, scored, "hadm_id", "full").select("place", "race_group", "n_samples")
+
+
+@query
+def write_group_places_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The order of the written group report: the line each group is on."""
+    groups = fairness.by_size(fairness.group_metrics(st.scored(spark, folder), "compact")).select("race_group", "n_samples")
+    place = write_table(groups, new_location(spark, "places"), single_file=True)
+    read = spark.read.schema(groups.schema).option("header", True).csv(place)
+    return read.select((F.monotonically_increasing_id() + 1).cast("int").alias("place"), "race_group", "n_samples")

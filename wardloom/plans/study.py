@@ -17,6 +17,7 @@ from wardloom.operators.skew import spread
 from wardloom.operators.split import stratified_split
 from wardloom.plans import reports
 from wardloom.sources.clinical import ClinicalTables
+from wardloom.sources.schemas import ROW_LABEL
 from wardloom.sources.sinks import materialized, write_table
 
 
@@ -43,6 +44,9 @@ class StudyResult:
     fairness: DataFrame
     disparity: DataFrame
     summary: DataFrame
+    profile: str
+    mortality_trees: int  # that the scores come from: all, or up to the best iteration
+    los_trees: int
     charts: dict[str, DataFrame] = field(default_factory=dict)
     history: dict[str, DataFrame] = field(default_factory=dict)
 
@@ -56,9 +60,10 @@ def run_study(tables: ClinicalTables, which: str | lookups.Profile = "compact",
     computed once, and lost executors only cost work since the last one. All
     result tables are lazy aggregates of the scored split.
 
-    The compact profile scores with all trees; the full profile keeps the
-    history of every iteration and scores with the best one on the validation
-    split.
+    The compact profile scores with all trees and lists groups by size; the
+    full profile keeps the history of every iteration, scores with the best one
+    on the validation split, and lists groups in the order of their first rows
+    (by row label where the admissions have one, else by admission).
     """
     rules = lookups.profile(which)
     cohort = materialized(co.build_cohort(tables, rules), "cohort")
@@ -75,6 +80,7 @@ def run_study(tables: ClinicalTables, which: str | lookups.Profile = "compact",
     outcome = models.fit_mortality(train, **boosting)
     stay = models.fit_stay(train, **boosting)
     history: dict[str, DataFrame] = {}
+    best_outcome, best_stay = outcome.getNumTrees, stay.getNumTrees
     if rules.race_by_substring:
         scored = models.score_stay(stay, models.score_mortality(outcome, test))
     else:
@@ -95,6 +101,12 @@ def run_study(tables: ClinicalTables, which: str | lookups.Profile = "compact",
     )
 
     groups = fairness.group_metrics(scored, rules, settings.min_group_size)
+    if rules.race_by_substring:
+        placed = fairness.placed_by_size(groups)
+    else:
+        labelled = ROW_LABEL in tables.admissions.columns
+        rows_of_groups = scored.join(tables.admissions.select("hadm_id", ROW_LABEL), "hadm_id") if labelled else scored
+        placed = fairness.placed_by_first_seen(groups, rows_of_groups, ROW_LABEL if labelled else "hadm_id", rules)
     spread_of_groups = fairness.disparity(groups)
     charts = {
         "confusion": reports.confusion_chart(scored),
@@ -111,9 +123,12 @@ def run_study(tables: ClinicalTables, which: str | lookups.Profile = "compact",
         scored=scored,
         metric_table=metrics.metric_table(scored),
         class_report=metrics.class_report(scored),
-        fairness=fairness.by_size(groups),
+        fairness=placed,
         disparity=spread_of_groups,
         summary=reports.run_summary(scored, spread_of_groups),
+        profile=rules.name,
+        mortality_trees=best_outcome,
+        los_trees=best_stay,
         charts=charts,
         history=history,
     )
@@ -129,5 +144,5 @@ def write_study(result: StudyResult, folder: str) -> list[str]:
     """Metric and group tables as CSV with a header."""
     return [
         write_table(result.metric_table, f"{folder}/model_results", single_file=True),
-        write_table(result.fairness, f"{folder}/fairness_analysis", single_file=True),
+        write_table(result.fairness.orderBy("place").drop("place"), f"{folder}/fairness_analysis", single_file=True),
     ]
