@@ -3,16 +3,19 @@
 A naive Bayes classifier over hashed words, counted on at most ``LABELLED_ROWS``
 labelled documents, gives every document a posterior over the domains. With
 a[d] = posterior[d] * tokens of a document, its rate r >= 0 (copies expected)
-is fitted so that the sums of r * a[d] match the targets, by projected gradient
-steps on
-
-    1/2 (y - t)' G^-1 (y - t),   y = sum of r a,   G = sum of a a',
-
-whose gradient has Lipschitz constant 1, from r = 1, until the sums match the
-targets or stand still. Each step needs one small aggregate of as many numbers
-as there are domains; a rate follows from the document's own row and those
-numbers, so nothing else is kept or shuffled. ``max_rate`` bounds the rates
-above too. With ``hold`` a document whose likeliest domain is the kept one has
+is fitted so that the sums of r * a[d] match the targets: projected gradient
+steps from r = 1 on the least squares
+
+    1/2 (y - t)' G^-1 (y - t),   y = sum of r a,   G = sum of a a'.
+
+A step goes along the gradient scaled by the same sum over the rows that are
+free to move, those not held at a bound by it. Where that would not lower the
+squares the plain gradient is taken, whose Lipschitz constant is 1. Steps end
+when the sums match the targets or the squares stand still. Each needs two small
+aggregates, of as many numbers as there are domains and pairs of them; a rate
+follows from the document's own row and those numbers, so nothing is shuffled.
+Every ``CHAIN`` steps the rates are written, as their expression would grow
+beyond what compiles. ``max_rate`` bounds the rates above too. With ``hold`` a document whose likeliest domain is the kept one has
 rate 1, and only the others are fitted. Targets are first brought into what the
 free documents can reach, so that the steps do not pay for what no rate can
 give; ``Mix`` has what there was, what was wanted, and what was reached.
@@ -47,7 +50,8 @@ VOICE = 64
 SCALE = 1 << 20
 STEPS = 60
 TOLERANCE = 1e-7
-STANDSTILL = 1e-9
+STANDSTILL = 1e-6
+CHAIN = 8
 
 DOMAINS = ("clean", "low", "toxic")
 
@@ -111,12 +115,12 @@ def _amount(d: int) -> Column:
     return F.col(f"p{d}") * F.col("tokens")
 
 
-HELD = "held"
+HELD, START = "held", "start"
 
 
 def rate(steps: Sequence[Sequence[float]], max_rate: float | None) -> Column:
-    """The rate of a row after the given steps; one expression without loops, so that it compiles."""
-    value = "1.0D"
+    """The rate of a row some steps after ``start``; one expression without loops, so that it compiles."""
+    value = START
     for step in steps:
         move = " + ".join(f"p{d} * ({float(x)!r}D)" for d, x in enumerate(step))
         value = f"greatest(0.0D, {value} - ({move}) * tokens)"
@@ -131,42 +135,68 @@ def _sums(found: DataFrame, values: dict[str, Column]) -> list[float]:
 
 @dataclass
 class Mix:
-    steps: list[list[float]]
-    max_rate: float | None
+    steps: int
     had: list[float]  # tokens expected of each domain before, and after
     wanted: list[float]
     target: list[float]  # what is wanted, as far as it can be reached
     reached: list[float]
 
-    @property
-    def rate(self) -> Column:
-        return rate(self.steps, self.max_rate)
-
 
-def fit_rates(found: DataFrame, wanted: Sequence[float], max_rate: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> Mix:
-    """The projected gradient steps that lead from rate 1 to the wanted sums; ``found`` has tokens, p0, p1, ... and held."""
+def fit_rates(found: DataFrame, wanted: Sequence[float], max_rate: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, Mix]:
+    """Add the ``rate`` to which projected gradient steps lead from 1 to the wanted sums; ``found`` has tokens, p0, p1, ... and held."""
     domains = range(len(wanted))
     free = ~F.col(HELD)
-    pairs = [(i, j) for i in domains for j in domains if i <= j]
-    first = _sums(found, {f"y{d}": _amount(d) for d in domains} | {f"f{d}": F.when(free, _amount(d)) for d in domains}
-                  | {f"g{i}_{j}": F.when(free, _amount(i) * _amount(j)) for i, j in pairs})
-    had, movable = np.array(first[: len(wanted)]), np.array(first[len(wanted) : 2 * len(wanted)])
-    gram = np.zeros((len(wanted), len(wanted)))
-    for (i, j), g in zip(pairs, first[2 * len(wanted) :]):
-        gram[i, j] = gram[j, i] = g
+    first = _sums(found, {f"y{d}": _amount(d) for d in domains} | {f"f{d}": F.when(free, _amount(d)) for d in domains})
+    had, movable = np.array(first[: len(wanted)]), np.array(first[len(wanted) :])
+    gram = _gram(found.where(free), domains)
     inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
     most = np.inf if max_rate is None else had - movable + max_rate * movable
     target = np.where(movable > 0, np.clip(np.array(wanted, float), had - movable, most), had)
     scale = max(float(np.abs(target).max(initial=0)), 1e-300)
-    taken: list[list[float]] = []
-    y = had
-    while len(taken) < steps and np.abs(y - target).max(initial=0) > tolerance * scale:
-        taken.append((inverse @ (y - target)).tolist())
-        r = rate(taken, max_rate)
-        before, y = y, np.array(_sums(found.select(r.alias("r"), "tokens", *[f"p{d}" for d in domains]), {f"y{d}": F.col("r") * _amount(d) for d in domains}))
-        if np.abs(y - before).max() <= STANDSTILL * scale:
+    squares = lambda y: float((y - target) @ inverse @ (y - target)) / 2
+    names = found.columns
+    found = found.withColumn(START, F.lit(1.0))
+    chain: list[list[float]] = []
+
+    def reached_by(step: np.ndarray) -> np.ndarray:
+        now = found.select(rate([*chain, step.tolist()], max_rate).alias("r"), *names)
+        return np.array(_sums(now, {f"y{d}": F.col("r") * _amount(d) for d in domains}))
+
+    done, y = 0, had
+    while done < steps and np.abs(y - target).max(initial=0) > tolerance * scale:
+        if len(chain) == CHAIN:
+            found = materialized(found.select(*names, rate(chain, max_rate).alias(START)), "mixing-rates")
+            chain = []
+        slope = inverse @ (y - target)
+        step = np.linalg.pinv(_gram(_movable(found.select(rate(chain, max_rate).alias("r"), *names), slope, max_rate), domains), rcond=1e-10, hermitian=True) @ (y - target)
+        now = reached_by(step)
+        if squares(now) > squares(y):
+            step = slope
+            now = reached_by(step)
+        chain.append(step.tolist())
+        done += 1
+        before, y = y, now
+        if squares(before) - squares(y) <= STANDSTILL * squares(before):
             break
-    return Mix(taken, max_rate, had.tolist(), [float(w) for w in wanted], target.tolist(), y.tolist())
+    mix = Mix(done, had.tolist(), [float(w) for w in wanted], target.tolist(), y.tolist())
+    return found.select(*names, rate(chain, max_rate).alias("rate")), mix
+
+
+def _movable(found: DataFrame, slope: np.ndarray, max_rate: float | None) -> DataFrame:
+    """Rows that are not held, by a bound of their rate ``r`` or at all, against the slope."""
+    down = F.expr("(" + " + ".join(f"p{d} * ({float(x)!r}D)" for d, x in enumerate(slope)) + ") * tokens")
+    stuck = (F.col("r") <= 0) & (down > 0)
+    if max_rate is not None:
+        stuck = stuck | ((F.col("r") >= max_rate) & (down < 0))
+    return found.where(~F.col(HELD) & ~stuck)
+
+
+def _gram(found: DataFrame, domains: Sequence[int]) -> np.ndarray:
+    pairs = [(i, j) for i in domains for j in domains if i <= j]
+    out = np.zeros((len(domains), len(domains)))
+    for (i, j), g in zip(pairs, _sums(found, {f"g{i}_{j}": _amount(i) * _amount(j) for i, j in pairs})):
+        out[i, j] = out[j, i] = g
+    return out
 
 
 def totals(found: DataFrame, domains: int) -> list[float]:
@@ -192,12 +222,12 @@ def copies(r: Column) -> Column:
 
 def fitted(docs: DataFrame, labels: DataFrame, weights: Sequence[float], kept: int = 0, max_rate: float | None = None,
            hold: bool = False) -> tuple[DataFrame, Mix]:
-    """Posteriors of every document, with ``held``, and the mix fitted to them."""
+    """Posteriors and rate of every document, and the mix fitted to them."""
     domains = range(len(weights))
     found = posteriors(docs, fit(docs, labels, domain_of_labels(), len(weights)))
     likeliest = F.col(f"p{kept}") >= F.greatest(F.lit(0.0), *[F.col(f"p{d}") for d in domains])
     found = materialized(found.withColumn(HELD, likeliest if hold else F.lit(False)), "mixing-posteriors")
-    return found, fit_rates(found, targets_for(totals(found, len(weights)), weights, kept), max_rate)
+    return fit_rates(found, targets_for(totals(found, len(weights)), weights, kept), max_rate)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: Sequence[float], kept: int = 0, max_rate: float | None = None,
@@ -206,7 +236,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: Sequence[float], kept: in
     found, mix = fitted(docs, labels, weights, kept, max_rate, hold)
     names = [f"p{d}" for d in range(len(weights))]
     whole = [F.lit(v).alias(f"{name}{d}") for name, values in (("target", mix.target), ("reached", mix.reached)) for d, v in enumerate(values)]
-    return found.select("doc_id", "tokens", *names, mix.rate.alias("rate"), copies(mix.rate).alias("copies"), *whole)
+    return found.select("doc_id", "tokens", *names, "rate", copies(F.col("rate")).alias("copies"), *whole)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, weights: Sequence[float], kept: int = 0, max_rate: float | None = 1.0,
@@ -218,7 +248,7 @@ def sampled(docs: DataFrame, labels: DataFrame, weights: Sequence[float], kept:
     found, mix = fitted(docs, labels, weights, kept, max_rate, hold)
     materialized(summary(docs.sparkSession, mix), "mixing-summary")
     number = fresh(docs.columns, "copies")
-    numbered = found.select("doc_id", copies(mix.rate).alias("copies"))
+    numbered = found.select("doc_id", copies(F.col("rate")).alias("copies"))
     changed = numbered.where("copies <> 1 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias(number))
     key = fresh([*docs.columns, number], "mixed_id")
     joined = docs.join(changed.withColumnRenamed("doc_id", key), docs["doc_id"].cast("long") == F.col(f"`{key}`"), "left")
