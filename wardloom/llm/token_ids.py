@@ -47,10 +47,14 @@ RUN = 50
 # A byte-level vocabulary of this kind splits a text before each space or line
 # break that follows another character than white space. Only where such a
 # character follows white space and more white space follows it, or the end,
-# does the split depend on more than the piece that it begins.
+# does the split depend on more than the piece that it begins. It also splits
+# between letters, digits and other signs; the apostrophe belongs to either side.
 _UNSURE = re.compile(r"\s[ \n](?:\s|$)|^[ \n](?:\s|$)")
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, 0x0A]] = True
+_KINDS = np.zeros(256, np.uint8)
+for _byte in range(0x21, 0x7F):
+    _KINDS[_byte] = 0 if _byte == 0x27 else 1 if chr(_byte).isalpha() else 2 if chr(_byte).isdigit() else 3
 # Bytes that white space of other kinds has or begins with.
 _STRANGE = np.zeros(256, bool)
 _STRANGE[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -62,8 +66,8 @@ class Encoder:
     """Encodes with a byte-level tokenizer, each new piece of text once.
 
     Merges never cross the tokenizer's own splits, so the ids of a text are
-    those of the pieces that its spaces and line breaks begin, most of which
-    have been seen before. A batch is cut into pieces where its bytes lie, the
+    those of the pieces that its spaces and line breaks begin, cut again where
+    letters, digits and signs meet; most of these have been seen before. A batch is cut into pieces where its bytes lie, the
     distinct pieces are looked up, and the ids of all pieces are gathered at
     once. Texts with runs of white space, or with an added token of the
     vocabulary in them, are encoded as a whole.
@@ -133,6 +137,8 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         odd = self._odd(texts, data, offsets) if len(data) else np.zeros(len(texts), bool)
         marks = _SEPARATORS[data]
+        kinds = _KINDS[data]
+        marks[1:] |= (kinds[1:] != kinds[:-1]) & (kinds[1:] > 0) & (kinds[:-1] > 0)
         marks[offsets[:-1][np.diff(offsets) > 0]] = True
         begins = np.flatnonzero(marks)
         edges = np.append(begins, len(data)).astype(np.int32)
