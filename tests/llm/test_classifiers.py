@@ -65,3 +65,33 @@ def test_votes_against_brute_force():
 def test_margins_tell_dictionaries_apart():
     d = tx.Dictionaries(b" horrible dreadful ", b" pleasant agreeable ")
     assert d.of({b"dreadful"})[0] >= 3 and d.of({b"agreeable"})[0] <= -3 and abs(d.of({b"qzxvkj"})[0]) <= 1
+
+
+def test_equal_cosines_go_to_the_first():
+    """Copies among the labelled rows that disagree: which of them vote does not depend on the block."""
+    one = np.zeros((60, 4), np.float32)
+    one[:, 0] = 1
+    labels = np.array([1.0] * kq.NEIGHBOURS + [0.0] * (60 - kq.NEIGHBOURS))
+    model = kq.Model(np.zeros(0), np.zeros(0), np.zeros((0, 4)), one, labels, 0.5)
+    asked = np.tile(np.array([[0.6, 0.8, 0, 0]], np.float32), (1100, 1))
+    assert set(model.scores(asked)) == {1.0}
+    model.labels = labels[::-1].copy()
+    assert set(model.scores(asked)) == {0.0}
+
+
+def test_one_text_of_a_labelled_id(spark, rows):
+    """A labelled id with many texts is one labelled row."""
+    docs = rows([(1, f"text {i}") for i in range(300)] + [(2, "other")], "doc_id long, text string")
+    model = kq.fit(docs, rows([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert len(model.labels) == 2 and model.share == 0.5
+
+
+def test_thresholds_are_calibrated():
+    """The levels that only documents of one kind reach are found."""
+    rng = np.random.default_rng(0)
+    toxic = rng.integers(0, 2, 400)
+    found = np.array([tx.statistics([*rng.integers(-4, 4, 20).tolist(), 6 if t else 3]) for t in toxic])
+    first, second = tx.best_thresholds(found, toxic)
+    assert 4 <= first < second <= 6
+    model = tx.calibrate(tx.Dictionaries(b"", b""), found, toxic.astype(float), np.ones(400))
+    assert auc(model.scores(found), toxic) > 0.99

@@ -103,3 +103,65 @@ def test_ranges_do_not_matter(spark, rows):
         spark.conf.set("spark.sql.shuffle.partitions", 8)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got[1] == got[40] and not any("Menu" in t for t in got[1].values())
+
+
+def test_template_heavy_pages_are_no_copies(spark, rows):
+    """Two lines of their own among forty of the site: the template goes, the lines stay."""
+    menu = "".join(f"<div>Menu entry number {i} of the site</div>" for i in range(40))
+    pages = [(i, f"http://h/{i:02}", f"{menu}<div>Own {i}</div><p>And more {i}</p>") for i in range(8)]
+    assert texts(spark, rows, pages) == {i: f"Own {i}\n\nAnd more {i}" for i in range(8)}
+
+
+def test_sentences_shared_by_chance_stay(spark, rows):
+    """Neighbours that share a sentence of their articles keep it; a line on half of all pages of the host goes."""
+    body = "<article><p>Subscribe to our letter</p><p>{}</p><p>Own story {} and so on</p></article>"
+    said = ["Les.", "Les.", "Les.", "Un.", "Deux.", "Trois.", "Quatre.", "Cinq."]
+    pages = [(i, f"http://h/{i}", body.format(x, i)) for i, x in enumerate(said)]
+    assert texts(spark, rows, pages) == {i: f"{x}\n\nOwn story {i} and so on" for i, x in enumerate(said)}
+
+
+def brute(pages):
+    """Differencing by plain loops over {id: (host, path, [(line, inner)])}; no near copies, only exact ones."""
+    out = {}
+    hosts = {}
+    for i, (host, path, lines) in pages.items():
+        hosts.setdefault(host, []).append((path, i, lines))
+    for own in hosts.values():
+        own.sort()
+        n = len(own)
+        seen = {}
+        for _, _, lines in own:
+            for text in {t for t, _ in lines}:
+                seen[text] = seen.get(text, 0) + 1
+        common = {t for t, k in seen.items() if k >= ht.COMMON_PAGES and 2 * k >= n}
+        for place, (_, i, lines) in enumerate(own):
+            gone, votes = set(), []
+            for step in (-1, 1):
+                j = place + step
+                while 0 <= j < n and [t for t, _ in own[j][2]] == [t for t, _ in lines]:
+                    j += step
+                if 0 <= j < n:
+                    shared = set(ht.shared_lines([t for t, _ in lines], [t for t, _ in own[j][2]]))
+                    gone |= {k for k in shared if not lines[k][1]}
+                    votes.append({k for k in shared if lines[k][1] and lines[k][0] in common})
+            if votes:
+                gone |= set.intersection(*votes)
+            out[i] = "\n\n".join(t for k, (t, _) in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_against_brute_force(spark, rows):
+    import random
+
+    r = random.Random(11)
+    pages, rows_ = {}, []
+    for i in range(120):
+        host = f"h{r.randrange(4)}"
+        outer = [f"Top {x}" for x in range(3)] + ([f"Chance {r.randrange(3)}"] if r.random() < 0.3 else [])
+        inner = [x for x in ("Letter", "Advert") if r.random() < 0.8] + [f"Some chance {r.randrange(5)}", f"Own {i} " + "word " * 30]
+        lines = [(" ".join(t.split()), k >= len(outer)) for k, t in enumerate(outer + inner)]
+        if pages and r.random() < 0.2:
+            host, _, lines = pages[r.choice(list(pages))]
+        pages[i] = host, f"{i:03}", lines
+        rows_.append((i, f"http://{host}/{i:03}", "".join(f"<div>{t}</div>" for t, k in lines if not k) + "<article>" + "".join(f"<p>{t}</p>" for t, k in lines if k) + "</article>"))
+    assert texts(spark, rows, rows_) == brute(pages)

@@ -22,6 +22,11 @@ Column = Sequence | pa.Array
 NO_ID = -(1 << 63)
 
 
+def one_text_each(texts: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and one ``text`` of each: of several the one with the least hash, chosen in each task before the shuffle."""
+    return texts.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

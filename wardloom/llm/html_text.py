@@ -5,16 +5,21 @@
    elements whose class, id or role names such a part, are none; an article or
    main element is not dropped for a class or id around it. A line is *inner*
    if it stands in an article or main element.
-2. *Mates.* Pages are put in order of host and URL path; a page's mates are the
+2. *Common lines* are on at least half of the pages of their host, and on
+   ``COMMON_PAGES`` of them or more. They are counted per task before the shuffle;
+   a host has at most twice as many as its pages have lines on average.
+3. *Mates.* Pages are put in order of host and URL path; a page's mates are the
    nearest page before and the nearest after it on the same host that are not
-   copies of it (a copy shares over ``COPY`` of its characters). Only keys and
-   line hashes go into that order, which is dealt out by ranges, so a host with
-   a third of all pages is many tasks; across the ends of the ranges, pages are
-   compared with at most two pages of each side.
-3. *Differencing.* The lines of a page and of each mate are aligned by a longest
+   copies of it. A copy shares over ``COPY`` of its own characters, which are those
+   of inner lines and of lines that are not common, so that pages of one large
+   template are no copies. Only keys and line hashes go into that order, which is
+   dealt out by ranges, so a host with a third of all pages is many tasks; across
+   the ends of the ranges, pages are compared with at most two pages of each side.
+4. *Differencing.* The lines of a page and of each mate are aligned by a longest
    common subsequence, the n-th occurrence of a line matching the n-th. A line
-   that a mate shares is deleted; an inner one only if all mates share it.
-4. *Text* is what is left of all lines.
+   that a mate shares is deleted; an inner one only if it is common and all mates
+   share it, so that a sentence that two neighbours happen to share stays.
+5. *Text* is what is left of all lines.
 
 A run of copies is passed by the mate that its neighbour in the run found, so
 each page is compared with a few others however long the run is.
@@ -47,6 +52,7 @@ from wardloom.llm.common import with_columns_by_batch
 from wardloom.sources.sinks import materialized
 
 COPY = 0.9
+COMMON_PAGES = 4
 
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp|iframe|noframes|noscript|svg|math)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
@@ -195,13 +201,25 @@ def _signatures(keyed: DataFrame) -> DataFrame:
     return with_columns_by_batch(keyed, "html", kind, compute, keep=["key", "url"])
 
 
+def _with_common(found: DataFrame) -> DataFrame:
+    """Put into the sizes which lines are common: twice the size, and one more for a common line."""
+    each = found.select("host", F.explode(F.array_distinct("hashes")).alias("line"))
+    counted = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_PAGES)
+    pages = found.where(F.size("hashes") > 0).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    common = counted.join(pages, "host").where(2 * F.col("n") >= F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("common"))
+    flag = lambda h: F.coalesce(F.array_contains("common", h), F.lit(False)).cast("int")
+    coded = F.zip_with("hashes", "sizes", lambda h, s: F.when(s < 0, 2 * s - flag(h)).otherwise(2 * s + flag(h)))
+    return found.join(common, "host", "left").select("key", "host", "path", "hashes", coded.alias("sizes"))
+
+
 def _differing(hashes: np.ndarray, sizes: np.ndarray, theirs: np.ndarray) -> list[int] | None:
     """Places of the lines shared with another page; None if that is a copy."""
     if len(hashes) == len(theirs) and (hashes == theirs).all():
         return None
     shared = shared_lines(hashes.tolist(), theirs.tolist())
     size = np.abs(sizes)
-    return shared if int(size[shared].sum()) <= COPY * int(size.sum()) else None
+    own = np.where((sizes > 0) & (size % 2 == 1), 0, size // 2)
+    return None if own.any() and int(own[shared].sum()) > COPY * int(own.sum()) else shared
 
 
 def _nearest(pages: list[tuple], step: int) -> list[tuple[int, list[int]] | None]:
@@ -232,7 +250,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _shared_row(key: int, sizes: np.ndarray, shared: list[int]) -> tuple:
-    outer, inner = [i for i in shared if sizes[i] > 0], [i for i in shared if sizes[i] < 0]
+    outer, inner = [i for i in shared if sizes[i] > 0], [i for i in shared if sizes[i] < 0 and sizes[i] % 2]
     return (key, None, None, _SHARED, None, None, None, outer, inner)
 
 
@@ -336,7 +354,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     host, path = F.lower(F.substring_index(place, "/", 1)), F.regexp_replace(F.regexp_replace(place, "^[^/]*/?", ""), "[?#].*$", "")
     # equal rows are one page here
     found = found.select("key", host.alias("host"), path.alias("path"), "hashes", "sizes").dropDuplicates(["key"])
-    gone = _deleted(materialized(found, "html-lines"))
+    gone = _deleted(_with_common(materialized(found, "html-lines")))
     kind = T.StructType([T.StructField("lines", T.ArrayType(T.StringType()))])
     texts = with_columns_by_batch(
         keyed, "html", kind, lambda column: [[lines_of(page)[0] for page in column.to_pylist()]], keep=["page_id", "url", "key"]

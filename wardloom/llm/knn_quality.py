@@ -14,8 +14,9 @@ Every document is scored from its whole text in one pass without a shuffle.
 
 Defined cases: a null or empty text has the zero vector, and like any text
 without a similar neighbour it gets the share of label 1; rows that share a
-doc_id each get their score; rows without id or label are not learned from;
-without labels every score is 0.5; an empty table gives an empty result; other
+doc_id each get their score, and one text of a labelled doc_id is learned from;
+of labelled rows that are equally near (to six decimals) the one with the lesser
+doc_id votes; rows without id or label are not learned from; without labels every score is 0.5; an empty table gives an empty result; other
 columns are carried along or ignored.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardloom.llm.common import byte_texts, fresh, with_columns_by_batch
+from wardloom.llm.common import byte_texts, fresh, one_text_each, with_columns_by_batch
 from wardloom.llm.native import labelled_sample
 
 LABELLED_ROWS = 4096
@@ -109,7 +110,9 @@ class Model:
         k = min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(vectors) if k else 0, BLOCK):
             cosines = vectors[i : i + BLOCK] @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+            # cosines equal to six decimals are equal; the labelled row that comes first is the nearer one
+            order = np.rint(cosines * 1e6).astype(np.int64) * len(self.labels) - np.arange(len(self.labels))
+            near = np.argpartition(-order, k - 1, axis=1)[:, :k]
             weight = np.clip(np.take_along_axis(cosines, near, axis=1), 0, None).astype(np.float64) ** POWER
             total = weight.sum(axis=1)
             votes = (weight * self.labels[near]).sum(axis=1)
@@ -147,7 +150,7 @@ def fit_model(counted: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     """Fit on at most ``rows`` of ``labels`` (doc_id, quality), chosen by a hash of the id."""
     sample = labelled_sample(labels, F.when(F.col("quality").isin(0, 1), F.col("quality")), rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    texts = one_text_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id"), "doc_id", "label")
     kind = T.StructType([T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
 
     def counts(column: pa.Array) -> list:
@@ -155,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
 
     # a text has at most FEATURES of them, whatever its length
     found = with_columns_by_batch(texts, "text", kind, counts, keep=["doc_id", "label"]).collect()
-    found = sorted({r["doc_id"]: r for r in found}.values(), key=lambda r: r["doc_id"])
+    found.sort(key=lambda r: r["doc_id"])
     counted = [(np.array(r["grams"], np.int64), np.array(r["counts"], np.int64)) for r in found]
     return fit_model(counted, np.array([r["label"] for r in found], np.float64))
 

@@ -10,15 +10,16 @@ be matched. The margin of a window is how many bytes shorter the toxic
 dictionary makes it.
 
 The distinct windows of a whole text give a few statistics: the largest
-margins, their mean, and how many windows are above thresholds. A logistic
-regression on the labelled sample, weighted to the labels' own proportion,
-calibrates them to a score between 0 and 1.
+margins, their mean, and how many windows are above thresholds. The thresholds
+are the two of ``LEVELS`` that, on the labelled sample, best tell the documents
+with a window above them; a logistic regression on the sample, weighted to the
+labels' own proportion, calibrates the statistics to a score between 0 and 1.
 
 Every document is scored in one pass without a shuffle.
 
 Defined cases: a null or empty text has no windows and the statistics 0; rows
-that share a doc_id each get their score; rows without id or label are not
-learned from; without toxic or without ordinary labels every score is the
+that share a doc_id each get their score, and one text of a labelled doc_id is
+learned from; rows without id or label are not learned from; without toxic or without ordinary labels every score is the
 share of toxic ones (0 without any); an empty table gives an empty result;
 other columns are carried along or ignored.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardloom.llm.common import byte_texts, pieces, with_columns_by_batch
+from wardloom.llm.common import byte_texts, one_text_each, pieces, with_columns_by_batch
 from wardloom.llm.native import labelled_sample
 
 TOXIC_ROWS = 3000
@@ -47,7 +48,7 @@ MIN_DOCUMENTS = 3
 # A toxic window is over so many standard errors and so many times likelier in a toxic document.
 SIGNIFICANT = 3.5
 TIMES = 4.0
-THRESHOLDS = (3, 5)
+LEVELS = tuple(range(1, 13))
 REMEMBERED = 800_000
 COUNTING_TASKS = 8
 
@@ -91,34 +92,51 @@ class Dictionaries:
 
 
 def statistics(margins: list[int]) -> list[float]:
+    """Largest margins and their means, number of windows, and how many are at each of ``LEVELS`` or above."""
     own = np.sort(np.array(margins or [0], np.float64))[::-1]
-    above = [(own >= t).sum() for t in THRESHOLDS]
-    return [own[0], own[:3].mean(), own[:8].mean(), *np.log1p(above), np.log1p(len(margins)), above[0] / len(own), own.mean()]
+    return [own[0], own[:3].mean(), own[:8].mean(), own.mean(), len(margins), *((own >= t).sum() for t in LEVELS)]
+
+
+def features(found: np.ndarray, thresholds: tuple[int, ...]) -> np.ndarray:
+    counts = found[:, [5 + LEVELS.index(t) for t in thresholds]]
+    n = np.maximum(found[:, 4:5], 1)
+    return np.hstack([found[:, :4], np.log1p(found[:, 4:5]), np.log1p(counts), counts[:, :1] / n])
+
+
+def best_thresholds(found: np.ndarray, toxic: np.ndarray) -> tuple[int, ...]:
+    """The two levels that best separate documents with a window at them or above: the largest difference of their shares; equal ones by the lower."""
+    present = found[:, 5:] > 0
+    gain = present[toxic == 1].mean(axis=0) - present[toxic == 0].mean(axis=0)
+    first = np.argsort(-gain, kind="stable")[:2]
+    return tuple(sorted(LEVELS[i] for i in first))
 
 
 @dataclass
 class Model:
     dictionaries: Dictionaries
+    thresholds: tuple[int, ...]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
     def scores(self, found: np.ndarray) -> np.ndarray:
-        z = np.c_[(found - self.mean) / self.scale, np.ones(len(found))] @ self.weights
+        z = np.c_[(features(found, self.thresholds) - self.mean) / self.scale, np.ones(len(found))] @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def calibrate(dictionaries: Dictionaries, found: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> Model:
-    """Weighted logistic regression by Newton steps, lightly regularised."""
-    mean, scale = found.mean(axis=0), found.std(axis=0) + 1e-9
-    x = np.c_[(found - mean) / scale, np.ones(len(found))]
+    """Thresholds, and a weighted logistic regression by Newton steps, lightly regularised."""
+    thresholds = best_thresholds(found, toxic)
+    own = features(found, thresholds)
+    mean, scale = own.mean(axis=0), own.std(axis=0) + 1e-9
+    x = np.c_[(own - mean) / scale, np.ones(len(own))]
     ridge = np.diag([1.0] * (x.shape[1] - 1) + [1e-6])
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - toxic)) + ridge @ w
         w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, gradient)
-    return Model(dictionaries, mean, scale, w)
+    return Model(dictionaries, thresholds, mean, scale, w)
 
 
 def _counted(sample: DataFrame) -> DataFrame:
@@ -154,13 +172,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         labelled_sample(known.where("toxic = 0"), F.col("toxic"), ORDINARY_ROWS)
     )
     chosen = sample.groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").persist()
+    texts = one_text_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "label").persist()
     size = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         texts.unpersist()
         share = 1.0 if n1 else 0.0
-        return Model(Dictionaries(b"", b""), np.zeros(8), np.ones(8), np.array([0.0] * 8 + [80 * share - 40]))
+        return Model(Dictionaries(b"", b""), LEVELS[:2], np.zeros(8), np.ones(8), np.array([0.0] * 8 + [80 * share - 40]))
     counts = _counted(texts).persist()
     a, b = F.col("toxic") + 0.5, F.col("ordinary") + 0.5
     ratio = F.log(a / (n1 + 1)) - F.log(b / (n0 + 1))
