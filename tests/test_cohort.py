@@ -170,14 +170,14 @@ def skewed(spark, n=3000):
 
 def test_heavy_keys(spark):
     df = skewed(spark)
-    assert skew.heavy_keys(df, "hadm_id", min_rows=100, share=0.05) == [7]
+    assert skew.heavy_keys(df, "hadm_id", min_rows=100) == [7]
     assert skew.heavy_keys(df, "hadm_id") == []
 
 
 def test_heavy_admission_same_positions(spark):
     df = skewed(spark)
     plain = dx.positioned(df)
-    split = dx.positioned(df, min_rows=100, share=0.05)
+    split = dx.positioned(df, min_rows=100)
     assert plain.columns == split.columns
     assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
     heavy = split.where("hadm_id = 7").orderBy("seq_num").select("position").collect()
@@ -187,9 +187,9 @@ def test_heavy_admission_same_positions(spark):
 def test_heavy_admission_same_lists(spark):
     df = skewed(spark)
     plain = dx.diagnosis_summaries(df)
-    split = dx.diagnosis_summaries(df, min_rows=100, share=0.05)
+    split = dx.diagnosis_summaries(df, min_rows=100)
     assert plain.exceptAll(split).count() == 0
-    parts = dx.diagnosis_lists(df, part_size=64, min_rows=100, share=0.05)
+    parts = dx.diagnosis_lists(df, part_size=64, min_rows=100)
     whole = parts.where("hadm_id = 7").orderBy("part").collect()
     assert max(len(r.diagnosis_codes) for r in whole) == 64
     joined = [c for r in whole for c in r.diagnosis_codes]
@@ -209,7 +209,7 @@ def test_no_list_is_cut(spark):
 
 def test_heavy_key_with_null_order(spark):
     df = skewed(spark).withColumn("seq_num", F.when(F.col("seq_num") % 10 > 0, F.col("seq_num")))
-    plain, split = dx.positioned(df), dx.positioned(df, min_rows=100, share=0.05)
+    plain, split = dx.positioned(df), dx.positioned(df, min_rows=100)
     columns = ["hadm_id", "seq_num", "position"]
     assert plain.select(columns).exceptAll(split.select(columns)).count() == 0
 
@@ -245,3 +245,29 @@ def test_hot_patient_join_is_split(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_ranges_follow_the_groups(spark):
+    """Heavy groups whose order values do not overlap, of very different sizes: no range is much above the target."""
+    sizes = {1: 6000, 2: 600, 3: 300, 4: 40}
+    rows = [(k, float(k * 1_000_000 + (i * 7919) % n)) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(6)
+    cuts = dict(skew.group_cuts(df.where("k < 4"), "k", "v", 100))
+    assert {k: len(c) for k, c in cuts.items()} == {1: 59, 2: 5, 3: 2}
+    table = spark.createDataFrame(list(cuts.items()), "k long, c array<double>")
+    placed = df.join(table, "k").withColumn("r", skew.place_among(F.col("c"), F.col("v")))
+    biggest = placed.groupBy("k", "r").count().agg(F.max("count")).first()[0]
+    assert biggest <= 150
+    assert placed.where("r <> size(filter(c, x -> x <= v))").count() == 0
+    numbered = skew.numbered(df, "k", ["v"], F.col("v"), "n", min_rows=100)
+    assert numbered.join(skew.numbered(df, "k", ["v"], F.col("v"), "m"), ["k", "v"]).where("n <> m").count() == 0
+
+
+def test_range_cuts(spark):
+    df = spark.range(10_000).select((F.col("id") * 7919 % 10_000).cast("double").alias("v"))
+    assert skew.range_cuts(df, "v") == []
+    for rows in (5000, 900, 20):
+        cuts = skew.range_cuts(df, "v", rows)
+        edges = [0, *cuts, 10_000]
+        assert abs(len(cuts) + 1 - 10_000 / rows) <= 2 and max(b - a for a, b in zip(edges, edges[1:])) <= 1.6 * rows
+    assert skew.range_cuts(df.limit(0), "v", 1) == []

@@ -164,7 +164,7 @@ def test_grouped_split_keeps_patients_together(rows):
     df = rows([(i, i % 20, int(i % 20 == 1)) for i in range(200)], "hadm_id long, subject_id long, y int")
     hot = df.withColumn("subject_id", F.when(F.col("hadm_id") % 3 == 0, F.lit(3)).otherwise(F.col("subject_id")))
     plain = split.grouped_split(hot, "y", "hadm_id", "subject_id")
-    cut_up = split.grouped_split(hot, "y", "hadm_id", "subject_id", min_rows=50, share=0.1)
+    cut_up = split.grouped_split(hot, "y", "hadm_id", "subject_id", min_rows=50)
     assert plain.exceptAll(cut_up).count() == 0 and cut_up.count() == 200
     no_group = df.withColumn("subject_id", F.lit(None).cast("long"))
     assert split.grouped_split(no_group, "y", "hadm_id", "subject_id").where("split <> 'train'").count() == 0

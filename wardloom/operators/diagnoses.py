@@ -29,7 +29,6 @@ def positioned(
     dx: DataFrame,
     order_by: str | None = None,
     min_rows: int = skew.HEAVY_ROWS,
-    share: float = skew.HEAVY_SHARE,
 ) -> DataFrame:
     """Add the 1-based ``position`` of each code within its admission.
 
@@ -42,7 +41,7 @@ def positioned(
     order = [F.col(c).asc_nulls_last() for c in dict.fromkeys(ties)]
     leading = F.coalesce(F.col(first).cast("double"), F.lit(float("inf")))
     return skew.numbered(
-        dx.where(F.col("hadm_id").isNotNull()), "hadm_id", order, leading, "position", min_rows, share
+        dx.where(F.col("hadm_id").isNotNull()), "hadm_id", order, leading, "position", min_rows
     )
 
 
@@ -79,10 +78,9 @@ def diagnosis_lists(
     order_by: str | None = None,
     part_size: int = LIST_PART,
     min_rows: int = skew.HEAVY_ROWS,
-    share: float = skew.HEAVY_SHARE,
 ) -> DataFrame:
     """Raw diagnosis rows to the whole code list of each admission, in parts."""
-    return list_parts(harmonized(positioned(dx, order_by, min_rows, share), which), part_size)
+    return list_parts(harmonized(positioned(dx, order_by, min_rows), which), part_size)
 
 
 def diagnosis_summaries(
@@ -90,8 +88,7 @@ def diagnosis_summaries(
     which: str | Profile = "full",
     order_by: str | None = None,
     min_rows: int = skew.HEAVY_ROWS,
-    share: float = skew.HEAVY_SHARE,
 ) -> DataFrame:
     """Raw diagnosis rows to one row per admission."""
-    placed = positioned(dx, order_by, min_rows, share)
+    placed = positioned(dx, order_by, min_rows)
     return gathered(described(harmonized(placed, which), which))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions import lookups
@@ -34,8 +34,8 @@ def with_terms(docs: DataFrame, text: str, stop_words: Collection[str] | None =
     return staged.withColumn(name, unigrams_and_bigrams(F.col(name)))
 
 
-def term_counts(docs: DataFrame, terms: str = "terms") -> DataFrame:
-    """Occurrences and documents per term.
+def term_counts(docs: DataFrame, terms: str = "terms", whole: bool = False) -> DataFrame:
+    """Occurrences and documents per term; with ``whole`` a null term stands for all documents.
 
     Each document sends its terms once for occurrences and once, made unique
     inside the row, for documents. Both are then summed map-side, so the
@@ -44,8 +44,9 @@ def term_counts(docs: DataFrame, terms: str = "terms") -> DataFrame:
     """
     all_terms = F.struct(F.col(terms).alias("terms"), F.lit(1).alias("n"), F.lit(0).alias("docs"))
     unique = F.struct(F.array_distinct(F.col(terms)).alias("terms"), F.lit(0).alias("n"), F.lit(1).alias("docs"))
+    every = F.struct(F.array(F.lit(None).cast("string")).alias("terms"), F.lit(0).alias("n"), F.lit(1).alias("docs"))
     return (
-        docs.select(F.inline(F.array(all_terms, unique)))
+        docs.select(F.inline(F.array(all_terms, unique, *([every] if whole else []))))
         .select(F.explode("terms").alias("term"), "n", "docs")
         .groupBy("term")
         .agg(F.sum("n").alias("n_occurrences"), F.sum("docs").alias("n_docs"))
@@ -109,12 +110,13 @@ def fit_tfidf(docs: DataFrame, text: str, max_terms: int = lookups.MAX_TERMS,
     """
     stop = tuple(lookups.stop_words() if stop_words is None else stop_words)
     termed = with_terms(docs.select(text), text, stop, bigrams)
-    n_docs = docs.count()
-    rows = (
-        vocabulary(termed, "terms", max_terms)
-        .select("term", smoothed_idf(F.lit(n_docs), F.col("n_docs")).alias("idf"))
-        .collect()
-    )
+    if max_terms > VOCABULARY_LIMIT:
+        raise ValueError(f"a vocabulary holds at most {VOCABULARY_LIMIT} terms")
+    # one pass: the row of the null term, which comes first, counts the documents
+    counted = term_counts(termed, whole=True)
+    first = counted.orderBy(F.col("term").isNotNull(), F.desc("n_occurrences"), "term").limit(max_terms + 1)
+    n_docs = F.max(F.when(F.col("term").isNull(), F.col("n_docs"))).over(Window.partitionBy())
+    rows = [r for r in first.select("term", smoothed_idf(n_docs, F.col("n_docs")).alias("idf")).collect() if r["term"] is not None]
     rows.sort(key=lambda row: row["term"])
     return TfidfModel(tuple(r["term"] for r in rows), tuple(r["idf"] for r in rows), stop, bigrams)
 

@@ -181,7 +181,7 @@ def train_head(train: DataFrame, held: DataFrame, vector: str, label: str, layer
     try:
         for step in range(settings.epochs + 1):
             sums = epoch_sums(rows, _unflat(weights, layers), kind)
-            n, loss, n_held, held_loss, held_error = sums[weights.size :]
+            n, loss, n_held, held_loss, held_error = sums[weights.size :].tolist()
             if step:
                 val.append((held_loss / n_held, held_error / n_held) if n_held else (None, None))
             if step == settings.epochs:

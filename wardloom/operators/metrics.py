@@ -58,16 +58,15 @@ def ranking_counts(scored: DataFrame, groups: Sequence[str] = (), label: str = "
 
     Rows are first counted per distinct score, on the map side, so a tied
     score or a large group costs nothing extra. The distinct scores are then
-    ranked inside score ranges; ranges are put together from their totals, so
-    no task ever sorts a whole group.
+    ranked inside score ranges of about ``min_rows`` rows of all groups together;
+    ranges are put together from their totals, so no task sorts more than one.
+    The cuts between them are the one job that is run at once.
     """
     groups = list(groups)
     valid = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     columns = [*groups, label, score] + ([pred] if pred else [])
     valid = valid.select(*dict.fromkeys(columns))
-    cuts: list[float] = []
-    if valid.count() >= min_rows:
-        cuts = skew.range_cuts(valid.select(F.col(score).cast("double").alias("_s")), "_s")
+    cuts = skew.range_cuts(valid.select(F.col(score).cast("double").alias("_s")), "_s", min_rows)
 
     cells = _cells(F.col(label), F.col(pred)) if pred else {}
     per_score = valid.groupBy(*groups, F.col(score).cast("double").alias("_score")).agg(
@@ -91,7 +90,7 @@ def ranking_counts(scored: DataFrame, groups: Sequence[str] = (), label: str = "
             *[F.sum(name).alias(name) for name in cells],
         )
     )
-    # at most RANGES rows per group from here on
+    # one row for each group and range from here on
     earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
     ordered = F.sum(F.col("_ordered") + F.col("_pos").cast("double") * F.col("_before"))

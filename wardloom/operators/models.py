@@ -54,7 +54,7 @@ def _fit(estimator, inputs: DataFrame, validation: DataFrame | None = None, tole
     """Fit on kept inputs: fitting passes over them several times."""
     if validation is not None:
         inputs = inputs.withColumn(_HELD, F.lit(False)).unionByName(validation.withColumn(_HELD, F.lit(True)))
-        estimator = estimator.copy().setValidationIndicatorCol(_HELD).setValidationTol(tolerance)
+        estimator = estimator.copy({estimator.validationIndicatorCol: _HELD, estimator.validationTol: tolerance})
     kept = inputs.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return estimator.fit(kept)

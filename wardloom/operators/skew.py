@@ -8,16 +8,17 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group is heavy when it holds both this many rows and this share of all of
-# them; the share bounds how many heavy groups there can be (10,000).
+# Rows that one task puts in order; a group of more is cut into ranges of about as many.
 HEAVY_ROWS = 1_000_000
-HEAVY_SHARE = 1e-4
-RANGES = 256
+# Heavy groups that are told apart: as many only beyond 10**11 rows.
+MOST_HEAVY = 100_000
+TRACKED = 10_000
+STEPS = 1024
 FEW_SPLITS = 64
 
 
-def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> list:
-    """Values of ``key`` that hold a large share of the rows, usually none.
+def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> list:
+    """Values of ``key`` that hold ``min_rows`` rows or more, usually none.
 
     One map-side sketch over one column; small inputs cost a bare row count.
     The sketch only decides how rows are spread over tasks, never a result.
@@ -25,18 +26,51 @@ def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, share: float
     total = df.select(key).count()
     if total < min_rows:
         return []
-    limit = max(min_rows, share * total)
-    most = int(1 / share)
+    most = min(MOST_HEAVY, total // min_rows)
+    limit = max(min_rows, total / MOST_HEAVY)
     sketch = df.where(F.col(key).isNotNull()).agg(
-        F.call_function("approx_top_k", F.col(key), F.lit(most), F.lit(10 * most)).alias("top")
+        F.call_function("approx_top_k", F.col(key), F.lit(int(most)), F.lit(int(max(TRACKED, 10 * most)))).alias("top")
     )
     return [entry["item"] for entry in sketch.first()["top"] if entry["count"] >= limit]
 
 
-def range_cuts(df: DataFrame, value: str, ranges: int = RANGES) -> list[float]:
-    """At most ``ranges - 1`` distinct cut points that split ``value`` evenly."""
-    steps = [i / ranges for i in range(1, ranges)]
-    return sorted({cut for cut in df.approxQuantile(value, steps, 0.5 / ranges) if isfinite(cut)})
+def range_cuts(df: DataFrame, value: str, rows: int = HEAVY_ROWS) -> list[float]:
+    """Distinct cut points between ranges of about ``rows`` rows each; one job, and none of few rows."""
+    steps = [i / STEPS for i in range(1, STEPS)]
+    found = df.agg(F.count(value).alias("n"), F.percentile_approx(value, steps, 10 * STEPS).alias("q")).first()
+    ranges = -(-found["n"] // rows)
+    if ranges <= 1:
+        return []
+    if ranges <= STEPS // 4:
+        cuts = [found["q"][round(i * STEPS / ranges) - 1] for i in range(1, ranges)]
+    else:
+        cuts = df.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.25 / ranges)
+    return sorted({cut for cut in cuts if isfinite(cut)})
+
+
+def group_cuts(df: DataFrame, key: str, value: str, rows: int) -> list[tuple]:
+    """(key, cut points): for each group as many ranges of ``value`` as it has times ``rows`` rows; one job."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    steps = min(1 << (LEVELS - 1), max(1, -(-largest // rows)) * 4)
+    shares = [i / steps for i in range(1, steps)] or [0.5]
+    found = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, shares, 10 * steps).alias("q")).collect()
+    out = []
+    for r in found:
+        ranges = min(-(-r["n"] // rows), steps)
+        cuts = {r["q"][max(0, round(i * steps / ranges) - 1)] for i in range(1, ranges)}
+        out.append((r[key], sorted(c for c in cuts if isfinite(c))))
+    return out
+
+
+# Cut points of one group at most: 2 ** LEVELS.
+LEVELS = 14
+
+
+def place_among(cuts: Column, value: Column) -> Column:
+    """How many of the sorted cut points are at or below the value, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in range(LEVELS, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at))
 
 
 def with_range(df: DataFrame, value: str, cuts: list[float], name: str) -> DataFrame:
@@ -59,37 +93,36 @@ def numbered(
     leading: Column,
     name: str,
     min_rows: int = HEAVY_ROWS,
-    share: float = HEAVY_SHARE,
 ) -> DataFrame:
     """Add the exact 1-based position of each row within its group.
 
     Ordinary groups are numbered in one task each. A heavy group is cut into
-    ranges of ``leading`` (a number that never decreases along ``order``),
-    numbered per range, and shifted by the rows of the ranges before it.
+    ranges of ``leading`` (a number that never decreases along ``order``) of about
+    ``min_rows`` rows, by its own quantiles, numbered per range, and shifted by
+    the rows of the ranges before it.
     """
-    heavy = heavy_keys(df, key, min_rows, share)
+    heavy = heavy_keys(df, key, min_rows)
     if not heavy:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
 
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    flags = spark.createDataFrame([(k, True) for k in heavy], f"`{key}` {kind}, _heavy boolean")
-    marked = df.join(F.broadcast(flags), key, "left").withColumn(
-        "_leading", F.coalesce(leading.cast("double"), F.lit(float("-inf")))
-    )
-    cuts = range_cuts(marked.where("_heavy"), "_leading")
-    ranged = with_range(marked, "_leading", cuts, "_range").withColumn(
-        "_range", F.when(F.col("_heavy"), F.col("_range")).otherwise(F.lit(0))
+    led = df.withColumn("_leading", F.coalesce(leading.cast("double"), F.lit(float("-inf"))))
+    cuts = group_cuts(led.where(F.col(key).isin(heavy)).select(key, "_leading"), key, "_leading", min_rows)
+    # as many numbers as there are ranges of about min_rows rows
+    table = spark.createDataFrame(cuts, f"`{key}` {kind}, _cuts array<double>")
+    ranged = led.join(F.broadcast(table), key, "left").withColumn(
+        "_range", F.when(F.col("_cuts").isNotNull(), place_among(F.col("_cuts"), F.col("_leading"))).otherwise(F.lit(0))
     )
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        ranged.where("_heavy")
+        ranged.where(F.col("_cuts").isNotNull())
         .groupBy(key, "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     )
     within = F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order))
-    # at most one row per heavy group and range: bounded by 1/share * RANGES
+    # one row for each range
     return (
         ranged.withColumn("_within", within)
         .join(F.broadcast(shifts), [key, "_range"], "left")

@@ -106,7 +106,7 @@ def stratified_split(df: DataFrame, label: str = "hospital_expire_flag", key: st
 
 def grouped_split(df: DataFrame, label: str, key: str, group_key: str, seed: int = SEED,
                   held_out: float = HELD_OUT, test_share: float = TEST_OF_HELD_OUT,
-                  min_rows: int = skew.HEAVY_ROWS, share: float = skew.HEAVY_SHARE) -> DataFrame:
+                  min_rows: int = skew.HEAVY_ROWS) -> DataFrame:
     """Split whole groups (say, patients) so none is on both sides.
 
     A group's stratum is its largest label; rows without a group are trained
@@ -115,7 +115,7 @@ def grouped_split(df: DataFrame, label: str, key: str, group_key: str, seed: int
     """
     groups = df.where(F.col(group_key).isNotNull()).groupBy(group_key).agg(F.max(label).alias(label))
     placed = stratified_split(groups, label, group_key, seed, held_out, test_share).select(group_key, "split")
-    heavy = skew.heavy_keys(df, group_key, min_rows, share)
+    heavy = skew.heavy_keys(df, group_key, min_rows)
     if heavy:
         is_heavy = F.coalesce(F.col(group_key).isin(heavy), F.lit(False))
         joined = df.where(~is_heavy).join(placed, group_key, "left").unionByName(

@@ -746,6 +746,22 @@ def oracle_sql() -> dict[str, str]:
         fair("full") | {"first_rows": "select race_group, min(hadm_id) as first_row from grouped group by race_group"},
         ranked("first_row", "fair join first_rows using (race_group)"))
 
+    sql["group_places_in_files"] = _with(
+        fair("full") | {"first_rows": "select race_group, max(hadm_id) as last_row from grouped group by race_group"},
+        ranked("last_row desc", "fair join first_rows using (race_group)"))
+    sql["file_order"] = _with({"admissions": ADMISSIONS}, "select hadm_id, race, row_number() over (order by hadm_id desc) - 1 as line from admissions")
+    sql["load_csv_rejects"] = _with({"admissions": ADMISSIONS}, """
+        select hadm_id as row_label, 'admittime' as column_name, 'last Tuesday' as text from admissions where hadm_id % 13 = 0
+        union all select hadm_id, 'hospital_expire_flag', 'yes' from admissions where hadm_id % 17 = 0""")
+    sql["load_csv_lenient"] = _with({"admissions": ADMISSIONS}, """
+        select hadm_id, case when hadm_id % 13 <> 0 then strftime(admittime, '%Y-%m-%d %H:%M:%S') end as admittime,
+               strftime(dischtime, '%Y-%m-%d %H:%M:%S') as dischtime,
+               case when hadm_id % 17 <> 0 then hospital_expire_flag end as hospital_expire_flag, race
+        from admissions""")
+    unplaced = {"raw_admissions": ADMISSIONS, "admissions": "select * replace ('unknown' as admission_location) from raw_admissions"}
+    unplaced |= {k: v for k, v in whole("full").items() if k not in unplaced}
+    sql["text_missing_column"] = _with(unplaced, "select hadm_id, clinical_text from cohort")
+
     has = lambda word: f"case when contains(clinical_text, '{word}') then 1 else 0 end"
     planted = whole("compact") | {
         "given": f"select hadm_id, {has('pneumonia')} as outcome, 2.0::double + 3 * {has('sepsis')} + 1.5::double * {has('pneumonia')} as stay from cohort",

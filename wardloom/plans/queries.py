@@ -23,7 +23,8 @@ from wardloom.operators.skew import spread
 from wardloom.plans import bundle, reports
 from wardloom.plans.study import StudySettings, run_study
 from wardloom.sources import star_tables as st
-from wardloom.sources.clinical import ClinicalTables, load_tables, read_csv_table, table_sizes
+from wardloom.sources.clinical import ClinicalTables, load_tables, read_csv_table, read_csv_with_rejects, table_sizes
+from wardloom.sources.file_order import with_file_order
 from wardloom.sources.sinks import materialized, new_location, rounded, write_table
 from wardloom.sources.schemas import SCHEMAS, TABLE_FILES
 
@@ -753,3 +754,57 @@ def write_group_places_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     place = write_table(groups, new_location(spark, "places"), single_file=True)
     read = spark.read.schema(groups.schema).option("header", True).csv(place)
     return read.select((F.monotonically_increasing_id() + 1).cast("int").alias("place"), "race_group", "n_samples")
+
+
+@query
+def group_places_in_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups by their first row in files that hold the rows backwards and have no row label."""
+    place = new_location(spark, "backwards")
+    st.scored(spark, folder).orderBy(F.desc("hadm_id")).write.parquet(place)
+    scored = with_file_order(spark.read.parquet(place), "line")
+    groups = fairness.group_metrics(scored, "full")
+    return fairness.placed_by_first_seen(groups, scored, "line", "full").select("place", "race_group", "n_samples")
+
+
+@query
+def file_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The line that each admission is on in CSV files that hold them backwards."""
+    place = new_location(spark, "lines")
+    rows = st.admissions(spark, folder).select("hadm_id", "race").orderBy(F.desc("hadm_id"))
+    write_table(rows, place)
+    return with_file_order(spark.read.schema("hadm_id long, race string").option("header", True).csv(place), "line")
+
+
+# --- cells that are not what they should be ------------------------------------------
+
+
+def _spoilt_csv(spark: SparkSession, folder: str) -> str:
+    """Admissions as CSV, with words in some cells of times and flags."""
+    place = new_location(spark, "spoilt")
+    spoilt = lambda name, every, text: F.when(F.col("hadm_id") % every == 0, F.lit(text)).otherwise(F.col(name).cast("string")).alias(name)
+    rows = st.admissions(spark, folder).select(
+        F.col("hadm_id").alias("label"), "hadm_id", "subject_id", spoilt("admittime", 13, "last Tuesday"), "dischtime",
+        spoilt("hospital_expire_flag", 17, "yes"), "admission_type", "admission_location", "insurance", "marital_status", "race",
+    )
+    return write_table(rows, f"{place}/{TABLE_FILES['admissions']}.csv")
+
+
+@query
+def load_csv_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells that could not be parsed, by row and column."""
+    return read_csv_with_rejects(spark, _spoilt_csv(spark, folder), SCHEMAS["admissions"]).rejects.select("row_label", "column_name", "text")
+
+
+@query
+def load_csv_lenient(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows beside those cells, with nulls in their place."""
+    rows = read_csv_with_rejects(spark, _spoilt_csv(spark, folder), SCHEMAS["admissions"]).rows
+    return rows.select("hadm_id", _stamp("admittime"), _stamp("dischtime"), "hospital_expire_flag", "race")
+
+
+@query
+def text_missing_column(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraphs of admissions whose table has no column for where they came from."""
+    tables = st.clinical_tables(spark, folder)
+    merged = co.merged(tables._replace(admissions=tables.admissions.drop("admission_location")), "full")
+    return co.with_text(merged, "full").select("hadm_id", "clinical_text")
