@@ -699,15 +699,15 @@ def oracle_sql() -> dict[str, str]:
     sql["head_best_scores"] = _materialized(outcome_head, f"select vec_id, cast(y as integer) as high, round(prob, 6) as prob, pred {chosen}")
     sql["regressor_best_scores"] = _materialized(stay_head, f"select vec_id, round(y, 6) as stay, round(los_pred, 6) as los_pred {chosen}")
 
-    # the study: one diagnosis decides outcome and stay, so the first split of a tree tells them apart
+    # the study: the admission type decides outcome and stay, so the first split of a tree tells them apart
     def study(which: str, trees: int) -> dict[str, str]:
         names = {
             "patients": PATIENTS, "diagnoses": DIAGNOSES, "raw_admissions": ADMISSIONS,
-            "marked": "select distinct hadm_id, 1 as mark from diagnoses where icd_code = '486'",
             "admissions": """
-                select a.* replace (coalesce(mark, 0) as hospital_expire_flag, case when dischtime is not null then
-                       admittime + (case when mark is null then 48 else 120 end) * interval '1' hour end as dischtime)
-                from raw_admissions a left join marked using (hadm_id)""",
+                select * replace (case when admission_type = '1-URGENT' then 1 else 0 end as hospital_expire_flag,
+                                  case when dischtime is not null then
+                                       admittime + (case when admission_type = '1-URGENT' then 120 else 48 end) * interval '1' hour end as dischtime)
+                from raw_admissions""",
         }
         names |= {k: v for k, v in whole(which).items() if k not in names}
         margin = "(select f from margins order by iteration desc limit 1)"

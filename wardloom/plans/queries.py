@@ -694,15 +694,14 @@ STUDY = StudySettings(trees=5, depth=2, max_terms=PLANTED_TERMS)
 
 
 def _planted_tables(spark: SparkSession, folder: str) -> ClinicalTables:
-    """The clinical tables, with an outcome and a stay that one diagnosis decides."""
+    """The clinical tables, with an outcome and a stay that the admission type decides."""
     tables = st.clinical_tables(spark, folder)
-    marked = tables.diagnoses.where("icd_code = '486'").select("hadm_id").distinct().withColumn("_marked", F.lit(1))
-    hours = F.when(F.col("_marked").isNull(), 48).otherwise(120)
-    admissions = tables.admissions.join(marked, "hadm_id", "left").withColumns({
-        "hospital_expire_flag": F.coalesce("_marked", F.lit(0)),
+    urgent = F.col("admission_type") == "1-URGENT"
+    hours = F.when(urgent, 120).otherwise(48)
+    return tables._replace(admissions=tables.admissions.withColumns({
+        "hospital_expire_flag": urgent.cast("int"),
         "dischtime": F.when(F.col("dischtime").isNotNull(), F.col("admittime") + F.make_interval(hours=hours)),
-    })
-    return tables._replace(admissions=admissions.drop("_marked"))
+    }))
 
 
 def _study(spark: SparkSession, folder: str, which: str) -> DataFrame:

@@ -8,7 +8,6 @@ file or split, as few as the scan has tasks, passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +21,9 @@ def with_file_order(scan: DataFrame, name: str = ROW_LABEL) -> DataFrame:
 
     An empty scan gives an empty result.
     """
-    try:
-        place = F.col("_metadata.row_index")
-        scan.select(place)
-        block = F.lit(0).cast("long")
-    except AnalysisException:
+    if "row_index" in scan.select("_metadata").schema["_metadata"].dataType.names:
+        place, block = F.col("_metadata.row_index"), F.lit(0).cast("long")
+    else:
         # a text split is read from its start by one task, so its rows are numbered in a row
         place, block = F.monotonically_increasing_id(), F.col("_metadata.file_block_start")
     tagged = scan.select("*", F.col("_metadata.file_path").alias("_file"), block.alias("_block"), place.alias("_place"))
