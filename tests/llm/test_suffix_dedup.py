@@ -49,6 +49,22 @@ def test_against_brute_force(spark, rows, monkeypatch, many):
     assert ours(sd.deduplicated(rows(docs, "doc_id long, text string"))) == brute(docs)
 
 
+def test_long_groups_pass_in_small_batches(spark, rows, monkeypatch):
+    """A common phrase in ever new surroundings, its records met a few at a time by one task."""
+    monkeypatch.setattr(sd, "MANY", 3)
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    phrase, around = word(64), [word(90) for _ in range(12)]
+    docs = [(i, around[rng.integers(12)] + phrase + around[rng.integers(12)] + word(20)) for i in range(150)]
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = ours(sd.deduplicated(rows(docs, "doc_id long, text string")))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got == brute(docs)
+
+
 def test_table_against_brute_force(spark, folder):
     docs = table(spark, folder, "documents")
     assert ours(sd.deduplicated(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -268,15 +268,28 @@ def _matched(bench: Benchmark, texts: list[bytes], window: int) -> list[list]:
 
 
 def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in blocks of a checked size, by a hash of their id."""
+    """Distinct rows of the benchmark in blocks of a checked size, by a hash of the row.
+
+    Where a block would be larger than ``block_bytes`` there are more blocks,
+    until each is within it or is one row, which is needed as a whole.
+    """
     items = benchmark.where(F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
-    # twice as many as would do on average
+    ).distinct()
+    size = F.octet_length("text") + F.octet_length("item")
+    total = items.agg(F.sum(size)).first()[0] or 0
     blocks = 1 if total <= block_bytes else -(-2 * total // block_bytes)
+
+    def block_of(n: int) -> Column:
+        return F.pmod(F.xxhash64("item", "text"), F.lit(n))
+
+    while blocks > 1:
+        held = items.groupBy(block_of(blocks).alias("b")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        if held.where((F.col("bytes") > block_bytes) & (F.col("rows") > 1)).isEmpty():
+            break
+        blocks *= 2
     for b in range(blocks):
-        chosen = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
+        chosen = items if blocks == 1 else items.where(block_of(blocks) == b)
         yield sorted((r["item"], r["text"].encode()) for r in chosen.collect())
 
 
@@ -300,7 +313,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
         following = next(blocks, None)
         many = following is not None or parts
         shared = spark.sparkContext.broadcast(index_items(held, window))
-        source = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])) if many else docs
+        own = [F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])]
+        # 128 bits tell the rows apart
+        source = docs.withColumn(row, F.concat_ws(" ", F.xxhash64(*own).cast("string"), F.xxhash64(F.lit(row), *own).cast("string"))) if many else docs
         parts.append(with_columns_by_batch(
             source, "text", fields, lambda texts, b=shared: _matched(b.value, byte_texts(texts), window),
             [*keep, row] if many else keep,

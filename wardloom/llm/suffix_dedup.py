@@ -205,14 +205,15 @@ def _records(docs: DataFrame) -> DataFrame:
 def _met(records: DataFrame) -> DataFrame:
     """Repeats (``anchor`` null) and segments still to be sorted, from records that meet by anchor.
 
-    Rows come sorted, so a group is followed without holding more than ``MANY`` of its contexts.
+    Rows come sorted, so a group is followed without holding more than a batch and ``MANY`` of its contexts:
+    those of a longer one are passed on as they come.
     """
     names = ["doc", "part", "start", "count", "offset", "anchor", "many"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        tail, passed = None, 0  # contexts of the open group that are passed on, or enough of them
 
-        def settle(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def settle(rows: dict[str, np.ndarray], before: int) -> Iterator[pa.RecordBatch]:
             anchor, context = rows["anchor"], rows["context"]
             n = len(anchor)
             done = rows["done"]
@@ -222,6 +223,7 @@ def _met(records: DataFrame) -> DataFrame:
             leader = np.flatnonzero(new_context)[np.cumsum(new_context) - 1]
             later = ~done & np.any([rows[c] != rows[c][leader] for c in ("doc", "part", "start")], axis=0)
             contexts = np.bincount(group[new_context & ~done], minlength=group[-1] + 1 if n else 0)
+            contexts[:1] += before
             several = (contexts[group] > 1) & new_context & ~done
             many = contexts[group] > MANY
             doc, part = (np.concatenate([rows[c][done], rows[c][later], rows[c][several]]) for c in ("doc", "part"))
@@ -243,12 +245,19 @@ def _met(records: DataFrame) -> DataFrame:
                 continue
             cut = int(np.searchsorted(rows["anchor"], rows["anchor"][-1]))  # the last group may go on
             if cut:
-                yield from settle({c: v[:cut] for c, v in rows.items()})
+                yield from settle({c: v[:cut] for c, v in rows.items()}, passed)
+                passed = 0
             tail = {c: v[cut:] for c, v in rows.items()}
+            starts = np.flatnonzero(np.concatenate([[True], tail["context"][1:] != tail["context"][:-1]]))
+            if passed or (~tail["done"][starts]).sum() > MANY:
+                last = int(starts[-1])  # the last context may go on
+                passed = MANY + 1
+                if last:
+                    yield from settle({c: v[:last] for c, v in tail.items()}, passed)
+                    tail = {c: v[last:] for c, v in tail.items()}
         if tail is not None:
-            yield from settle(tail)
+            yield from settle(tail, passed)
 
-    # a row for each task and context at most, and only of the last anchor, is carried from batch to batch
     ordered = records.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "part", "start")
     return ordered.mapInArrow(run, "doc long, part long, start long, count int, offset int, anchor long, many boolean")
 
