@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import decontaminate, html_text, katz, knn_quality, minhash, mixing, pii, quality_rules, suffix_dedup, token_ids, toxicity, vector_codes, whitening
+from wardloom.llm import decontaminate, html_text, katz, knn_quality, minhash, mixing, oracle, pii, quality_rules, suffix_dedup, token_ids, toxicity, vector_codes, whitening
 from wardloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the contracts that have one; the others are tested against brute force, round trips or held-out labels."""
+    return oracle.oracle_sql()
 
 
 def default_tokenizer() -> str:
