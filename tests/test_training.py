@@ -153,3 +153,27 @@ def test_history_ends_with_the_models_own_metrics(spark):
     row = models.stay_history(stay, train, val).collect()[-1]
     own = metrics.regression_metrics(models.score_stay(stay, val)).first()
     assert (row.val_loss, row.val_mae) == pytest.approx((own.mse, own.mae), abs=1e-9)
+
+
+@pytest.mark.parametrize("counters, most, expect", [(8, 8, "all"), (8, 512, "more"), (4096, 4096, "first")])
+@pytest.mark.parametrize("kind", ["zipf", "ties", "few"])
+def test_proven_vocabulary_is_the_vocabulary(spark, monkeypatch, counters, most, expect, kind):
+    """Frequent and rare terms, ties at the edge, fewer terms than wanted: the same rows as counting all."""
+    from wardloom.operators import features
+
+    rng = np.random.default_rng(7)
+    if kind == "zipf":
+        docs = [[f"t{min(int(z), 3000)}" for z in rng.zipf(1.4, 60)] for _ in range(200)]
+    elif kind == "ties":
+        docs = [[f"t{(i + j) % 200}" for j in range(50)] for i in range(200)]
+    else:
+        docs = [[f"t{i % 5}", None, f"t{i % 3}"] for i in range(40)] + [[]]
+    df = spark.createDataFrame([(i, [t for t in d if t]) for i, d in enumerate(docs)], "id long, terms array<string>").repartition(5)
+    exact, fell_back = features.vocabulary, []
+    monkeypatch.setattr(features, "vocabulary", lambda *a: fell_back.append(1) or exact(*a))
+    got = features.proven_vocabulary(df, max_terms=30, counters=counters, most=most, buckets=4).collect()
+    assert got == exact(df, "terms", 30).collect()
+    if kind == "ties" and expect == "all":
+        assert fell_back
+    if expect == "first":
+        assert not fell_back

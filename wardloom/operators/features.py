@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wardloom.functions import lookups
 from wardloom.functions.text import tokens, unigrams_and_bigrams, without_stop_words
+from wardloom.sources.sinks import materialized
 
 # Reserved ids of the fixed-length encoding.
 PAD, UNKNOWN, START, END = 0, 1, 2, 3
@@ -60,6 +61,52 @@ def vocabulary(docs: DataFrame, terms: str = "terms", max_terms: int = lookups.M
     return term_counts(docs, terms).orderBy(F.desc("n_occurrences"), "term").limit(max_terms)
 
 
+# Counters per bucket of terms in the first sketch, the most that are tried, and the buckets.
+COUNTERS, MOST_COUNTERS, BUCKETS = 4096, 1 << 18, 64
+
+
+def proven_vocabulary(docs: DataFrame, terms: str = "terms", max_terms: int = lookups.MAX_TERMS, counters: int = COUNTERS,
+                      most: int = MOST_COUNTERS, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of :func:`vocabulary`, for corpora with too many distinct terms to shuffle them all.
+
+    A first pass keeps a heavy-hitter sketch for each bucket of terms: a count
+    is at most its estimate, and at least that less 3.5 / counters of the
+    bucket's occurrences. The terms that can be among the ``max_terms`` most
+    frequent follow from these bounds; a second pass counts only those, exactly.
+    If a term that no sketch holds could still be among them, there is another
+    first pass with four times the counters, and beyond ``most`` all terms are
+    counted. What is shuffled is at most the counters of every task and bucket.
+    """
+    if max_terms > VOCABULARY_LIMIT:
+        raise ValueError(f"a vocabulary holds at most {VOCABULARY_LIMIT} terms")
+    each = docs.select(F.explode(terms).alias("term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    while counters <= most:
+        sketched = each.groupBy("bucket").agg(
+            F.call_function("approx_top_k", F.col("term"), F.lit(counters), F.lit(counters)).alias("top"), F.count("term").alias("n")
+        )
+        # what a term can have without being listed: nothing if all fitted, else the error or what the last of a full list has
+        error = F.when(F.col("n") <= counters, 0).otherwise(F.ceil(3.5 * F.col("n") / counters))
+        unseen = F.when(F.size("top") < counters, error).otherwise(F.greatest(error, F.element_at("top", -1)["count"]))
+        lists = materialized(sketched.select("top", error.alias("error"), unseen.alias("unseen")), "top-terms")
+        held = lists.select(F.inline("top"), "error").select(F.col("item").alias("term"), F.col("count").alias("upper"), (F.col("count") - F.col("error")).alias("lower"))
+        least = held.orderBy(F.desc("lower")).limit(max_terms).agg(F.count(F.lit(1)).alias("n"), F.min("lower").alias("least")).first()
+        unseen = lists.agg(F.max("unseen")).first()[0] or 0
+        whole = least["n"] < max_terms  # all terms are wanted
+        bound = 1 if whole else max(1, least["least"])
+        if unseen < bound:
+            chosen = held.where(F.col("upper") >= bound).select("term")
+            wanted = docs.sparkSession.createDataFrame(chosen.limit(buckets * counters).collect(), "term string")
+            known = docs.select(F.array_distinct(terms).alias("unique"), F.col(terms).alias("terms"))
+            parts = known.select(F.inline(F.array(
+                F.struct(F.col("terms").alias("t"), F.lit(1).alias("n"), F.lit(0).alias("docs")),
+                F.struct(F.col("unique").alias("t"), F.lit(0).alias("n"), F.lit(1).alias("docs")),
+            ))).select(F.explode("t").alias("term"), "n", "docs")
+            counted = parts.join(F.broadcast(wanted), "term").groupBy("term").agg(F.sum("n").alias("n_occurrences"), F.sum("docs").alias("n_docs"))
+            return counted.orderBy(F.desc("n_occurrences"), "term").limit(max_terms)
+        counters *= 4
+    return vocabulary(docs, terms, max_terms)
+
+
 def smoothed_idf(n_docs, doc_count):
     """ln((1 + n) / (1 + df)) + 1"""
     return F.log((1 + n_docs).cast("double") / (1 + doc_count).cast("double")) + 1.0
@@ -141,14 +188,14 @@ def encode_fixed_length(docs: DataFrame, text: str, words: list[str],
     unknown, reserved = UNKNOWN, RESERVED
 
     @F.arrow_udf("array<int>")
-    def word_ids(batch: pa.Array) -> pa.Array:
-        flat = batch.flatten()
-        rank = pc.index_in(flat, value_set=pa.array(known.value, pa.string()))
-        ids = pc.fill_null(pc.add(rank, pa.scalar(reserved, pa.int32())), pa.scalar(unknown, pa.int32()))
-        lengths = pc.fill_null(pc.list_value_length(batch), 0)
-        ends = pc.cumulative_sum(lengths.cast(pa.int32()))
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        return pa.ListArray.from_arrays(offsets, ids)
+    def word_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = pa.array(known.value, pa.string())  # once for all batches of a task
+        for batch in batches:
+            rank = pc.index_in(batch.flatten(), value_set=index)
+            ids = pc.fill_null(pc.add(rank, pa.scalar(reserved, pa.int32())), pa.scalar(unknown, pa.int32()))
+            lengths = pc.fill_null(pc.list_value_length(batch), 0)
+            ends = pc.cumulative_sum(lengths.cast(pa.int32()))
+            yield pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), ids)
 
     shown = F.slice(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")), 1, max_length - 2)
     framed = docs.withColumn("_ids", F.concat(F.array(F.lit(START)), word_ids(shown), F.array(F.lit(END))))

@@ -647,6 +647,7 @@ def oracle_sql() -> dict[str, str]:
     sql["vocabulary"] = _with(
         fitted, "select term, cast(n_occurrences as bigint) as n_occurrences, n_docs from vocab"
     )
+    sql["vocabulary_by_sketch"] = sql["vocabulary"]
     sql["tfidf"] = _with(fitted, _weights())
     sql["tfidf_holdout"] = _with(
         docs_split | text

@@ -435,6 +435,12 @@ def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return features.vocabulary(features.with_terms(_documents(spark, folder), "text"))
 
 
+@query
+def vocabulary_by_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """The vocabulary from bounded sketches and a second pass over what can be in it."""
+    return features.proven_vocabulary(features.with_terms(_documents(spark, folder), "text"))
+
+
 @query
 def tfidf(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
