@@ -1,3 +1,5 @@
+import pytest
+
 from wardloom.llm import html_text as ht
 from wardloom.llm.common import table
 
@@ -150,9 +152,12 @@ def brute(pages):
     return out
 
 
-def test_against_brute_force(spark, rows):
+@pytest.mark.parametrize("few", [1 << 19, 0])
+def test_against_brute_force(spark, rows, monkeypatch, few):
     import random
 
+    monkeypatch.setattr(ht, "BROADCAST_LINES", few)
+
     r = random.Random(11)
     pages, rows_ = {}, []
     for i in range(120):

@@ -53,6 +53,8 @@ from wardloom.sources.sinks import materialized
 
 COPY = 0.9
 COMMON_PAGES = 4
+BROADCAST_LINES = 1 << 19
+SALTS = 16
 
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp|iframe|noframes|noscript|svg|math)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
@@ -202,14 +204,28 @@ def _signatures(keyed: DataFrame) -> DataFrame:
 
 
 def _with_common(found: DataFrame) -> DataFrame:
-    """Put into the sizes which lines are common: twice the size, and one more for a common line."""
-    each = found.select("host", F.explode(F.array_distinct("hashes")).alias("line"))
-    counted = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_PAGES)
-    pages = found.where(F.size("hashes") > 0).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    common = counted.join(pages, "host").where(2 * F.col("n") >= F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("common"))
+    """Put into the sizes which lines are common: twice the size, and one more for a common line.
+
+    The common lines of all hosts are broadcast where they are counted to be
+    few; else they are joined by host and salt, so that a host with a third of
+    all pages is many tasks.
+    """
+    host = F.xxhash64("host").alias("site")
+    each = found.select(host, F.explode(F.array_distinct("hashes")).alias("line"))
+    counted = each.groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_PAGES)
+    pages = found.where(F.size("hashes") > 0).groupBy(host).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= COMMON_PAGES)
+    common = counted.join(pages, "site").where(2 * F.col("n") >= F.col("pages")).groupBy("site").agg(F.collect_list("line").alias("common"))
+    common = materialized(common, "html-common")
+    keyed = found.withColumn("site", host)
+    few = (common.agg(F.sum(F.size("common") + 2)).first()[0] or 0) <= BROADCAST_LINES
+    if few:
+        joined = keyed.join(F.broadcast(common), "site", "left")
+    else:
+        salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["site", "salt"], "left")
     flag = lambda h: F.coalesce(F.array_contains("common", h), F.lit(False)).cast("int")
     coded = F.zip_with("hashes", "sizes", lambda h, s: F.when(s < 0, 2 * s - flag(h)).otherwise(2 * s + flag(h)))
-    return found.join(common, "host", "left").select("key", "host", "path", "hashes", coded.alias("sizes"))
+    return joined.select("key", "host", "path", "hashes", coded.alias("sizes"))
 
 
 def _differing(hashes: np.ndarray, sizes: np.ndarray, theirs: np.ndarray) -> list[int] | None:
