@@ -128,7 +128,10 @@ def brute_mix(docs, labelled, weights, kept, max_rate):
 
 
 def test_squares_are_least(spark, folder):
-    """No small move of the rates within their bounds does better."""
+    """Hundreds of plain steps more lower the squares by under a ten-thousandth of what they were at first.
+
+    Where targets cannot be reached together, documents near the edge of what pays move ever more slowly.
+    """
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     found, mix = mixing.fitted(docs, labels, (0.94, 0.05, 0.01), 0, 1.0)
     rows = found.collect()
@@ -141,7 +144,7 @@ def test_squares_are_least(spark, folder):
     plain = np.clip(r - slope, 0, 1)
     for _ in range(300):
         plain = np.clip(plain - a @ (inverse @ (plain @ a - t)), 0, 1)
-    assert squares(r @ a) <= squares(plain @ a) * 1.02 + 1e-9
+    assert squares(plain @ a) <= squares(r @ a) <= squares(plain @ a) + 1e-4 * squares(a.sum(axis=0))
 
 
 @pytest.mark.parametrize("max_rate", [None, 1.0])

@@ -50,7 +50,7 @@ VOICE = 64
 SCALE = 1 << 20
 STEPS = 60
 TOLERANCE = 1e-7
-STANDSTILL = 1e-4
+STANDSTILL = 1e-6
 CHAIN = 8
 
 DOMAINS = ("clean", "low", "toxic")
