@@ -60,7 +60,7 @@ def ranking_counts(scored: DataFrame, groups: Sequence[str] = (), label: str = "
     score or a large group costs nothing extra. The distinct scores are then
     ranked inside score ranges of about ``min_rows`` rows of all groups together;
     ranges are put together from their totals, so no task sorts more than one.
-    The cuts between them are the one job that is run at once.
+    Only the rows are counted, and for more than one range cut, at once.
     """
     groups = list(groups)
     valid = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull())

@@ -35,14 +35,14 @@ def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> list:
 
 
 def range_cuts(df: DataFrame, value: str, rows: int = HEAVY_ROWS) -> list[float]:
-    """Distinct cut points between ranges of about ``rows`` rows each; one job, and none of few rows."""
-    steps = [i / STEPS for i in range(1, STEPS)]
-    found = df.agg(F.count(value).alias("n"), F.percentile_approx(value, steps, 10 * STEPS).alias("q")).first()
-    ranges = -(-found["n"] // rows)
+    """Distinct cut points between ranges of about ``rows`` rows each: a bare count where there are none, else one job more."""
+    ranges = -(-df.where(F.col(value).isNotNull()).count() // rows)
     if ranges <= 1:
         return []
     if ranges <= STEPS // 4:
-        cuts = [found["q"][round(i * STEPS / ranges) - 1] for i in range(1, ranges)]
+        steps = [i / STEPS for i in range(1, STEPS)]
+        found = df.agg(F.percentile_approx(value, steps, 10 * STEPS)).first()[0]
+        cuts = [found[round(i * STEPS / ranges) - 1] for i in range(1, ranges)]
     else:
         cuts = df.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.25 / ranges)
     return sorted({cut for cut in cuts if isfinite(cut)})
