@@ -177,3 +177,16 @@ def test_proven_vocabulary_is_the_vocabulary(spark, monkeypatch, counters, most,
         assert fell_back
     if expect == "first":
         assert not fell_back
+
+
+def test_written_rows_are_cut_by_their_number(spark, tmp_path):
+    """A few splits of a small file with many rows become as many tasks as the rows need."""
+    from wardloom.operators.skew import spread
+
+    place = str(tmp_path / "rows")
+    spark.range(20_000).coalesce(8).write.parquet(place)
+    scan = spark.read.parquet(place)
+    cut = spread(scan, 1_000)
+    assert cut.rdd.getNumPartitions() == 20 and cut.count() == 20_000
+    assert max(r.n for r in cut.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) <= 1_100
+    assert spread(scan, 5_000).rdd.getNumPartitions() == spread(scan).rdd.getNumPartitions()
