@@ -190,3 +190,24 @@ def test_written_rows_are_cut_by_their_number(spark, tmp_path):
     assert cut.rdd.getNumPartitions() == 20 and cut.count() == 20_000
     assert max(r.n for r in cut.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) <= 1_100
     assert spread(scan, 5_000).rdd.getNumPartitions() == spread(scan).rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("kind, sizes", [(ht.CLASSES, (3, 8, 2)), (ht.SQUARES, (3, 8, 4, 1))])
+def test_rows_go_through_the_layers_in_runs(spark, monkeypatch, kind, sizes):
+    """No matrix has more rows than a run; sums and measures stay."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 3))
+    df = table(spark, x, (x[:, 0] > 0).astype(float)).repartition(2)
+    fit = lambda: ht.train_head(df.where("id < 200"), df.where("id >= 200"), "v", "y", layers_of(sizes), kind, ht.HeadSettings(epochs=3, rate=0.05))
+    whole, forward = fit(), ht._forward
+
+    def short(layers, rows):
+        assert len(rows) <= 16
+        return forward(layers, rows)
+
+    monkeypatch.setattr(ht, "ROWS_AT_ONCE", 16)
+    monkeypatch.setattr(ht, "_forward", short)
+    cut = fit()
+    assert ht._flat(cut.layers) == pytest.approx(ht._flat(whole.layers), abs=1e-9) and cut.best == whole.best
+    for a, b in zip(cut.history, whole.history, strict=True):
+        assert a == pytest.approx(b, abs=1e-9)

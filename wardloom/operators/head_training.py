@@ -31,6 +31,8 @@ from wardloom.operators.metrics import staged_auc
 
 # Tasks that add up the partial sums of all others.
 ADDERS = 16
+# Rows that go through the layers at once: what a task holds beside its batch is a few matrices of as many rows.
+ROWS_AT_ONCE = 1024
 BETAS, TINY = (0.9, 0.999), 1e-8
 CLASSES, SQUARES = "classes", "squares"
 
@@ -122,6 +124,12 @@ def _unflat(numbers: np.ndarray, like: list[Layer]) -> list[Layer]:
     return out
 
 
+def pieces_of_rows(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most ``rows`` rows."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
@@ -142,7 +150,7 @@ def epoch_sums(rows: DataFrame, layers: list[Layer], kind: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(size + 5)
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces_of_rows(b, ROWS_AT_ONCE)):
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             y, held = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             if not held.all():
@@ -216,10 +224,11 @@ def _held_auc(rows: DataFrame, stages: list[list[Layer]]) -> list[float | None]:
     def scores(batch: pa.Array) -> pa.Array:
         x = batch.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
         out = np.empty((len(batch), len(sent.value)))
-        for i, layers in enumerate(sent.value):
-            logits = _forward(layers, x)[-1]
-            powers = np.exp(logits - logits.max(axis=1, keepdims=True))
-            out[:, i] = powers[:, 1] / powers.sum(axis=1)
+        for a in range(0, len(x), ROWS_AT_ONCE):
+            for i, layers in enumerate(sent.value):
+                logits = _forward(layers, x[a : a + ROWS_AT_ONCE])[-1]
+                powers = np.exp(logits - logits.max(axis=1, keepdims=True))
+                out[a : a + ROWS_AT_ONCE, i] = powers[:, 1] / powers.sum(axis=1)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(sent.value)), pa.array(out.ravel()))
 
     staged = rows.where("held").select(F.col("y").alias("label"), scores("x").alias("staged"))
