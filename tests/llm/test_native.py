@@ -202,3 +202,37 @@ def test_mixing_cases(spark, rows):
     none = rows([], "doc_id int, quality int, toxic int")
     assert mixing.mixed(docs.limit(0), labels, (0.5, 0.5, 0.5)).count() == 0
     assert mixing.sampled(docs, none, (0.5, 0.25, 0.25)).columns == docs.columns
+
+
+def test_every_trusted_document_counts(spark, rows):
+    """More trusted documents than any bounded sample took: the counts are those of all of them."""
+    n = 20_500
+    docs = [(i, f"w{i % 7} w{i % 11} x{i % 3}") for i in range(n)] + [(n, "other words here")]
+    good = set(range(n))
+    labels = rows([(i, 1) for i in good] + [(n, 0), (None, 1)], "doc_id long, quality int")
+    found = qr.log_ratios(rows(docs, "doc_id long, text string"), labels.where("quality = 1 and doc_id is not null").select("doc_id"))
+    kept = []
+    log_ratios = qr.log_ratios
+
+    def seen(d, trusted):
+        kept.append(trusted.count())
+        return log_ratios(d, trusted)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(qr, "log_ratios", seen)
+        got = qr.report(rows(docs, "doc_id long, text string"), labels)
+    assert kept == [n] and got.count() == n + 1 and found.count() > 0
+
+
+def test_trusted_ids_too_many_to_broadcast(spark, rows, folder):
+    """The join by id gives what the broadcast gives."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    before = sorted(qr.report(docs, labels).collect(), key=repr)
+    limits = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold") if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sorted(qr.report(docs, labels).collect(), key=repr) == before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for k, v in limits.items():
+            spark.conf.set(k, v)

@@ -24,12 +24,16 @@ def long_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
-def labelled_sample(labels: DataFrame, label: Column, rows: int) -> DataFrame:
-    """(doc_id, label): at most ``rows`` labelled documents, the first by a hash of their id.
+def labelled(labels: DataFrame, label: Column) -> DataFrame:
+    """(doc_id, label) of all labelled documents.
 
-    A bound of its own, so it may be broadcast. Of several labels for one
-    document the smallest counts; rows without id or label are left out.
+    Of several labels for one document the smallest counts; rows without id or
+    label are left out.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.alias("label"))
-    known = named.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return named.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
+
+
+def labelled_sample(labels: DataFrame, label: Column, rows: int) -> DataFrame:
+    """At most ``rows`` of :func:`labelled`, the first by a hash of their id: a bound of its own, so it may be broadcast."""
+    return labelled(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)

@@ -1,15 +1,16 @@
 """Quality rules: text statistics, and likelihood under trusted text against the corpus.
 
 Words and pairs of words of a text are hashed into ``BUCKETS`` buckets. Two
-multinomials over them are counted: one over at most ``TRUSTED_ROWS`` trusted
-documents, one over all documents. A document's score is the mean log-ratio of
+multinomials over them are counted: one over all trusted documents, one over
+all documents. A document's score is the mean log-ratio of
 the two over its n-grams, so it does not depend on the length. It is kept if
 its score, in steps of 1 / ``STEPS``, is at least that below which ``LOSS`` of
 the trusted documents lie, and if the base rules do not fail it.
 
 Log-ratios are whole numbers (times ``SCALE``), so that sums, and with them
 every verdict, are the same whatever the order of the rows. DataFrame
-expressions only; texts are never shuffled.
+expressions only. Texts are shuffled once, by id, where there are too many
+trusted ids to broadcast, else never.
 
 Defined cases: a null or empty text has no words, score 0 and fails the base
 rules; rows that share a doc_id each get their own result; a document without
@@ -22,11 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.llm.native import WHITE, labelled_sample, long_sum, positions, words
+from wardloom.llm.native import WHITE, labelled, long_sum, positions, words
 from wardloom.sources.sinks import materialized
 
 BUCKETS = 1 << 16
-TRUSTED_ROWS = 20_000
 LOSS = 0.01
 STEPS = 200
 SCALE = 1 << 20
@@ -38,10 +38,13 @@ LOWEST = -(1 << 30)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _hashed(texts: DataFrame) -> DataFrame:
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .withColumn("words", words(F.col("text")))
+        texts.withColumn("words", words(F.col("text")))
         .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     )
 
@@ -83,8 +86,8 @@ def base_failed() -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, ratio) of at most ``BUCKETS`` rows; ``trusted`` has the bounded doc_ids."""
-    marked = _hashed(docs).join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("trusted"))), "doc_id", "left")
+    """(bucket, ratio) of at most ``BUCKETS`` rows; ``trusted`` has the doc_ids, each once."""
+    marked = _hashed(_texts(docs).join(trusted.select("doc_id", F.lit(1).alias("trusted")), "doc_id", "left"))
     counts = (
         marked.select(F.explode(_grams()).alias("bucket"), "trusted")
         .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("trusted"))
@@ -100,7 +103,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, ratios: DataFrame) -> DataFrame:
     """doc_id, the base statistics and ``step``, the score in whole steps; one row for each row."""
-    grams = with_base(_hashed(docs)).select("doc_id", *BASE, _grams().alias("grams")).withColumn("row", F.monotonically_increasing_id())
+    grams = with_base(_hashed(_texts(docs))).select("doc_id", *BASE, _grams().alias("grams")).withColumn("row", F.monotonically_increasing_id())
     each = grams.select("row", "doc_id", *BASE, F.explode_outer("grams").alias("bucket"))
     sums = (
         each.join(F.broadcast(ratios), "bucket", "left").groupBy("row", "doc_id", *BASE)
@@ -112,7 +115,7 @@ def scored(docs: DataFrame, ratios: DataFrame) -> DataFrame:
 
 def threshold(found: DataFrame, trusted: DataFrame, loss: float = LOSS) -> int:
     """The highest step with at most ``loss`` of the trusted documents below it."""
-    steps = found.join(F.broadcast(trusted), "doc_id", "left_semi").groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    steps = found.join(trusted, "doc_id", "left_semi").groupBy("step").agg(F.count(F.lit(1)).alias("n"))
     below = 0
     rows = sorted(steps.collect())  # a log-ratio has few hundred steps
     allowed = loss * sum(r["n"] for r in rows)
@@ -123,9 +126,9 @@ def threshold(found: DataFrame, trusted: DataFrame, loss: float = LOSS) -> int:
     return LOWEST
 
 
-def report(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, loss: float = LOSS) -> DataFrame:
-    """doc_id, the base statistics, base_failed, score and kept; trusted are documents of label quality 1."""
-    good = labelled_sample(labels, F.when(F.col("quality") == 1, 1), trusted_rows).select("doc_id")
+def report(docs: DataFrame, labels: DataFrame, loss: float = LOSS) -> DataFrame:
+    """doc_id, the base statistics, base_failed, score and kept; trusted are all documents of label quality 1."""
+    good = labelled(labels, F.when(F.col("quality") == 1, 1)).select("doc_id")
     trusted = materialized(good, "quality-trusted")
     found = materialized(scored(docs, log_ratios(docs, trusted)), "quality-scores")
     least = threshold(found, trusted, loss)
