@@ -236,3 +236,15 @@ def test_trusted_ids_too_many_to_broadcast(spark, rows, folder):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for k, v in limits.items():
             spark.conf.set(k, v)
+
+
+def test_runs_of_hashes_are_not_copied_for_each_place(spark, rows):
+    texts = [None, "a", "a b", "a b c d e f g h i", " ".join("a b c d e f g h".split() * 3)]
+    docs = rows(list(enumerate(texts)), "doc_id long, text string")
+    hashed = qr._hashed(qr._texts(docs))
+    found = qr.with_base(hashed).select("doc_id", *qr.BASE, qr._grams().alias("grams"))
+    assert "slice(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: (tuple(r[1:6]), r["grams"]) for r in found.collect()}
+    for i, text in enumerate(texts):
+        n, chars, symbols, lines, repeats = base(text)
+        assert got[i] == ((n, chars, symbols, lines, repeats), grams(text))

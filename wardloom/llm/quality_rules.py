@@ -49,17 +49,22 @@ def _hashed(texts: DataFrame) -> DataFrame:
     )
 
 
+def _run_hash(start: Column, n: int) -> Column:
+    """Hash of ``n`` hashes from a 1-based place, as that of their slice, which would be copied for each place."""
+    return F.xxhash64(*[F.get("hashes", start + (k - 1)) for k in range(n)])
+
+
 def _grams() -> Column:
     """Buckets of the words and of the pairs of words."""
     bucket = lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")
-    pairs = F.transform(positions(F.size("hashes") - 1), lambda i: bucket(F.xxhash64(F.slice("hashes", i, F.lit(2)))))
+    pairs = F.transform(positions(F.size("hashes") - 1), lambda i: bucket(_run_hash(i, 2)))
     return F.concat(F.transform("hashes", bucket), pairs)
 
 
 def with_base(hashed: DataFrame) -> DataFrame:
     """Add the base statistics, all long, to a frame with text, words and hashes."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(WHITE)) != "")
-    windows = F.transform(positions(F.size("hashes") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("hashes", i, F.lit(WINDOW))))
+    windows = F.transform(positions(F.size("hashes") - (WINDOW - 1)), lambda i: _run_hash(i, WINDOW))
     placed = F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     same = lambda x, j: F.coalesce(F.get("_placed", j)["h"] == x["h"], F.lit(False))
     starts = F.array_sort(F.transform(F.filter("_placed", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
