@@ -144,3 +144,16 @@ def test_vector_heads(spark):
     assert scored.where("y = pred").count() > 180
     stay = models.score_vectors(models.fit_vector_regressor(df, "v", "y", trees=2), df, "v", "los_pred")
     assert stay.agg(F.avg(F.abs(F.col("los_pred") - F.col("y")))).first()[0] < 0.3
+
+
+def test_terms_are_counted_in_tasks_of_bounded_text(spark, rows, monkeypatch):
+    made = [(i, " ".join(f"w{i}x{j} common" for j in range(50))) for i in range(200)] + [(200, None)]
+    docs = rows(made, "doc_id long, text string").coalesce(1)
+    expected = features.fit_tfidf(docs, "text", 40)
+    monkeypatch.setattr(features, "TASK_BYTES", 8_000, raising=False)
+    counted, count = [], features.term_counts
+    monkeypatch.setattr(features, "term_counts", lambda d, *a, **k: counted.append(d) or count(d, *a, **k))
+    assert features.fit_tfidf(docs, "text", 40) == expected
+    assert features.fit_word_ids(docs, "text", 3)[0] == "common"
+    size = sum(len(text or "") for _, text in made)
+    assert all(d.rdd.getNumPartitions() >= size / 8_000 for d in counted) and len(counted) == 2
