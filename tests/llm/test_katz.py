@@ -94,3 +94,53 @@ def test_rows_of_one_id_are_scored_by_their_own_texts(spark, rows):
         together = score([(doc, t) for t in [*texts, texts[0]]])
         for one, two in zip(sorted(alone), sorted(together), strict=True):
             assert two == pytest.approx(one)
+
+
+def brute_every_word(docs):
+    train = [tokens(t) for d, t in docs if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+    c = Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    two = Counter(x for t in train for x in zip([None, *t], t))
+    d = dict(enumerate(katz.good_turing(Counter(two.values())), 1))
+    after = {}
+    for (h, w), k in two.items():
+        after.setdefault(h, {})[w] = k
+
+    def one(w):
+        return (c[w] + 0.5) / (n + 0.5 * (v + 1))
+
+    def p(w, h):
+        own = after.get(h, {})
+        disc = {x: d.get(k, 1.0) * k for x, k in own.items()}
+        whole = sum(own.values()) + (1 if own and all(k > 5 for k in own.values()) else 0)
+        if w in own:
+            return disc[w] / whole
+        left = 1 - sum(disc.values()) / whole if own else 1
+        return left / (1 - sum(map(one, own))) * one(w)
+
+    for h in [*list(c)[:30], "never seen"]:
+        assert sum(p(w, h) for w in c) + p("never seen", h) == pytest.approx(1)
+    out = []
+    for doc, text in docs:
+        t = tokens(text)
+        held = doc is not None and zlib.crc32(str(doc).encode()) % 5 == 1
+        score = sum(math.log10(p(w, h)) for h, w in zip([None, *t], t))
+        out.append((doc, held, len(t), sum(c[w] > 0 for w in t), n, sum(math.log10(one(w)) for w in t), score))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("share", [katz.SHARE, 0.02, 0.2])
+def test_every_word_has_bigrams_of_its_own(spark, rows, monkeypatch, share):
+    """What is broadcast changes no score: words seen once have no class."""
+    docs = [(i, "The cat sat on the mat the cat " + f"w{i % 7} v{i % 3} " * (i % 5) + f"only{i} tail{i % 11} only{i} z") for i in range(60)]
+    docs += [(100, None), (101, ""), (102, "zzz unseen words é"), (103, "the cat\u000bsat"), (103, "only1 tail1"), (None, "the the only2"), (None, "zzz cat"), (104, "a " * 5000)]
+    docs += [(200 + i, "x y x y") for i in range(9)]
+    fit = katz.fit
+    monkeypatch.setattr(katz, "fit", lambda d, **kept: fit(d, share=share, **kept))
+    same(katz.report(rows(docs, "doc_id long, text string"), every_word=True), brute_every_word(docs))
+
+
+def test_every_word_of_the_table(spark, folder):
+    docs = table(spark, folder, "documents")
+    same(katz.report(docs, every_word=True), brute_every_word([(r.doc_id, r.text) for r in docs.collect()]))
+    assert katz.report(docs.limit(0), every_word=True).count() == 0

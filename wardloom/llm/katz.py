@@ -1,15 +1,16 @@
 """Katz backoff language model over words, and scores of whole texts.
 
 Tokens are the words of the text, lower-cased, and one end mark. The model is
-a bigram model; its classes are the *frequent* words (``SHARE`` of all training
-tokens or more, at least 2, so at most 1 / SHARE of them), the end mark and one
-class for all other words:
+a bigram model. With ``every_word`` its classes are all training words, the end
+mark and one class for words that were not seen. Without, they are the *frequent*
+words (``SHARE`` of all training tokens or more, at least 2, so at most 1 / SHARE
+of them), the end mark and one class for all other words:
 
     P(w | h) = s(h) d(c) c(h, w) / C(h)       if the bigram was seen c times
              = a(h) P(w)                      otherwise
     P(w)     = (c(w) + 1/2) / (N + (F + 1) / 2)   over the F + 1 classes
 
-and a word of the last class has a further factor
+and without ``every_word`` a word of the last class has a further factor
 (c + 1/2) / (N' + (V' + 1) / 2) over the V' other training words and one
 unseen word. d(c) is the Good-Turing discount for c up to ``CUTOFF`` and 1
 above; C(h) is c(h), plus 1 if no bigram of h is discounted; a(h) is what
@@ -18,11 +19,18 @@ class was seen after h.
 
 Counts are Parquet tables partitioned by order and keyed by hash or id, and
 grow with the corpus. Broadcast are only arrays of at most 1 / SHARE entries:
-the frequent words, weights by history, and the frequent bigrams. All other
+the frequent words, their weights as histories, and the frequent bigrams. All other
 bigrams and words are looked up by one join on the n-gram; what is joined has
 one row for each document and distinct n-gram, and an n-gram that occurs in a
 large part of all documents is frequent, so it is not among them.
 
+With ``every_word`` as many of the most frequent words are broadcast as that bound
+allows, whatever their share. A bigram that has a word which is not frequent is keyed by a
+hash of both. Its table has what it adds to log a(h) P(w), which in turn is added
+up from its words: a word that is not frequent is looked up for log P(w) and
+log a(w). The weights of such a history come from its own bigrams, fewer than
+``SHARE`` of all tokens, gathered by one shuffle; tables that only lead to them are removed.
+
 Defined cases: a null or empty text is just the end mark; rows that share a
 doc_id, or have none, are scored each by its own text; a null doc_id is not held
 out; without training rows every probability is that of
@@ -40,11 +48,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardloom.llm.common import byte_texts, document_keys, id_of_keys, pieces, release
-from wardloom.sources.sinks import new_location
+from wardloom.sources.sinks import discard, new_location
 
 SHARE = 1e-6
 CUTOFF = 5
@@ -53,6 +61,9 @@ SHIFT = 20
 # Words are keyed by hash, with this bit set and the sign bit clear; bigram keys are below it.
 WORD_BIT = 1 << 62
 END = WORD_BIT
+# Bigrams of two frequent words are keyed by both ids, below this bit; others by a hash with this bit set.
+PAIR_BIT = 1 << 61
+TOGETHER = -1
 
 
 def _hash(word: bytes) -> int:
@@ -73,43 +84,60 @@ def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.append(hashes, END), np.array(flat, np.int64), sizes
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate(x) for x in zip(*parts))
+def _pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hash of each pair of hashes or ids."""
+    z = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return (z ^ z >> np.uint64(31)).astype(np.int64) & (PAIR_BIT - 1) | PAIR_BIT
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Keys, sums of their counts, and what else goes with a key."""
+    keys, counts, *others = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    return keys[first], np.add.reduceat(counts, first), *[x[order[first]] for x in others]
+
 
+def _counted(docs: DataFrame, count, names: tuple[str, ...] = ("key",)) -> DataFrame:
+    """(key, c) over all rows; each task sums its own before the shuffle.
 
-def _counted(docs: DataFrame, count) -> DataFrame:
-    """(key, c) over all rows; each task sums its own before the shuffle."""
+    With other ``names``, these are the columns that ``count`` gives after key and count; rows are counted by them.
+    """
+
+    def sums(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        keys, counts, *others = _summed(parts)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*(others or [keys]), counts)], names=[*names, "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             for piece in pieces(batch, "text"):
-                keys, counts = count(byte_texts(piece.column("text")))
-                parts.append((keys, counts))
-                held += len(keys)
+                parts.append(count(byte_texts(piece.column("text"))))
+                held += len(parts[-1][0])
                 if held >= HELD_KEYS:
                     parts = [_summed(parts)]
                     held = len(parts[0][0])
                     if held >= HELD_KEYS // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=["key", "c"])
+                        yield sums(parts)
                         parts, held = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(parts)], names=["key", "c"])
+            yield sums(parts)
 
-    return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    schema = ", ".join(f"{name} long" for name in (*names, "c"))
+    return docs.select("text").mapInArrow(run, schema).groupBy(*names).agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Classes:
-    """The frequent words: sorted hashes, and P(w) of each class; the last class is all other words."""
+    """The frequent words: sorted hashes, and P(w) of each class; the last class is all other words, or with ``every_word`` the unseen ones."""
 
     hashes: np.ndarray
     counts: np.ndarray
     log_p: np.ndarray
+    every_word: bool = False
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         place = np.searchsorted(self.hashes, hashes)
@@ -117,14 +145,32 @@ class Classes:
         return np.where(found, place, len(self.hashes))
 
 
+def _before(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The token before each; a text begins after an end mark."""
+    before = np.empty_like(flat)
+    before[1:] = flat[:-1]
+    before[np.cumsum(sizes) - sizes] = -1
+    return before
+
+
 def _bigrams(hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray, classes: Classes) -> np.ndarray:
-    """Key of each token's bigram; a text begins after an end mark."""
+    """Key of each token's bigram by the ids of its classes."""
     ids = classes.ids(hashes)
-    own = ids[flat]
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
-    before[np.cumsum(sizes) - sizes] = ids[-1]
-    return before << SHIFT | own
+    return ids[_before(flat, sizes)] << SHIFT | ids[flat]
+
+
+def _all_bigrams(texts: list[bytes], classes: Classes) -> tuple[np.ndarray, ...]:
+    """Distinct bigrams over all texts: key, count, and both words, or the key and ``TOGETHER`` where both are frequent."""
+    hashes, flat, sizes = _split(texts)
+    ids = classes.ids(hashes)
+    own = np.where(ids == len(classes.hashes), hashes, ids)
+    h, w = own[_before(flat, sizes)], own[flat]
+    rare = (h | w) >= WORD_BIT
+    key, count = np.unique(h[~rare] << SHIFT | w[~rare], return_counts=True)
+    h, w = h[rare], w[rare]
+    other, first, times = np.unique(_pair_keys(h, w), return_index=True, return_counts=True)
+    return (np.concatenate([key, other]), np.concatenate([count, times]), np.concatenate([key, h[first]]),
+            np.concatenate([np.full(len(key), TOGETHER), w[first]]))
 
 
 @dataclass
@@ -144,6 +190,14 @@ def _discounted(discounts: list[float], counts: np.ndarray) -> np.ndarray:
     return counts * table[np.minimum(counts, len(table) - 1)]
 
 
+def _discount(discounts: list[float], c: str = "c") -> Column:
+    """The same of a column: the factor alone."""
+    factor = F.lit(1.0)
+    for r, d in enumerate(discounts, 1):
+        factor = F.when(F.col(c) == r, d).otherwise(factor)
+    return factor
+
+
 def good_turing(counts_of_counts: dict[int, int], cutoff: int = CUTOFF) -> list[float]:
     """Katz's discounts of counts 1 to ``cutoff``; half a count is taken away where counts are too few for them."""
     n = [counts_of_counts.get(r, 0) for r in range(cutoff + 2)]
@@ -176,8 +230,70 @@ def _columns(df: DataFrame) -> dict[str, np.ndarray]:
     return {c: table.column(c).to_numpy() for c in table.column_names}
 
 
-def fit(docs: DataFrame, share: float = SHARE, cutoff: int = CUTOFF) -> Model:
-    """Count the n-grams of ``text`` in all rows of ``docs``, write them, and work out the weights."""
+def _step(c: str) -> Column:
+    """Counts in steps of an eighth of their power of two."""
+    return F.floor(8 * F.log2(F.col(c)))
+
+
+def _lowest_step(unigrams: DataFrame, most: int) -> int:
+    """The lowest step of counts down to which there are at most ``most`` words."""
+    steps = unigrams.groupBy(_step("c").alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
+    lowest, words = 1 << 16, 0
+    for row in steps:
+        words += row["n"]
+        if words > most:
+            break
+        lowest = row["step"]
+    return lowest
+
+
+def _with_word_counts(bigrams: DataFrame, unigrams: DataFrame, classes: Classes) -> DataFrame:
+    """Add ``cw``, the count of the second word: by broadcast where it is frequent, else by a join."""
+    spark = bigrams.sparkSession
+    known = spark.createDataFrame(pa.table({"w": np.arange(len(classes.hashes)), "cw": classes.counts}))
+    is_rare = F.col("w") >= WORD_BIT
+    rare = bigrams.where(is_rare).join(unigrams.select(F.col("key").alias("w"), F.col("c").alias("cw")), "w")
+    return rare.unionByName(bigrams.where(~is_rare).join(F.broadcast(known), "w"))
+
+
+def _additions(bigrams: DataFrame, weights: Weights, cutoff: int, denominator: float) -> DataFrame:
+    """key, x: by bigram the log10 of P(w | h) less that of a(h) P(w), and by history that is not frequent log10 a(h).
+
+    ``bigrams`` has h, w, c, cw: those with a word that is not frequent.
+    """
+    spark = bigrams.sparkSession
+    ids = np.arange(len(weights.log_seen))
+    known = spark.createDataFrame(pa.table({"h": ids, "log_seen": weights.log_seen, "log_back": weights.log_back}))
+    is_rare = F.col("h") >= WORD_BIT
+    own = Window.partitionBy("h")
+    # all bigrams of such a history are here, fewer of them than its count
+    c, dc, p, low = (F.sum(x).over(own) for x in (F.col("c"), _discount(weights.discounts) * F.col("c"), (F.col("cw") + 0.5) / denominator, (F.col("c") <= cutoff).cast("int")))
+    sums = bigrams.where(is_rare).withColumns({"sum": c + F.when(low == 0, 1).otherwise(0), "dc": dc, "unseen": 1 - p, "place": F.row_number().over(own.orderBy("w"))})
+    full = F.col("unseen") < 1e-9
+    whole = F.when(full, F.col("dc")).otherwise(F.col("sum"))
+    by_own = sums.withColumns({
+        "log_seen": -F.log10(whole),
+        "log_back": F.when(full, 0.0).otherwise(F.log10((1 - F.col("dc") / whole) / F.col("unseen"))),
+    })
+    by_known = bigrams.where(~is_rare).join(F.broadcast(known), "h").withColumn("place", F.lit(0))
+    columns = ["h", "w", "place", "log_back", (
+        F.log10(_discount(weights.discounts) * F.col("c")) + F.col("log_seen") - F.col("log_back") - F.log10((F.col("cw") + 0.5) / denominator)
+    ).alias("x")]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, w, place, back, x = (column.to_numpy() for column in batch.columns)
+            first = place == 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_pair_keys(h, w), h[first]])), pa.array(np.concatenate([x, back[first]]))], names=["key", "x"])
+
+    return by_own.select(columns).unionByName(by_known.select(columns)).mapInArrow(keyed, "key long, x double")
+
+
+def fit(docs: DataFrame, share: float = SHARE, cutoff: int = CUTOFF, every_word: bool = False) -> Model:
+    """Count the n-grams of ``text`` in all rows of ``docs``, write them, and work out the weights.
+
+    With ``every_word`` no words share a class; ``share`` then only says how many are broadcast.
+    """
     spark = docs.sparkSession
     location = new_location(spark, "katz")
 
@@ -192,25 +308,39 @@ def fit(docs: DataFrame, share: float = SHARE, cutoff: int = CUTOFF) -> Model:
     total = unigrams.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     least = max(2, ceil(n * share))
+    is_common = (F.col("c") >= least) | (F.col("key") == END)
+    if every_word:
+        is_common |= _step("c") >= _lowest_step(unigrams, int(1 / share))
     # at most 1 / share rows, and the end mark
-    common = _columns(unigrams.where((F.col("c") >= least) | (F.col("key") == END)))
+    common = _columns(unigrams.where(is_common))
     order = np.argsort(common["key"])
     hashes, counts = common["key"][order], common["c"][order]
     if not len(hashes):
         hashes, counts = np.array([END]), np.array([0])
-    rest = n - int(counts.sum())
+    rest = 0 if every_word else n - int(counts.sum())
     size = len(hashes)
-    log_p = np.log10((np.append(counts, rest) + 0.5) / (n + 0.5 * (size + 1)))
-    classes = Classes(hashes, counts, log_p)
+    denominator = n + 0.5 * ((v if every_word else size) + 1)
+    log_p = np.log10((np.append(counts, rest) + 0.5) / denominator)
+    classes = Classes(hashes, counts, log_p, every_word)
     shared = spark.sparkContext.broadcast(classes)
 
-    def pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        if every_word:
+            return _all_bigrams(texts, shared.value)
         return np.unique(_bigrams(*_split(texts), shared.value), return_counts=True)
 
-    _counted(docs, pairs).write.option("compression", "zstd").parquet(f"{location}/order=2")
+    if every_word:
+        both = F.when(F.col("w") == TOGETHER, "2").otherwise("rare").alias("order")
+        counted = _counted(docs, pairs, ("h", "w"))
+        counted.select(F.col("h").alias("key"), "w", "c", both).write.option("compression", "zstd").partitionBy("order").parquet(f"{location}/pairs")
+        schema = "key long, w long, c long, order string"
+        every = spark.read.schema(schema).parquet(f"{location}/pairs")
+        bigrams = spark.read.schema(schema).parquet(f"{location}/pairs").where("order = '2'").select("key", "c")
+    else:
+        _counted(docs, pairs).write.option("compression", "zstd").parquet(f"{location}/order=2")
+        every = bigrams = spark.read.schema("key long, c long").parquet(f"{location}/order=2")
     release(spark)
-    bigrams = spark.read.schema("key long, c long").parquet(f"{location}/order=2")
-    seen = bigrams.where(F.col("c") <= cutoff + 1).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
+    seen = every.where(F.col("c") <= cutoff + 1).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
     discounts = good_turing({r["c"]: r["n"] for r in seen}, cutoff)
 
     def by_history(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +351,17 @@ def fit(docs: DataFrame, share: float = SHARE, cutoff: int = CUTOFF) -> Model:
             sums = [np.bincount(own, x, len(h)) for x in (c, _discounted(discounts, c), p[key & (1 << SHIFT) - 1], c <= cutoff)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, *sums)], names=["h", "c", "dc", "p", "low"])
 
-    sums = _columns(
-        bigrams.mapInArrow(by_history, "h long, c double, dc double, p double, low double")
-        .groupBy("h").agg(*[F.sum(x).alias(x) for x in ("c", "dc", "p", "low")])
-    )
+    parts = bigrams.mapInArrow(by_history, "h long, c double, dc double, p double, low double")
+    if every_word:
+        rare = every.where("order = 'rare'").select(F.col("key").alias("h"), "w", "c")
+        rare_location = f"{location}/rare"
+        _with_word_counts(rare, unigrams, classes).write.option("compression", "zstd").parquet(rare_location)
+        rare = spark.read.schema("h long, w long, c long, cw long").parquet(rare_location).select("h", "w", "c", "cw")
+        parts = parts.unionByName(rare.where(F.col("h") < WORD_BIT).select(
+            "h", F.col("c").cast("double"), (_discount(discounts) * F.col("c")).alias("dc"), ((F.col("cw") + 0.5) / denominator).alias("p"),
+            (F.col("c") <= cutoff).cast("double").alias("low"),
+        ))
+    sums = _columns(parts.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("c", "dc", "p", "low")]))
     log_seen, log_back = np.zeros(size + 1), np.zeros(size + 1)
     whole = sums["c"] + (sums["low"] == 0)
     unseen = 1 - sums["p"]
@@ -234,6 +371,12 @@ def fit(docs: DataFrame, share: float = SHARE, cutoff: int = CUTOFF) -> Model:
     left = np.where(full, 1.0, 1 - sums["dc"] / whole)
     log_back[sums["h"]] = np.log10(left / np.where(full, 1.0, unseen))
     weights = Weights(log_seen, log_back, discounts)
+    if every_word:
+        _additions(rare, weights, cutoff, denominator).write.option("compression", "zstd").parquet(f"{location}/additions")
+        # nothing reads what these came from any more
+        discard(spark, f"{location}/pairs/order=rare")
+        discard(spark, rare_location)
+        release(spark)
     hot = _columns(bigrams.where(F.col("c") >= least))  # at most 1 / share rows
     order = np.argsort(hot["key"])
     keys = hot["key"][order]
@@ -241,15 +384,30 @@ def fit(docs: DataFrame, share: float = SHARE, cutoff: int = CUTOFF) -> Model:
     return Model(location, n, v, rest, v - int((counts > 0).sum()), classes, weights, frequent)
 
 
+def _mixed_bigrams(text: np.ndarray, before: np.ndarray, own: np.ndarray, classes: Classes, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (text, bigram): key, text and count; words are given by their numbers."""
+    words = len(hashes)
+    before, own = before % words, own % words  # the end mark is the last
+    pair = before * words + own
+    if words * words * (int(text[-1]) + 1) >= 1 << 63:
+        pair = np.unique(pair, return_inverse=True)[1]
+    _, first, count = np.unique(text * (int(pair.max()) + 1) + pair, return_index=True, return_counts=True)
+    ids = classes.ids(hashes)
+    codes = np.where(ids == len(classes.hashes), hashes, ids)
+    return _pair_keys(codes[before[first]], codes[own[first]]), text[first], count
+
+
 def _looked_up(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """(key, doc, part, n): distinct n-grams of each document to look up; and one row with what is known of it already.
 
     ``known`` has tokens, tokens of frequent classes that were seen, other words,
-    the sum of log10(c + 1/2) of the frequent ones and of log10 P of the frequent bigrams.
+    the sum of log10(c + 1/2) of the frequent ones and of log10 P of the frequent bigrams;
+    with ``every_word`` the last also has log10 a(h) and log10 P(w) of the frequent
+    words in all bigrams that have another word too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, (hot, hot_log) = shared.value
+        classes, (hot, hot_log), log_back = shared.value
         rare_class = len(classes.hashes)
         log_c = np.append(np.log10(classes.counts + 0.5), 0.0)
         seen = np.append(classes.counts > 0, False)
@@ -262,19 +420,28 @@ def _looked_up(docs: DataFrame, shared: Broadcast) -> DataFrame:
                 own = classes.ids(hashes)[flat]
                 rare = own == rare_class
                 bigrams = _bigrams(hashes, flat, sizes, classes)
-                key, count = np.unique(text << 2 * SHIFT | bigrams, return_counts=True)
+                mixed = np.zeros(len(flat), bool)
+                if classes.every_word:
+                    before = _before(flat, sizes)
+                    before_class = bigrams >> SHIFT
+                    mixed = rare | (before_class == rare_class)
+                key, count = np.unique((text << 2 * SHIFT | bigrams)[~mixed], return_counts=True)
                 where, key = key >> 2 * SHIFT, key & (1 << 2 * SHIFT) - 1
                 place = np.minimum(np.searchsorted(hot, key), max(len(hot) - 1, 0))
                 is_hot = hot[place] == key if len(hot) else np.zeros(len(key), bool)
                 words = len(hashes)
                 word, times = np.unique(text[rare] * words + flat[rare], return_counts=True)
                 n = len(sizes)
+                at, where_at, count_at = _mixed_bigrams(text[mixed], before[mixed], flat[mixed], classes, hashes) if mixed.any() else (key[:0], key[:0], key[:0])
                 hot_sum = np.bincount(where[is_hot], count[is_hot] * hot_log[place[is_hot]], n) if len(hot) else np.zeros(n)
+                if len(at):
+                    parts = np.where(before_class == rare_class, 0.0, log_back[before_class]) + np.where(rare, 0.0, classes.log_p[own])
+                    hot_sum = hot_sum + np.bincount(text[mixed], parts[mixed], n)
                 known = np.stack([
                     sizes, np.bincount(text, seen[own], n), np.bincount(text, rare, n), np.bincount(text, log_c[own], n), hot_sum,
                 ], axis=1)
                 cold = ~is_hot
-                doc, part = (np.concatenate([x[where[cold]], x[word // words], x]) for x in (ids, own_part))
+                doc, part = (np.concatenate([x[where[cold]], x[where_at], x[word // words], x]) for x in (ids, own_part))
                 total = len(doc)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([np.zeros(total - n, np.int32), np.arange(n + 1, dtype=np.int32) * 5]), pa.int32()),
@@ -282,8 +449,8 @@ def _looked_up(docs: DataFrame, shared: Broadcast) -> DataFrame:
                 )
                 # rows that only carry sums are spread by document; no n-gram has a negative key
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([key[cold], hashes[word % words], -1 - ((ids ^ own_part) & 0x7FFFFFFF)])), pa.array(doc), pa.array(part),
-                    pa.array(np.concatenate([count[cold], times, np.zeros(n, np.int64)]).astype(np.int32)), lists,
+                    pa.array(np.concatenate([key[cold], at, hashes[word % words], -1 - ((ids ^ own_part) & 0x7FFFFFFF)])), pa.array(doc), pa.array(part),
+                    pa.array(np.concatenate([count[cold], count_at, times, np.zeros(n, np.int64)]).astype(np.int32)), lists,
                 ], names=["key", "doc", "part", "n", "known"])
 
     return docs.mapInArrow(run, "key long, doc long, part long, n int, known array<double>")
@@ -293,20 +460,29 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: one row for each row of ``docs``."""
     spark = docs.sparkSession
     source = document_keys(docs)
-    shared = spark.sparkContext.broadcast((model.classes, model.frequent))
-    tables = spark.read.schema("key long, c long").parquet(f"{model.location}/order=1", f"{model.location}/order=2")
+    every_word = model.classes.every_word
+    shared = spark.sparkContext.broadcast((model.classes, model.frequent, model.weights.log_back))
+    counts = spark.read.schema("key long, c long").parquet(f"{model.location}/order=1")
+    if every_word:
+        pairs = spark.read.schema("key long, c long, order string").parquet(f"{model.location}/pairs")
+        counts = counts.unionByName(pairs.where("order = '2'").select("key", "c"))
+    else:
+        counts = counts.unionByName(spark.read.schema("key long, c long").parquet(f"{model.location}/order=2"))
+    tables = counts.withColumn("x", F.lit(None).cast("double"))
+    if every_word:
+        additions = spark.read.schema("key long, x double").parquet(f"{model.location}/additions")
+        tables = tables.unionByName(additions.withColumn("c", F.lit(None).cast("long")))
     by_class = np.arange(len(model.classes.hashes) + 1)
     histories = spark.createDataFrame(pa.table({"h": by_class, "log_seen": model.weights.log_seen, "log_back": model.weights.log_back}))
     words = spark.createDataFrame(pa.table({"w": by_class, "log_p": model.classes.log_p}))
     joined = (
         _looked_up(source, shared).join(tables.hint("merge"), "key", "left")
         .join(F.broadcast(histories), F.shiftright("key", SHIFT) == F.col("h"), "left")
-        .join(F.broadcast(words), F.col("key").bitwiseAND((1 << SHIFT) - 1) == F.col("w"), "left")
+        .join(F.broadcast(words), F.when(F.col("key") < PAIR_BIT, F.col("key").bitwiseAND((1 << SHIFT) - 1)) == F.col("w"), "left")
     )
-    is_word, is_bigram = F.col("key") >= WORD_BIT, F.col("key").between(0, WORD_BIT - 1)
-    discount = F.lit(1.0)
-    for r, d in enumerate(model.weights.discounts, 1):
-        discount = F.when(F.col("c") == r, d).otherwise(discount)
+    # a word has a row for its count, and one with x for its weight as a history
+    is_word, is_bigram = (F.col("key") >= WORD_BIT) & F.col("x").isNull(), F.col("key").between(0, PAIR_BIT - 1)
+    discount = _discount(model.weights.discounts)
     n = F.col("n")
     sums = joined.groupBy("doc", "part").agg(
         F.sum((F.size("known") > 0).cast("int")).alias("rows"),
@@ -315,11 +491,12 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         F.sum(F.when(is_word, n * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).otherwise(0.0)).alias("rare_log"),
         F.sum(
             F.when(is_bigram & F.col("c").isNotNull(), n * (F.log10(discount * F.col("c")) + F.col("log_seen")))
-            .when(is_bigram, n * (F.col("log_back") + F.col("log_p"))).otherwise(0.0)
+            .when(is_bigram, n * (F.col("log_back") + F.col("log_p")))
+            .when(F.col("x").isNotNull(), n * F.col("x")).otherwise(0.0)
         ).alias("bigram_log"),
     )
     per_token = log10(model.tokens + 0.5 * (model.distinct + 1))
-    per_rare = log10(model.rare_tokens + 0.5 * (model.rare_distinct + 1))
+    per_rare = per_token if every_word else log10(model.rare_tokens + 0.5 * (model.rare_distinct + 1))
     base = F.col("k3") + F.col("rare_log") - F.col("k0") * per_token
     score = F.col("k4") + F.col("bigram_log") + F.col("rare_log") - F.col("k2") * per_rare
     # equal rows have been summed together
@@ -337,7 +514,8 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, every_word: bool = False) -> DataFrame:
     """Fit on the rows that are not held out, score all."""
-    model = fit(docs.where(~held_out()))
+    train = docs.where(~held_out())
+    model = fit(train, every_word=True) if every_word else fit(train)
     return scores(docs, model).withColumn("held_out", held_out())

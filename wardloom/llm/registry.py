@@ -65,7 +65,7 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_katz(spark: SparkSession, folder: str) -> DataFrame:
     """log10 probability of every document under a Katz model of four fifths of them."""
-    return katz.report(table(spark, folder, "documents"))
+    return katz.report(table(spark, folder, "documents"), every_word=True)
 
 
 @query
