@@ -24,8 +24,8 @@ bigrams and words are looked up by one join on the n-gram; what is joined has
 one row for each document and distinct n-gram, and an n-gram that occurs in a
 large part of all documents is frequent, so it is not among them.
 
-With ``every_word`` as many of the most frequent words are broadcast as that bound
-allows, whatever their share. A bigram that has a word which is not frequent is keyed by a
+With ``every_word`` the most frequent words up to a quarter of that bound are
+broadcast whatever their share. A bigram that has a word which is not frequent is keyed by a
 hash of both. Its table has what it adds to log a(h) P(w), which in turn is added
 up from its words: a word that is not frequent is looked up for log P(w) and
 log a(w). The weights of such a history come from its own bigrams, fewer than
@@ -310,7 +310,7 @@ def fit(docs: DataFrame, share: float = SHARE, cutoff: int = CUTOFF, every_word:
     least = max(2, ceil(n * share))
     is_common = (F.col("c") >= least) | (F.col("key") == END)
     if every_word:
-        is_common |= _step("c") >= _lowest_step(unigrams, int(1 / share))
+        is_common |= _step("c") >= _lowest_step(unigrams, int(1 / share / 4))
     # at most 1 / share rows, and the end mark
     common = _columns(unigrams.where(is_common))
     order = np.argsort(common["key"])
