@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from wardloom.llm import katz
@@ -144,3 +145,14 @@ def test_every_word_of_the_table(spark, folder):
     docs = table(spark, folder, "documents")
     same(katz.report(docs, every_word=True), brute_every_word([(r.doc_id, r.text) for r in docs.collect()]))
     assert katz.report(docs.limit(0), every_word=True).count() == 0
+
+
+def test_split_of_parts_of_a_column():
+    texts = ["The  cat", " sAt \u00c9a\u000bB ", None, "", "\t", "x" * 40 + " \u2003 The\r\n", "a\u0085b \x1c c", "THE the"] * 50
+    whole = pa.array(texts)
+    for start, end in ((0, 400), (3, 5), (7, 390), (8, 8)):
+        hashes, flat, sizes = katz._split(whole.slice(start, end - start))
+        want = [(t or "").encode().lower().split() for t in texts[start:end]]
+        assert sizes.tolist() == [len(t) + 1 for t in want]
+        assert hashes[flat].tolist() == [x for t in want for x in [*map(katz._hash, t), katz.END]]
+        assert len(set(hashes.tolist())) == len(hashes) == len({w for t in want for w in t}) + 1
