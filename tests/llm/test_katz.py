@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from wardloom.llm import katz
-from wardloom.llm.common import table
+from wardloom.llm.common import release, table
 
 
 def tokens(text):
@@ -156,3 +157,25 @@ def test_split_of_parts_of_a_column():
         assert sizes.tolist() == [len(t) + 1 for t in want]
         assert hashes[flat].tolist() == [x for t in want for x in [*map(katz._hash, t), katz.END]]
         assert len(set(hashes.tolist())) == len(hashes) == len({w for t in want for w in t}) + 1
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {str(f): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().endswith(".data")}
+
+
+def test_shuffled_bytes_of_a_model_of_every_word(spark, rows, tmp_path):
+    """Bigrams are shuffled in blocks, not as a row for each text that has one."""
+    words, draw = [f"word{i}" for i in range(3000)], random.Random(1)
+    texts = [" ".join(draw.choices(words, k=300)) for _ in range(600)]
+    rows(list(enumerate(texts)), "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    release(spark)
+    before = shuffle_files(spark)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    try:
+        assert len(katz.report(table(spark, tmp_path, "documents"), every_word=True).collect()) == 600
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    written = sum(size for name, size in shuffle_files(spark).items() if name not in before)
+    assert written < sum(map(len, texts))

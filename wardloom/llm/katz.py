@@ -30,6 +30,11 @@ hash of both. Its table has what it adds to log a(h) P(w), which in turn is adde
 up from its words: a word that is not frequent is looked up for log P(w) and
 log a(w). The weights of such a history come from its own bigrams, fewer than
 ``SHARE`` of all tokens, gathered by one shuffle; tables that only lead to them are removed.
+Its bigrams are counted and looked up in blocks: a piece of texts (about 4 MB) gives one row for each
+range of keys and kind of n-gram, with its distinct sorted keys and the texts that have them, so
+an n-gram is in as many rows as there are pieces that have it. A range of keys meets its table
+in one group; what comes back is a sum for each text and range. Numbers of ranges and pieces follow the
+input. A piece is named by its task, so rows must come in the same order when a task is run again, as from files.
 
 Defined cases: a null or empty text is just the end mark; rows that share a
 doc_id, or have none, are scored each by its own text; a null doc_id is not held
@@ -64,9 +69,8 @@ WORD_BIT = 1 << 62
 END = WORD_BIT
 # Bigrams of two frequent words are keyed by both ids, below this bit; others by a hash with this bit set.
 PAIR_BIT = 1 << 61
-# Multiplier of pairs of ids; texts in one block of n-grams have about so many bytes; a bucket is for about so many tokens.
+# Multiplier of pairs of ids; a bucket is for about so many tokens.
 MIX = 0x9E3779B97F4A7C15
-CHUNK_CHARS = 6_000_000
 BUCKET_TOKENS = 1 << 21
 
 
@@ -310,10 +314,6 @@ def _ungapped(block: bytes, start: int = 0) -> np.ndarray:
     return np.cumsum(_unpacked(block)) + start
 
 
-def _joined(blocks: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
-
-
 def _mixed(h: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
     """Number of each pair of ids, below 1 << 2 * bits; pairs spread evenly, and no two have one number."""
     mask = np.uint64((1 << 2 * bits) - 1)
@@ -371,19 +371,22 @@ def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 def _pair_counts(docs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
     """All bigrams of ``text`` and their counts, in blocks: one of each kind for each bucket."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_texts(texts: pa.Array) -> pa.RecordBatch:
         classes = shared.value
+        hashes, flat, sizes = _split(texts)
+        ids = classes.ids(hashes)
+        own = np.where(ids == len(classes.hashes), hashes, ids)
+        h, w = own[_before(flat, sizes)], own[flat]
+        rare = (h | w) >= WORD_BIT
+        rows = _pair_blocks(*np.unique(_mixed(h[~rare], w[~rare], classes.bits), return_counts=True), classes.bits, buckets)
+        h, w = h[rare], w[rare]
+        keys, first, times = np.unique(_pair_keys(h, w), return_index=True, return_counts=True)
+        return _records(rows + _rare_blocks(keys, times, h[first], w[first], buckets), PAIRS_SCHEMA)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text", CHUNK_CHARS):
-                hashes, flat, sizes = _split(piece.column("text"))
-                ids = classes.ids(hashes)
-                own = np.where(ids == len(classes.hashes), hashes, ids)
-                h, w = own[_before(flat, sizes)], own[flat]
-                rare = (h | w) >= WORD_BIT
-                rows = _pair_blocks(*np.unique(_mixed(h[~rare], w[~rare], classes.bits), return_counts=True), classes.bits, buckets)
-                h, w = h[rare], w[rare]
-                keys, first, times = np.unique(_pair_keys(h, w), return_index=True, return_counts=True)
-                yield _records(rows + _rare_blocks(keys, times, h[first], w[first], buckets), PAIRS_SCHEMA)
+            for piece in pieces(batch, "text"):
+                yield of_texts(piece.column("text"))
 
     def add(bucket: tuple, table: pa.Table) -> pa.Table:
         bits, b = shared.value.bits, bucket[0].as_py()
@@ -615,46 +618,50 @@ def _asked(docs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
     log10 P(w) of the frequent words in bigrams that have another word too.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, (hot, hot_log), weights = shared.value
+    def of_piece(piece: pa.RecordBatch, chunk: int, hot: np.ndarray, hot_log: np.ndarray) -> pa.RecordBatch:
+        classes, _, weights = shared.value
         bits, other = classes.bits, len(classes.hashes)
-        hot = _mixed(hot >> SHIFT, hot & (1 << SHIFT) - 1, bits)
-        order = np.argsort(hot)
-        hot, hot_log = hot[order], hot_log[order]
         log_c = np.append(np.log10(classes.counts + 0.5), 0.0)
         seen = np.append(classes.counts > 0, False)
+        hashes, flat, sizes = _split(piece.column("text"))
+        n = len(sizes)
+        text = np.repeat(np.arange(n), sizes)
+        text_bits = n.bit_length()
+        ids = classes.ids(hashes)
+        w = ids[flat]
+        before = _before(flat, sizes)
+        h = ids[before]
+        rare = w == other
+        mixed = rare | (h == other)
+
+        whole, times = np.unique(_mixed(h[~mixed], w[~mixed], bits) << text_bits | text[~mixed], return_counts=True)
+        key, where = whole >> text_bits, whole & (1 << text_bits) - 1
+        place = np.minimum(np.searchsorted(hot, key), max(len(hot) - 1, 0))
+        is_hot = hot[place] == key if len(hot) else np.zeros(len(key), bool)
+        sums = np.bincount(where[is_hot], times[is_hot] * hot_log[place[is_hot]], n) if len(hot) else np.zeros(n)
+        frequent = key[~is_hot], where[~is_hot], times[~is_hot]
+
+        known_part = np.where(h == other, 0.0, weights.log_back[h]) + np.where(rare, 0.0, classes.log_p[w])
+        sums = sums + np.bincount(text[mixed], known_part[mixed], n)
+        codes = np.where(ids == other, hashes, ids)
+        pairs = _by_key(_pair_keys(codes[before[mixed]], codes[flat[mixed]]), text[mixed])
+        words = _by_key(hashes[flat[rare]], text[rare])
+        rows = [row for kind, grams in enumerate((frequent, pairs, words)) for row in _asked_blocks(chunk, kind, *grams, _kind_ranges(bits)[kind], buckets)]
+        known = np.stack([sizes, np.bincount(text, seen[w], n), np.bincount(text, rare, n), np.bincount(text, log_c[w], n), sums])
+        rows.append((chunk % buckets, chunk, KNOWN, None, None, None, None, piece.column("doc_id").to_pylist(), known.astype("<f8").tobytes()))
+        return _records(rows, REQUESTS_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, (hot, hot_log), _ = shared.value
+        hot = _mixed(hot >> SHIFT, hot & (1 << SHIFT) - 1, classes.bits)
+        order = np.argsort(hot)
+        hot, hot_log = hot[order], hot_log[order]
         first_chunk = TaskContext.get().partitionId() << 32
         done = 0
         for batch in batches:
-            for piece in pieces(batch, "text", CHUNK_CHARS):
+            for piece in pieces(batch, "text"):
                 chunk, done = first_chunk + done, done + 1
-                hashes, flat, sizes = _split(piece.column("text"))
-                n = len(sizes)
-                text = np.repeat(np.arange(n), sizes)
-                text_bits = n.bit_length()
-                ids = classes.ids(hashes)
-                w = ids[flat]
-                before = _before(flat, sizes)
-                h = ids[before]
-                rare = w == other
-                mixed = rare | (h == other)
-
-                whole, times = np.unique(_mixed(h[~mixed], w[~mixed], bits) << text_bits | text[~mixed], return_counts=True)
-                key, where = whole >> text_bits, whole & (1 << text_bits) - 1
-                place = np.minimum(np.searchsorted(hot, key), max(len(hot) - 1, 0))
-                is_hot = hot[place] == key if len(hot) else np.zeros(len(key), bool)
-                sums = np.bincount(where[is_hot], times[is_hot] * hot_log[place[is_hot]], n) if len(hot) else np.zeros(n)
-                frequent = key[~is_hot], where[~is_hot], times[~is_hot]
-
-                known_part = np.where(h == other, 0.0, weights.log_back[h]) + np.where(rare, 0.0, classes.log_p[w])
-                sums = sums + np.bincount(text[mixed], known_part[mixed], n)
-                codes = np.where(ids == other, hashes, ids)
-                pairs = _by_key(_pair_keys(codes[before[mixed]], codes[flat[mixed]]), text[mixed])
-                words = _by_key(hashes[flat[rare]], text[rare])
-                rows = [row for kind, grams in enumerate((frequent, pairs, words)) for row in _asked_blocks(chunk, kind, *grams, _kind_ranges(bits)[kind], buckets)]
-                known = np.stack([sizes, np.bincount(text, seen[w], n), np.bincount(text, rare, n), np.bincount(text, log_c[w], n), sums])
-                rows.append((chunk % buckets, chunk, KNOWN, None, None, None, None, piece.column("doc_id").to_pylist(), known.astype("<f8").tobytes()))
-                yield _records(rows, REQUESTS_SCHEMA)
+                yield of_piece(piece, chunk, hot, hot_log)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, REQUESTS)
 
@@ -674,6 +681,40 @@ def _asked_blocks(chunk: int, kind: int, keys: np.ndarray, text: np.ndarray, n:
         yield b, chunk, kind, _gaps(own[first], start), _packed(np.diff(first, append=len(own))), _packed(text[at]), _packed(n[at]), None, None
 
 
+# By bucket: n-grams of a kind, and their counts or numbers
+TABLES = "bucket int, kind int, keys binary, counts binary, x binary"
+TABLES_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("x", pa.binary())])
+
+
+def _in_blocks(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` of key and c, or key and x, in blocks of what a task has of a bucket."""
+
+    def blocks(parts: list[tuple[np.ndarray, np.ndarray]], is_count: bool) -> pa.RecordBatch:
+        keys, values = map(np.concatenate, zip(*parts))
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        cut = np.searchsorted(keys, WORD_BIT)
+        return _records([
+            (b, kind, _gaps(keys[own][at], start), *((_packed(values[own][at]), None) if is_count else (None, values[own][at].tobytes())))
+            for kind, own in ((RARE, slice(0, cut)), (WORD, slice(cut, None)))
+            for b, start, at in _ranges(keys[own], *_kind_ranges(0)[kind], buckets)
+        ], TABLES_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            is_count = batch.schema.names[1] == "c"
+            parts.append(tuple(column.to_numpy() for column in batch.columns))
+            held += batch.num_rows
+            if held >= HELD_KEYS:
+                yield blocks(parts, is_count)
+                parts, held = [], 0
+        if held:
+            yield blocks(parts, is_count)
+
+    return rows.mapInArrow(run, TABLES)
+
+
 def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
     """The value of each wanted key; ``keys`` are sorted."""
     if not len(keys):
@@ -689,17 +730,18 @@ def _answers(shared: Broadcast, buckets: int):
         classes, _, weights = shared.value
         bits, b = classes.bits, bucket[0].as_py()
         starts = [first + _span(first, end, buckets) * b for first, end in _kind_ranges(bits)]
-        blocks = [(x, c) for x, c in zip(tables.column("keys").to_pylist(), tables.column("counts").to_pylist()) if x is not None]
-        pair = _joined([_ungapped(x, starts[FREQUENT]) for x, _ in blocks])
-        log_pair = np.log10(_discounted(weights.discounts, _joined([_unpacked(c) for _, c in blocks]))) + weights.log_seen[_unmixed(pair, bits)[0]]
+        parts = [(row["kind"], row["counts"] is None, _ungapped(row["keys"], starts[row["kind"]]),
+                  np.frombuffer(row["x"]) if row["counts"] is None else _unpacked(row["counts"])) for row in tables.to_pylist()]
 
-        def sorted_column(name: str) -> tuple[np.ndarray, np.ndarray]:
-            there = tables.filter(pc.is_valid(tables.column(name)))
-            keys, values = (there.column(x).to_numpy() for x in ("key", name))
+        def sorted_table(kind: int, is_x: bool) -> tuple[np.ndarray, np.ndarray]:
+            own = [part[2:] for part in parts if part[:2] == (kind, is_x)]
+            keys, values = map(np.concatenate, zip(*own)) if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             order = np.argsort(keys)
             return keys[order], values[order]
 
-        counts, additions = sorted_column("c"), sorted_column("x")
+        pair, pair_counts = sorted_table(FREQUENT, False)
+        log_pair = np.log10(_discounted(weights.discounts, pair_counts)) + weights.log_seen[_unmixed(pair, bits)[0]]
+        counts, additions = sorted_table(WORD, False), {kind: sorted_table(kind, True) for kind in (RARE, WORD)}
         rows = []
         for row in asked.to_pylist():
             if row["kind"] == KNOWN:
@@ -719,7 +761,7 @@ def _answers(shared: Broadcast, buckets: int):
                 score = _found(pair, log_pair, keys, np.nan)
                 score = np.where(np.isnan(score), weights.log_back[h] + classes.log_p[w], score)
             else:
-                score = _found(*additions, keys, 0.0)
+                score = _found(*additions[kind], keys, 0.0)
             if kind == WORD:
                 c = _found(*counts, keys, 0)
                 log_c = np.log10(c + 0.5)
@@ -735,14 +777,11 @@ def _scores_of_every_word(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     buckets = model.buckets
     shared = spark.sparkContext.broadcast((model.classes, model.frequent, model.weights))
-    _, (pair_first, pair_end), (word_first, word_end) = _kind_ranges(model.classes.bits)
-    own_bucket = F.when(F.col("key") >= word_first, F.expr(f"(key - {word_first}) div {_span(word_first, word_end, buckets)}")).otherwise(
-        F.expr(f"(key - {pair_first}) div {_span(pair_first, pair_end, buckets)}")
-    ).cast("int").alias("bucket")
-    words = spark.read.schema("key long, c long").parquet(f"{model.location}/order=1").select(own_bucket, "key", "c")
-    additions = spark.read.schema("key long, x double").parquet(f"{model.location}/additions").select(own_bucket, "key", "x")
-    blocks = spark.read.schema(f"{PAIRS}, order string").parquet(f"{model.location}/pairs").where("order = '2'").select("bucket", "keys", "counts")
-    tables = words.unionByName(additions, allowMissingColumns=True).unionByName(blocks, allowMissingColumns=True)
+    words = spark.read.schema("key long, c long").parquet(f"{model.location}/order=1")
+    additions = spark.read.schema("key long, x double").parquet(f"{model.location}/additions")
+    pairs = spark.read.schema(f"{PAIRS}, order string").parquet(f"{model.location}/pairs").where("order = '2'")
+    pairs = pairs.select("bucket", F.lit(FREQUENT).alias("kind"), "keys", "counts", F.lit(None).cast("binary").alias("x"))
+    tables = pairs.unionByName(_in_blocks(words, buckets)).unionByName(_in_blocks(additions, buckets))
     sums = _asked(docs, shared, buckets).groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_answers(shared, buckets), SUMS)
     per_token = log10(model.tokens + 0.5 * (model.distinct + 1))
     train_tokens = model.tokens
