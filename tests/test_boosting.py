@@ -40,7 +40,7 @@ def no_library(monkeypatch):
     return fits
 
 
-@pytest.mark.parametrize("block_rows, block_entries", [(1 << 16, 1 << 21), (37, 90)])
+@pytest.mark.parametrize("block_rows, block_entries", [(1 << 16, 1 << 20), (37, 90)])
 def test_the_librarys_trees(spark, no_library, monkeypatch, block_rows, block_entries):
     monkeypatch.setattr(boosting, "BLOCK_ROWS", block_rows)
     monkeypatch.setattr(boosting, "BLOCK_ENTRIES", block_entries)
@@ -77,7 +77,7 @@ def test_blocks_are_bounded_and_hold_what_is_not_zero(spark, monkeypatch):
     monkeypatch.setattr(boosting, "_ask", lambda blocks, *a: (seen or seen.extend(blocks.collect())) and None or ask(blocks, *a))
     df = made(spark)
     models.fit_stay(df, trees=1, depth=1)
-    blocks = [boosting.pickle.loads(b) for b in seen]
+    blocks = [boosting.pickle.loads(b.block) for b in seen]
     assert max(len(b.label) for b in blocks) <= 50 and max(len(b.rows) for b in blocks) <= 120
     assert sorted(np.concatenate([b.label for b in blocks]).tolist()) == sorted(r.los_days for r in df.collect())
     entries = sum(int((r.features.toArray() != 0).sum()) for r in df.collect())
@@ -96,3 +96,16 @@ def test_what_cannot_be_fitted(spark):
         models.fit_mortality(df.withColumn("hospital_expire_flag", F.lit(2)), trees=1)
     constant = models.fit_stay(df.withColumn("los_days", F.lit(4.0)), trees=3)
     assert set(scores(constant, df, models.score_stay, "los_pred")) == {4.0}
+
+
+def test_vectors_of_a_fit_stay_out_of_memory(spark, monkeypatch):
+    """Rows of a written table are read again; others are kept on disk only, and blocks too."""
+    df = made(spark, 60).select("id", "hospital_expire_flag", "features")
+    levels, fit = [], boosting.fit
+    monkeypatch.setattr(boosting, "fit", lambda estimator, rows, held=None: levels.append(rows.storageLevel) or fit(estimator, rows, held))
+    ask = boosting._ask
+    monkeypatch.setattr(boosting, "_ask", lambda blocks, *a: levels.append(blocks.getStorageLevel()) or ask(blocks, *a))
+    models.fit_mortality(df.where("id >= 0"), trees=1, depth=1, validation=df.where("id < 9"))
+    models.fit_mortality(df.where("id >= 0"), trees=1, depth=1, written=True)
+    assert len(levels) > 4 and not any(level.useMemory for level in levels)
+    assert levels[0].useDisk and not any(level.useDisk for level in levels if level not in (levels[0], levels[1]))
